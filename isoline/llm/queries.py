@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op2_ann
+from .bpe import op5_bpe
 from .chat import OP8_SQL, op8_chat_format
+from .html_extract import op7_html_extract
+from .langid import op9_language_id
+from .mixing import op1_mixing
+from .mpegts import op6_mpeg_ts
+from .secrets import op3_secret_scan
 from .simhash import op4_simhash
+from .toxicity import op10_toxicity
+
+ALL = (op1_mixing, op2_ann, op3_secret_scan, op4_simhash, op5_bpe, op6_mpeg_ts, op7_html_extract, op8_chat_format, op9_language_id, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op8_chat_format)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     least = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
     least = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = least.withColumn("component_id", F.min("least").over(W.partitionBy("root"))).select("fp", "component_id")
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
