@@ -1,6 +1,6 @@
 """All registered queries: importing this package fills the registry."""
 
-from isoline.plans import geometry, sequence, stats
+from isoline.plans import geometry, rules, sequence, stats
 from isoline.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "geometry", "sequence", "stats"]
+__all__ = ["QUERIES", "SQL", "geometry", "rules", "sequence", "stats"]
