@@ -41,10 +41,12 @@ ENDS_P = BLOCKS - frozenset("body head html link meta template noscript object i
 
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
-    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|header|masthead|topbar|footer\w*|copyright|legal|disclaimer"
+    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|footer\w*|copyright|legal|disclaimer"
     r"|comments?|commentlist|reply|replies|disqus|respond|social|share|sharing|related|recommended|trending|popular|tags?|toolbar|search)(?:$|[\s_-])",
     re.I,
 )
+#: Heads of a site; inside an article they hold its title.
+HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
@@ -54,12 +56,13 @@ SPACE = re.compile(r"\s+")
 LOW_STOP, HIGH_STOP, SHORT, LONG, MOST_LINKS = 0.10, 0.22, 70, 200, 0.4
 
 
-def _marked(attributes: str) -> bool:
-    if not attributes or "=" not in attributes:
+def _marked(attributes: str, inside: bool) -> bool:
+    """Whether attributes mark what isn't the article; inside one, heads don't."""
+    if not attributes.strip():
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and MARKED.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id") and (MARKED.search(value) or not inside and HEADS.search(value)) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes)))
 
@@ -142,7 +145,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if name in VOID or attributes.endswith("/"):
             continue
         article = name in ("article", "main") or 'articleBody"' in attributes or 'role="main"' in attributes
-        outside = (name in OUTSIDE and not (name == "header" and n_in)) or (not article and name not in ("body", "html") and _marked(attributes))
+        marked = name not in ("body", "html", "main") and _marked(attributes, n_in > 0 or article)
+        article = article and not marked
+        outside = (name in OUTSIDE and not (name == "header" and n_in)) or marked
         open_.append((name, outside, article))
         n_out += outside
         n_in += article
