@@ -20,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import table, unused, written
 from .langid import fold
 
-BUCKETS, PER_LABEL, LEAST_DOCS, ROUNDS = 1 << 18, 1200, 2, 400
+BUCKETS, PER_LABEL, LEAST_DOCS, ROUNDS, RATE = 1 << 18, 1200, 2, 400, 0.15
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -62,30 +63,31 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(docs: list[tuple[int, np.ndarray, np.ndarray]], weight: dict[int, float]) -> Model:
-    """A model from (label, features of each word, sentence of each word) rows; weight: of a row by label."""
+def word_id(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def train(docs: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: dict[int, list[int]], weight: dict[int, float]) -> Model:
+    """A model from (label, id of each word, sentence of each word) rows; vocabulary: features by word id; weight: of a row by label."""
+    docs = [d for d in docs if len(d[1])]
     if not docs:
         return Model(np.zeros(BUCKETS, dtype=np.float32), -5.0)
     y = np.array([d[0] for d in docs], dtype=float)
     by_doc = np.array([weight.get(d[0], 1.0) for d in docs], dtype=float)
     by_doc /= by_doc.sum()
-    k = 1 + len(BEGINNINGS)
-    found = np.concatenate([d[1] for d in docs]).reshape(-1, k)
-    doc_of_word = np.repeat(np.arange(len(docs)), [len(d[2]) for d in docs])
+    ids = np.sort(np.fromiter(vocabulary, dtype=np.int64))
+    words = np.array([vocabulary[i] for i in ids.tolist()])
+    which = [np.searchsorted(ids, d[1]) for d in docs]
     # A feature in few documents says nothing about others.
-    pairs = np.unique(found.astype(np.int64) * len(docs) + doc_of_word[:, None])
-    frequent = np.bincount(pairs // len(docs), minlength=BUCKETS) >= LEAST_DOCS
-    words, which = np.unique(found, axis=0, return_inverse=True)
-    which = which.ravel()
-    sentence, base = [], 0
-    doc_of_sentence = []
-    for i, (_, _, s) in enumerate(docs):
-        n = int(s.max()) + 1 if len(s) else 1
-        sentence.append(s.astype(np.int64) + base)
-        doc_of_sentence += [i] * n
-        base += n
-    sentence, doc_of_sentence = np.concatenate(sentence), np.array(doc_of_sentence)
-    w, bias = np.zeros(BUCKETS), -np.log(base / len(docs) * 8)
+    in_docs = np.zeros(BUCKETS, dtype=np.int64)
+    for x in which:
+        in_docs[np.unique(words[np.unique(x)])] += 1
+    frequent = in_docs >= LEAST_DOCS
+    n_sentences = [int(d[2].max()) + 1 for d in docs]
+    first = np.cumsum([0, *n_sentences])
+    sentence = np.concatenate([d[2].astype(np.int64) + a for d, a in zip(docs, first, strict=False)])
+    doc_of_sentence, which, base = np.repeat(np.arange(len(docs)), n_sentences), np.concatenate(which), int(first[-1])
+    w, bias, k = np.zeros(BUCKETS), -np.log(base / len(docs) * 8), words.shape[1]
     m1, m2, b1, b2 = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
         score = (w[words] * frequent[words]).sum(axis=1)
@@ -96,9 +98,8 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], weight: dict[int, floa
         by_word = np.bincount(which, slope[sentence], minlength=len(words))
         g = np.bincount(words.ravel(), np.repeat(by_word, k), minlength=BUCKETS) * frequent + 2e-5 * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        rate = 0.15
-        w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-5)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * 0.02, 0)  # leaves out what does not pay
+        w -= RATE * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-5)
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * 0.02, 0)  # leaves out what does not pay
         gb = slope.sum()
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.999 * b2 + 0.001 * gb * gb
         bias -= 0.05 * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.999**t)) + 1e-5)
@@ -109,7 +110,8 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> M
     """A model of docs (doc_id, text) and labels (doc_id, toxic); rows with a null in either count as unlabelled.
 
     The bounded sample of labels is joined to the documents' texts; a label of
-    each kind, or of a repeated document, is a row of its own.
+    each kind, or of a repeated document, is a row of its own. The driver gets
+    the ids of the sample's words, and the features of each word once.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # at most two rows
@@ -117,28 +119,27 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> M
     some = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "y")
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")  # 2 * per_label rows at most
     order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label)
+    rows = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label), "labelled").select("n", "y", "text").repartition("n")
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[int]] = {}
+    def worded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, y, text in zip(b["doc_id"], b["y"], b["text"], strict=True):
-                words, sentences = [], []
-                for i, s in enumerate(SENTENCES.findall(text.lower())):
-                    for word in WORDS.findall(s):
-                        words += known.get(word) or known.setdefault(word, features(word))
-                        sentences.append(i)
-                out.append((doc, y, np.array(words, dtype=np.int32), np.array(sentences, dtype=np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "y", "words", "sentences"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    got = rows.select("doc_id", "y", "text").mapInPandas(hashed, f"doc_id {kind}, y int, words array<int>, sentences array<int>").toPandas()
-    got["size"] = got["words"].map(len)
-    got = got.sort_values(["doc_id", "y", "size"], kind="stable")
+            for n, y, text in zip(b["n"], b["y"], b["text"], strict=True):
+                found = [(word_id(word), i) for i, s in enumerate(SENTENCES.findall(text.lower())) for word in WORDS.findall(s)]
+                out.append((n, y, np.array([x for x, _ in found], dtype=np.int64), np.array([i for _, i in found], dtype=np.int32)))
+            yield pd.DataFrame(out, columns=["n", "y", "words", "sentences"])
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = sorted({word for text in b["text"] for word in WORDS.findall(text.lower())})
+            yield pd.DataFrame({"id": [word_id(x) for x in words], "features": [features(x) for x in words]})
+
+    got = rows.mapInPandas(worded, "n int, y int, words array<bigint>, sentences array<int>").toPandas().sort_values(["n", "y"], kind="stable")
+    words = rows.mapInPandas(listed, "id long, features array<int>").distinct().toPandas()
+    vocabulary = dict(zip(words["id"].tolist(), map(list, words["features"]), strict=True))
     kept = got["y"].value_counts().to_dict()
     weight = {y: counts.get(y, 0) / n for y, n in kept.items()}
-    return train([(y, np.asarray(a, dtype=np.int32), np.asarray(b, dtype=np.int32)) for y, a, b in zip(got["y"], got["words"], got["sentences"], strict=True)], weight)
+    return train([(y, np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int32)) for y, a, b in zip(got["y"], got["words"], got["sentences"], strict=True)], vocabulary, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
