@@ -36,9 +36,10 @@ def presence_fade(spark, d):
 
 
 @query(f"""WITH RECURSIVE {SAMPLES}, r AS (SELECT user_id, event_id, seq, 30e0*0.9e0+value*(1-0.9e0) v FROM e WHERE seq=0
- UNION ALL SELECT e.user_id, e.event_id, e.seq, r.v*0.9e0+e.value*(1-0.9e0) FROM r JOIN e ON e.user_id=r.user_id AND e.seq=r.seq+1) SELECT user_id, event_id, round(v,4) ema FROM r""")
+ UNION ALL SELECT e.user_id, e.event_id, e.seq, r.v*0.9e0+e.value*(1-0.9e0) FROM r JOIN e ON e.user_id=r.user_id AND e.seq=r.seq+1) SELECT user_id, event_id, round(v+1e-9,4) ema FROM r""")
 def ema(spark, d):
-    return rounded(Q.ema(samples(spark, d), "user_id", "value", ["t", "event_id"]))
+    # Sums of decimals end in exact halves; the nudge lets both engines round them alike.
+    return rounded(Q.ema(samples(spark, d), "user_id", "value", ["t", "event_id"]).withColumn("ema", F.col("ema") + 1e-9))
 
 
 @query(f"""WITH {MOVED} SELECT user_id, count(moved) n, round(avg(moved),4) mean, round(sqrt(avg(moved*moved)),4) rms, round(quantile_disc(moved,0.95),4) p95, round(max(moved),4) most,
