@@ -18,6 +18,7 @@ def texts():
         None, "", " ", "\n\t ", "Hello  WÖRLD", "don't we'll 'st ''s '''s", pick("ab", 3000), pick("abcdefgh", 3000), pick("'s", 2000), pick("!?.,'", 2000), pick("1a", 2000),
         pick("aé́ ", 3000), pick("日本語a", 2000), "x" * 5000, "the" * 1500, pick("ab \n", 3000), "<|endoftext|>" * 200, "!!<|startoftext|>s" * 100, pick("😀🏳️‍🌈a", 800),
         pick("the of and'll ", 4000), "İSTANBUL ΣΑΣ ΟΔΟΣ " * 100, "a b c\x0bd\x0ce\x1cf\x85g" * 100, "Straße" * 500,
+        pick("".join(map(chr, bpe._PLAIN)), 4000), pick("aAÀÿ'sTµª²¼×÷ \n", 4000), pick("".join(map(chr, range(1, 0x250))), 4000),
     ]
 
 

@@ -1,0 +1,101 @@
+"""The pipeline against a plain version of each stage, on what its predecessor kept."""
+
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from test_mixing import filled
+from test_simhash import components, plain
+
+import corpus_pipeline as P
+from isoline.llm import bpe, secrets, toxicity
+from isoline.llm.common import written
+
+
+def toxic(model, text):
+    none = 0.0
+    for s in toxicity.SENTENCES.findall((text or "").lower()):
+        z = model.bias + sum(float(model.weights[toxicity.features(w)].sum()) for w in toxicity.WORDS.findall(s))
+        none += np.logaddexp(0, z)
+    return 1 - np.exp(-none)
+
+
+def redacted(text):
+    parts = secrets.parts_of(text)
+    near = lambda p, cls: any(q[1] == cls and q[5] == p[5] and abs(q[3] - p[3]) <= secrets.REACH for q in parts)
+    want = {"token": ("identifier",), "identifier": ("secret",)}
+    spans = sorted((p[3], p[4]) for p in parts if p[0] != "endpoint" and (not p[2] or all(near(p, c) for c in want[p[0]])))
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf):
+    docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, f in P.STAGES:
+        kept = written(f(spark, docs, sf), name)
+        out.append((docs, kept))
+        docs = kept
+    return out
+
+
+def test_shape(spark, sf, stages):
+    assert [n for n, _ in P.STAGES] == ["toxicity", "simhash_near_dedup", "secret_scan", "mixing", "bpe"]
+    for docs, kept in stages[:-1]:
+        assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert sorted(map(tuple, P.run(spark, sf).collect())) == sorted(map(tuple, stages[-1][1].collect()))
+
+
+def test_toxic_documents_go(spark, sf, stages):
+    docs, kept = stages[0]
+    model = toxicity.trained_on(spark, sf, docs)
+    want = sorted(r.doc_id for r in docs.collect() if toxic(model, r.text) < 0.5)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_one_of_each_group_stays(stages):
+    docs, kept = stages[1]
+    rows = docs.collect()
+    want = components([plain(r.text) for r in rows], [r.doc_id for r in rows])
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_secrets_are_cut(stages):
+    docs, kept = stages[2]
+    want = {r.doc_id: redacted(r.text) for r in docs.collect()}
+    got = kept.collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    assert any("[SECRET]" in x for x in want.values())
+
+
+def test_mix_meets_targets(stages):
+    docs, kept = stages[3]
+    texts = {r.doc_id: (r.source, r.text) for r in docs.collect()}
+    sizes, taken, copies = {}, {}, {}
+    for s, t in texts.values():
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    cut = 0
+    for r in kept.collect():
+        s, t = texts[r.doc_id]
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+        taken[s] = taken.get(s, 0) + len(r.text.split())
+        if r.text != t:
+            cut += 1
+            assert t.split()[: len(r.text.split())] == r.text.split()
+    assert max(copies.values()) <= 3 and cut <= len(sizes)
+    for s, t in filled(sizes).items():
+        assert abs(taken.get(s, 0) - t) <= 2
+
+
+def test_tokens(stages):
+    docs, kept = stages[4]
+    t = bpe.load("word_bpe_49k.json")
+    want = []
+    for r in docs.collect():
+        ids = t.encode(r.text, add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, kept.collect())) == sorted(want)
