@@ -1,6 +1,6 @@
 """All registered queries: importing this package fills the registry."""
 
-from isoline.plans import frames, geometry, rules, sequence, stats
+from isoline.plans import frames, geometry, planning, rules, sequence, stats
 from isoline.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "frames", "geometry", "rules", "sequence", "stats"]
+__all__ = ["QUERIES", "SQL", "frames", "geometry", "planning", "rules", "sequence", "stats"]
