@@ -156,18 +156,21 @@ def drawn(rows: DataFrame, of: DataFrame, source: str = "source") -> DataFrame:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """docs with one row per draw, its shard and place in it as mix_shard and mix_order; a row that a target cuts keeps the first words that are drawn, joined by blanks.
+    """docs with one row per draw, its shard and place in it as mix_shard and mix_order (longer names where docs has these); a row that a target cuts keeps the first words that are drawn, joined by blanks.
 
     Null texts and texts without words have size 0 and are never drawn. Null
     sources form one source. Repeated rows are drawn alike.
     """
-    rows = dealt(docs, key, n_words(F.col(text)), source)
-    narrow = written(dealt(docs.select(key, source, text), key, n_words(F.col(text)), source).drop(text), "dealt")
-    d = unused(docs, "draw")
-    rows = drawn(rows, plan(narrow, source, **options), source).withColumn(d, F.explode("draws"))
-    said = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.col(d)["words"].cast("int")), " ")
-    rows = rows.withColumn(text, F.when(F.col(d)["words"] < F.col("mix_size"), said).otherwise(F.col(text)))
-    return rows.select(*docs.columns, F.col(d)["shard"].alias("mix_shard"), F.xxhash64("mix_hash", F.col(d)["epoch"], F.lit(SEED + 3)).alias("mix_order"))
+    ours = [F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")]
+    narrow = written(dealt(docs.select(*ours), "key", n_words(F.col("text")), "source").drop("text"), "dealt")
+    # The row travels as one column: its names can't clash with those made here.
+    rows = dealt(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("doc"), *ours), "key", n_words(F.col("text")), "source").drop("text")
+    whole = F.col("doc")[text]
+    rows = drawn(rows, plan(narrow, **options)).withColumn("draw", F.explode("draws"))
+    said = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.col("draw.words").cast("int")), " ")
+    said = F.when(F.col("draw.words") < F.col("mix_size"), said).otherwise(whole)
+    own = [(said if c == text else F.col("doc")[c]).alias(c) for c in docs.columns]
+    return rows.select(*own, F.col("draw.shard").alias(unused(docs, "mix_shard")), F.xxhash64("mix_hash", "draw.epoch", F.lit(SEED + 3)).alias(unused(docs, "mix_order")))
 
 
 def shuffled(mix: DataFrame) -> DataFrame:
