@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, 3
-PER_LANGUAGE, EPOCHS, BATCH, RATE = 600, 12, 32, 20.0
+PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE = 600, 256, 12, 32, 20.0
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 _letters: list[np.ndarray] = []
@@ -124,15 +124,30 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def drawn(rows: DataFrame, by: str, key: str, most: int, values: int = LANGUAGES) -> DataFrame:
+    """At most most rows of each of the most frequent values of by (values of them), by a hash of key.
+
+    Counts come first, so that about twice as many rows as wanted leave the
+    tasks that read them, however many tasks there are; they are then cut to
+    most exactly.
+    """
+    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()
+    if not counts:
+        return rows.limit(0)
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r[by], (2 * most + 50) / r["count"]))), F.col(by))
+    h = F.xxhash64(F.col(key), F.lit(9))
+    rows = rows.filter(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < share)
+    n = F.row_number().over(W.partitionBy(by).orderBy(h, F.col(key)))
+    return rows.withColumn("n", n).filter(F.col("n") <= most).drop("n")
+
+
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most per_language labelled rows (text, lang) of each language, by a hash of the text."""
-    rows = docs.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    near = W.partitionBy("lang").orderBy("h")
-    return rows.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= per_language).select("text", "lang")
+    """At most per_language labelled rows (text, lang) of each language, by a hash of doc_id."""
+    return drawn(docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang"), "lang", "doc_id", per_language).select("text", "lang")
 
 
 def learned(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from labelled rows (text, lang): hashed counts of the bounded sample come to the driver."""
+    """A model from labelled rows (doc_id, text, lang): hashed counts of the bounded sample come to the driver."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, unused, written
-from .langid import fold
+from .langid import drawn, fold
 
 BUCKETS, PER_LABEL, LEAST_DOCS, ROUNDS, RATE = 1 << 18, 1200, 2, 400, 0.15
 WORDS = re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ class _Weights(dict):
         self.of = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         got = self[word] = float(self.of[features(word)].sum())
         return got
@@ -67,16 +67,14 @@ def word_id(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def train(docs: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: dict[int, list[int]], weight: dict[int, float]) -> Model:
-    """A model from (label, id of each word, sentence of each word) rows; vocabulary: features by word id; weight: of a row by label."""
+def train(docs: list[tuple[int, np.ndarray, np.ndarray]], ids: np.ndarray, words: np.ndarray, weight: dict[int, float]) -> Model:
+    """A model from (label, id of each word, sentence of each word) rows; ids: of all words, sorted; words: their features; weight: of a row by label."""
     docs = [d for d in docs if len(d[1])]
     if not docs:
         return Model(np.zeros(BUCKETS, dtype=np.float32), -5.0)
     y = np.array([d[0] for d in docs], dtype=float)
     by_doc = np.array([weight.get(d[0], 1.0) for d in docs], dtype=float)
     by_doc /= by_doc.sum()
-    ids = np.sort(np.fromiter(vocabulary, dtype=np.int64))
-    words = np.array([vocabulary[i] for i in ids.tolist()])
     which = [np.searchsorted(ids, d[1]) for d in docs]
     # A feature in few documents says nothing about others.
     in_docs = np.zeros(BUCKETS, dtype=np.int64)
@@ -115,8 +113,7 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> M
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # at most two rows
-    order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "y")
+    some = drawn(known, "y", "doc_id", per_label)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")  # 2 * per_label rows at most
     order = W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     rows = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label), "labelled").select("n", "y", "text").repartition("n")
@@ -134,12 +131,15 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> M
             words = sorted({word for text in b["text"] for word in WORDS.findall(text.lower())})
             yield pd.DataFrame({"id": [word_id(x) for x in words], "features": [features(x) for x in words]})
 
-    got = rows.mapInPandas(worded, "n int, y int, words array<bigint>, sentences array<int>").toPandas().sort_values(["n", "y"], kind="stable")
-    words = rows.mapInPandas(listed, "id long, features array<int>").distinct().toPandas()
-    vocabulary = dict(zip(words["id"].tolist(), map(list, words["features"]), strict=True))
-    kept = got["y"].value_counts().to_dict()
-    weight = {y: counts.get(y, 0) / n for y, n in kept.items()}
-    return train([(y, np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int32)) for y, a, b in zip(got["y"], got["words"], got["sentences"], strict=True)], vocabulary, weight)
+    got = rows.mapInPandas(worded, "n int, y int, words array<bigint>, sentences array<int>").toArrow().combine_chunks().sort_by([("n", "ascending"), ("y", "ascending")])
+    words = rows.mapInPandas(listed, "id long, features array<int>").distinct().toArrow().combine_chunks().sort_by("id")
+    table_of = np.zeros((0, 1 + len(BEGINNINGS)), dtype=np.int32)
+    if words.num_rows:
+        table_of = words["features"].combine_chunks().flatten().to_numpy().reshape(-1, 1 + len(BEGINNINGS))
+    y = got["y"].to_pylist()
+    weight = {k: counts.get(k, 0) / y.count(k) for k in set(y)}
+    examples = [(k, a.values.to_numpy(), b.values.to_numpy()) for k, a, b in zip(y, got["words"], got["sentences"], strict=True)]
+    return train(examples, words["id"].to_numpy(), table_of, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
