@@ -10,15 +10,17 @@ of its text where each two neighbouring tokens are, and each pair there is one
 that the left, the window or the right has made. The tree ends with the text.
 
 Shorter texts are single leaves and are encoded where they are read, without a
-shuffle. Within a leaf, encodings of runs between blanks are remembered by
-worker: no merge crosses white space.
+shuffle. Within a leaf, encodings of its words are remembered by worker:
+no merge crosses them. Plain Latin-1 text is lowered and split here as the
+tokenizer would and its words go to the tokenizer's model; any other text goes to
+the whole tokenizer in runs between blanks.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,8 +32,11 @@ from pyspark.sql import types as T
 
 from .common import table
 
-LEAF, WINDOW, KNOWN, LONGEST = 32768, 64, 300_000, 64
+LEAF, WINDOW, KNOWN, LONGEST = 65536, 64, 150_000, 64
 _RUN = re.compile(r"[^ \t\n\r]+")
+#: In Latin-1 text that is lower-cased: contractions, letters, single numbers, other marks.
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\\s\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+_PLAIN = bytes([*b"\t\n\r", *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 256)])
 
 
 def load(tokenizer: str):
@@ -48,52 +53,83 @@ def load(tokenizer: str):
     return t
 
 
-class Runs(dict):
-    """Token ids of runs between blanks; short ones are kept, up to KNOWN."""
+def _between_blanks(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
-    def __init__(self, encode: Callable):
-        super().__init__({"": ()})
-        self.encode = encode
 
-    def __missing__(self, run: str):
-        got = self.encode(run)
-        if len(run) <= LONGEST:
-            if len(self) >= KNOWN:
-                self.clear()
-                self[""] = ()
-            self[run] = got
+def _is_plain(text: str) -> bool:
+    """Whether a text is of letters, marks and blanks that Python lowers and splits as the tokenizer does, without special tokens."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+class Known(dict):
+    """Encodings of parts, made by encode for many at a time. Short ones are kept, KNOWN of them and as many older ones."""
+
+    def __init__(self, encode: Callable[[list[str]], list]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def learn(self, parts: Iterable[str]) -> None:
+        new = [x for x in set(parts) if x not in self]
+        if len(self) + len(new) > KNOWN:
+            self.old = {k: v for k, v in self.items() if len(k) <= LONGEST}
+            self.clear()
+        ask = [x for x in new if x not in self.old]
+        self.update((x, self.old[x]) for x in new if x in self.old)
+        self.update(zip(ask, self.encode(ask), strict=True))
+
+    def __missing__(self, part: str):
+        got = self[part] = self.old[part] if part in self.old else self.encode([part])[0]
         return got
 
 
+def _model_ids(t) -> Callable[[list[str]], list[list[int]]]:
+    """What the tokenizer's own model makes of plain parts: they are lower-cased and split already, and only their bytes have yet to be written as the model's letters."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    letters = ByteLevel(add_prefix_space=False, use_regex=False)
+    table = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in _PLAIN if c > 32}
+    tokenize = t.model.tokenize
+    return lambda parts: [[x.id for x in tokenize(p.translate(table))] for p in parts]
+
+
 _worker: dict[str, tuple] = {}
 
 
 def _tools(tokenizer: str) -> tuple:
-    """This worker's tokenizer, runs to ids, and runs to ids with offsets."""
+    """This worker's tokenizer, and the encodings that it knows: ids, and ids with offsets."""
     if tokenizer not in _worker:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         t = load(tokenizer)
-
-        def placed(run: str) -> tuple:
-            e = t.encode(run, add_special_tokens=False)
-            return e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]
-
-        _worker[tokenizer] = t, Runs(lambda run: t.encode(run, add_special_tokens=False).ids), Runs(placed)
+        ids = Known(_model_ids(t))
+        ids.runs = Known(lambda parts: [x.ids for x in t.encode_batch_fast(parts, add_special_tokens=False)])
+        placed = Known(lambda parts: [(x.ids, [a for a, _ in x.offsets], [b for _, b in x.offsets]) for x in t.encode_batch(parts, add_special_tokens=False)])
+        _worker[tokenizer] = t, ids, placed
     return _worker[tokenizer]
 
 
-def leaf_ids(text: str, runs: Runs) -> list[int]:
-    words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return list(chain.from_iterable(map(runs.__getitem__, words)))
+def leaf_ids(texts: list[str], known: Known) -> list[list[int]]:
+    """The ids of each text."""
+    of = [known if _is_plain(x) else known.runs for x in texts]
+    parts = [_SPLIT.findall(x.lower()) if k is known else _between_blanks(x) for x, k in zip(texts, of, strict=True)]
+    for store in (known, known.runs):
+        store.learn(chain.from_iterable(x for x, k in zip(parts, of, strict=True) if k is store))
+    return [list(chain.from_iterable(map(k.__getitem__, x))) for x, k in zip(parts, of, strict=True)]
 
 
-def placed_tokens(text: str, runs: Runs, at: int = 0) -> np.ndarray:
-    """Rows of id, start, end of a text that begins at code point at of its document."""
-    found = [(m.start(), runs[m[0]]) for m in _RUN.finditer(text)]
+def placed_tokens(text: str, known: Known) -> np.ndarray:
+    """Rows of id, start and end of a text."""
+    found = [(m.start(), m[0]) for m in (_SPLIT.finditer(text.lower()) if _is_plain(text) else _RUN.finditer(text))]
     if not found:
         return np.zeros((3, 0), dtype=np.int64)
-    n = [len(x[0]) for _, x in found]
-    base = np.repeat([a for a, _ in found], n) + at
-    flat = [np.fromiter(chain.from_iterable(x[i] for _, x in found), dtype=np.int64, count=sum(n)) for i in range(3)]
+    known.learn(x for _, x in found)
+    got = [known[x] for _, x in found]
+    n = [len(x[0]) for x in got]
+    base = np.repeat([a for a, _ in found], n)
+    flat = [np.fromiter(chain.from_iterable(x[i] for x in got), dtype=np.int64, count=sum(n)) for i in range(3)]
     return np.stack([flat[0], flat[1] + base, flat[2] + base])
 
 
@@ -144,9 +180,20 @@ def _lists(values: list[list[int] | np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "word_bpe_49k.json", leaf: int = LEAF) -> DataFrame:
+def _speaker(t) -> Callable[[list[int]], str]:
+    """What decodes a list of ids."""
+    if t.decoder is not None:
+        return lambda ids: t.decode(ids, skip_special_tokens=False)
+    names = [t.id_to_token(i) for i in range(t.get_vocab_size())]
+    return lambda ids: " ".join(map(names.__getitem__, ids))  # the library then joins the tokens by blanks
+
+
+def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "word_bpe_49k.json", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
     """The columns keep of every row of docs, and ids: the tokens of its whole text (null: empty), special tokens added nowhere.
 
+    decoded adds the ids' decoding as column decoded, made by the worker that has
+    them: as decode() would, without a second Python worker to each task.
+
     The tokenizer's merges must not cross white space (a file of which that
     isn't so needs another split). Repeated rows each come back; a text of a
     billion code points is a row like any other, and its leaves are spread.
@@ -156,14 +203,17 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str
     kept = T.StructType([f for f in rows.schema.fields if f.name in names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, runs, _ = _tools(tokenizer)
+        t, known, _ = _tools(tokenizer)
+        say = _speaker(t)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                ids = _lists([leaf_ids(x, runs) for x in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], [*names, "ids"])
-
-    ids_type = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ids = leaf_ids(b.column("text").to_pylist(), known)
+                said = [pa.array(map(say, ids), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(ids), *said], made)
+
+    made = [*names, "ids", *["decoded"] * decoded]
+    ids_type = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
     done = rows.filter(F.length("text") <= leaf).mapInArrow(short, ids_type)
 
     halves = F.pow(F.lit(2), F.ceil(F.log2(F.length("text") / leaf))).cast("int")
@@ -174,30 +224,31 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str
     long = long.select(*names, "row", "leaf", "text").repartition("row", "leaf")
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, runs = _tools(tokenizer)
+        _, _, known = _tools(tokenizer)
         for whole in batches:
             for i in range(0, whole.num_rows, 16):
                 b = whole.slice(i, 16)
-                got = [placed_tokens(x, runs) for x in b.column("text").to_pylist()]
+                got = [placed_tokens(x, known) for x in b.column("text").to_pylist()]
                 cols = [pa.array([x[k].astype(np.int32).tobytes() for x in got], pa.binary()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "id", "at", "to"])
 
     leaf_type = T.StructType([*long.schema.fields, *(T.StructField(c, T.BinaryType()) for c in ("id", "at", "to"))])
 
     def merge(group: pa.Table) -> pa.Table:
-        _, _, runs = _tools(tokenizer)
+        t, _, known = _tools(tokenizer)
         group = group.combine_chunks().sort_by("leaf")
         parts = []
         for x, *cols in zip(*(group.column(c).to_pylist() for c in ("text", "id", "at", "to")), strict=True):
             tokens = np.stack([np.frombuffer(c, dtype=np.int32) for c in cols]).astype(np.int64)
             tokens[1:] += sum(len(p) for p, _ in parts)
             parts.append((x, tokens))
-        ids = concatenated(parts, lambda s: placed_tokens(s, runs))[0]
-        return pa.table([*(group.column(n).slice(0, 1) for n in names), _lists([ids])], names=[*names, "ids"])
+        ids = concatenated(parts, lambda s: placed_tokens(s, known))[0]
+        said = [pa.array([_speaker(t)(ids.tolist())], pa.string())] if decoded else []
+        return pa.table([*(group.column(n).slice(0, 1) for n in names), _lists([ids]), *said], names=made)
 
     merged = long.mapInArrow(leaves, leaf_type).groupBy("row").applyInArrow(merge, ids_type)
     out = done.unionByName(merged)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "ids")
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *made[len(names) :])
 
 
 def decode(ids: Column, tokenizer: str = "word_bpe_49k.json") -> Column:
@@ -205,21 +256,16 @@ def decode(ids: Column, tokenizer: str = "word_bpe_49k.json") -> Column:
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = load(tokenizer)
-        if t.decoder is None:  # the library then joins the tokens by blanks
-            names = [t.id_to_token(i) for i in range(t.get_vocab_size())]
-            say = lambda x: " ".join(map(names.__getitem__, x.tolist()))
-        else:
-            say = lambda x: t.decode(x.tolist(), skip_special_tokens=False)
+        say = _speaker(load(tokenizer))
         for s in batches:
-            yield pd.Series([None if x is None else say(x) for x in s], dtype=object)
+            yield pd.Series([None if x is None else say(x.tolist()) for x in s], dtype=object)
 
     return text(ids)
 
 
 def digest(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row."""
-    got = encode(docs, ["doc_id"], tokenizer=tokenizer).withColumn("decoded", decode(F.col("ids"), tokenizer))
+    got = encode(docs, ["doc_id"], tokenizer=tokenizer, decoded=True)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
