@@ -6,7 +6,8 @@ that may be a secret), ``identifier`` (a user or client name) and ``endpoint``
 (a service address). Parts of one scope (a paragraph between blank lines) are
 interval-joined: those that begin within ``REACH`` code points of each other
 meet. A weak token is reported where an identifier is near, a weak identifier
-where a secret is near, an endpoint where both are near. The join is a range
+where a secret is near, an endpoint where both are near. The user and password
+of a URL are an identifier and a token that complete each other. The join is a range
 frame over the parts of a scope, so no pairs are built.
 """
 
@@ -32,17 +33,19 @@ _NAMES = "|".join([*map(_any_case, ("password", "passwd", "secret", "token")), f
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _USERS = "|".join(map(_any_case, ("username", "user", "login", "account")))
 IDENTIFIER = re.compile(rf"""(?<![A-Za-z])(?:{_USERS}|{_any_case('client')}_?{_any_case('id')})["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{{3,}}""")
 ENDPOINT = re.compile(r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ssh)://[^\s"'<>]+""")
+#: User and password of a URL: up to the last @ before its path.
+USERINFO = re.compile(r"""(?<=[A-Za-z0-9])://([^\s"'<>/?#:@]*):([^\s"'<>/?#]+)@""")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
-PART = "array<struct<kind:string,cls:string,weak:boolean,start:int,end:int,scope:int>>"
+PART = "array<struct<kind:string,cls:string,weak:boolean,start:int,end:int,paired:boolean,scope:int>>"
 
 
-def parts_of(text: str | None) -> list[tuple[str, str, bool, int, int, int]]:
-    """The parts of a text: kind, class, whether weak, start, end (code points), scope."""
+def parts_of(text: str | None) -> list[tuple[str, str, bool, int, int, bool, int]]:
+    """The parts of a text: kind, class, whether weak, start, end (code points), whether its complement is in the same URL, scope."""
     if not text:
         return []
     found: list[tuple[str, str, bool, int, int]] = []
@@ -54,8 +57,19 @@ def parts_of(text: str | None) -> list[tuple[str, str, bool, int, int, int]]:
     found += [("hex", "secret", False, *m.span()) for m in HEX.finditer(text)]
     base = sorted((a, b) for *_, a, b in found)
     ends = [max(b for _, b in base[: i + 1]) for i in range(len(base))] if len(base) < 64 else _running_max(base)
+    paired: set[tuple[str, int, int]] = set()
+    for m in USERINFO.finditer(text) if "://" in text else ():
+        for kind, cls, (a, b) in (("identifier", "identifier", m.span(1)), ("token", "secret", m.span(2))):
+            i = bisect_right(base, (a, len(text))) - 1
+            if a < b and (i < 0 or ends[i] < b):
+                paired.add((kind, a, b))
+                found.append((kind, cls, True, a, b))
+    inside = sorted((a, b) for kind, a, b in paired if kind == "token")
     for m in TOKEN.finditer(text):
         a, b = m.span()
+        i = bisect_right(inside, (a, len(text))) - 1
+        if i >= 0 and inside[i][1] >= b:
+            continue
         i = bisect_right(base, (b, -1)) - 1
         said = m[0]
         if (i < 0 or ends[i] <= a) and any(c.isdigit() for c in said) and any(c.isupper() for c in said) and any(c.islower() for c in said):
@@ -67,7 +81,7 @@ def parts_of(text: str | None) -> list[tuple[str, str, bool, int, int, int]]:
     if not found:
         return []
     blanks = [m.start() for m in _BLANK.finditer(text)]
-    return [(*p, bisect_right(blanks, p[3])) for p in found]
+    return [(*p, (p[0], p[3], p[4]) in paired, bisect_right(blanks, p[3])) for p in found]
 
 
 def _running_max(spans: list[tuple[int, int]]) -> list[int]:
@@ -84,7 +98,7 @@ def scan(text: Column) -> Column:
     @F.pandas_udf(PART)
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(("kind", "cls", "weak", "start", "end", "scope"), p, strict=True)) for p in parts_of(x)] for x in texts])
+            yield pd.Series([[dict(zip(("kind", "cls", "weak", "start", "end", "paired", "scope"), p, strict=True)) for p in parts_of(x)] for x in texts])
 
     return parts(text)
 
@@ -102,7 +116,7 @@ def find_secrets(docs: DataFrame, keep: list[Column], text: str = "text", reach:
     meets = lambda cls: F.max(F.col("cls") == cls).over(near)
     parts = parts.withColumn("secret", meets("secret")).withColumn("named", meets("identifier"))
     complete = F.when(F.col("kind") == "token", F.col("named")).when(F.col("kind") == "identifier", F.col("secret")).otherwise(F.col("named") & F.col("secret"))
-    stands = F.col("kind").isNotNull() & (~F.col("weak") | complete)
+    stands = F.col("kind").isNotNull() & (~F.col("weak") | F.col("paired") | complete)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.when(stands, F.struct("start", order.alias("ord"), "kind", "end", "cls", "weak"))
     found = parts.groupBy("row").agg(*(F.first(n).alias(n) for n in names), F.sort_array(F.collect_list(span)).alias("spans"))
