@@ -4,10 +4,13 @@ A page is cut into blocks of text at block elements. The first pass decides
 each block from the share of its words that are stop words, its length and its
 link density; short blocks and near-misses stay open. The second pass gives
 open blocks the label of the nearest decided neighbours: the same on both sides
-decides, and where they differ the nearer one does. What the page says about
-itself counts as decided: blocks in navigation, headers, footers, asides, forms,
-notices, adverts and comments are boilerplate; blocks of an article without
-links are content.
+decides, and where they differ the nearer one does. Blocks that a page marks as
+navigation, headers, footers, asides, forms, notices, adverts and comments count
+as decided. An article or main element is evidence, not a verdict: inside it,
+fewer blocks are decided as boilerplate at once, marked ones say nothing about
+their neighbours, and its edges count as content. Labels don't cross its edges.
+An article without decided content on a page that has such elsewhere is a teaser
+and judged like the rest of the page.
 """
 
 from __future__ import annotations
@@ -67,14 +70,14 @@ def _marked(attributes: str, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes)))
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The blocks of a page in order: text, code points of it in links, whether outside the article by its markup, whether inside an article."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """The blocks of a page in order: text, code points of it in links, whether outside the article by its markup, number of the outermost article that it is in (0: none)."""
+    out: list[tuple[str, int, bool, int]] = []
     #: Open elements: name, whether outside by markup, whether an article.
     open_: list[tuple[str, bool, bool]] = []
     said: list[str] = []
     linked = 0
-    n_out = n_in = n_links = 0
+    n_out = n_in = n_links = articles = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -82,7 +85,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             text = SPACE.sub(" ", "".join(said)).strip()
             said.clear()
             if text:
-                out.append((text, linked, n_out > 0, n_in > 0))
+                out.append((text, linked, n_out > 0, articles if n_in else 0))
         linked = 0
 
     def close(k: int) -> None:
@@ -150,46 +153,62 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         outside = (name in OUTSIDE and not (name == "header" and n_in)) or marked
         open_.append((name, outside, article))
         n_out += outside
+        articles += article and not n_in
         n_in += article
         n_links += name == "a"
     end_block()
     return out
 
 
-def labels_of(blocks: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def _decided(text: str, linked: int, outside: bool, article: int) -> bool | None:
+    """The first pass: whether a block is content, None where its neighbours decide."""
+    words = WORD.findall(text.lower())
+    stop = sum(w in STOP for w in words) / len(words) if words else 0.0
+    if outside:
+        return False
+    if linked / len(text) > MOST_LINKS:
+        return None if article and stop >= LOW_STOP and len(text) >= SHORT else False
+    if len(text) < SHORT:
+        return None
+    if stop >= HIGH_STOP or stop >= LOW_STOP and (article or len(text) >= LONG):
+        return True
+    return None if article or stop >= LOW_STOP or len(text) >= LONG else False
+
+
+def labels_of(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
     """Which blocks are content."""
-    first: list[bool | None] = []
-    has_article = any(inside and not outside for *_, outside, inside in blocks)
-    for text, linked, outside, inside in blocks:
-        links = linked / len(text)
-        words = WORD.findall(text.lower())
-        stop = sum(w in STOP for w in words) / len(words) if words else 0.0
-        if outside or has_article and not inside:
-            first.append(False)
-        elif links > MOST_LINKS:
-            first.append(False)
-        elif inside:
-            first.append(True)
-        elif len(text) < SHORT:
-            first.append(None)
-        elif stop >= HIGH_STOP or stop >= LOW_STOP and len(text) >= LONG:
-            first.append(True)
-        elif stop >= LOW_STOP or len(text) >= LONG:
-            first.append(None)
+    first = [_decided(*b) for b in blocks]
+    real = {b[3] for b, x in zip(blocks, first, strict=True) if x and b[3]}
+    if not any(first):
+        real = {b[3] for b in blocks if b[3]}
+    elif len(real) < len({b[3] for b in blocks if b[3]}):  # a teaser is judged again, without its markup's word
+        first = [x if not b[3] or b[3] in real else _decided(*b[:3], 0) for b, x in zip(blocks, first, strict=True)]
+    out: list[bool] = []
+    while len(out) < len(blocks):
+        a = len(out)
+        article = blocks[a][3] if blocks[a][3] in real else 0
+        b = next((k for k in range(a, len(blocks)) if (blocks[k][3] if blocks[k][3] in real else 0) != article), len(blocks))
+        if article:
+            out += _inherited([None if x[2] else y for x, y in zip(blocks[a:b], first[a:b], strict=True)], True)
+            out[a:b] = [y and not x[2] for x, y in zip(blocks[a:b], out[a:b], strict=True)]
         else:
-            first.append(False)
-    # Second pass: the nearest decided on each side; ties go to content only where both are.
+            out += _inherited(first[a:b], False)
+    return out
+
+
+def _inherited(first: list[bool | None], edge: bool) -> list[bool]:
+    """The second pass: open blocks get the label of the nearest decided one, of two as near the label edge. Where edge is True both ends count as content beside the first and last block, else nothing is beyond them."""
     n = len(first)
     before: list[tuple[int, bool]] = []
-    last = (-n - 1, False)
+    last = (-1, True) if edge else (-n - 1, False)
     for i, x in enumerate(first):
         last = (i, x) if x is not None else last
         before.append(last)
-    out, nearest = [False] * n, (2 * n + 1, False)
+    out, nearest = [False] * n, (n, True) if edge else (2 * n + 1, False)
     for i in range(n - 1, -1, -1):
         nearest = (i, first[i]) if first[i] is not None else nearest
         (a, left), (b, right) = before[i], nearest
-        out[i] = first[i] if first[i] is not None else (left if left == right else (left if i - a < b - i else right if b - i < i - a else False))
+        out[i] = first[i] if first[i] is not None else (left if left == right else (left if i - a < b - i else right if b - i < i - a else edge))
     return out
 
 
