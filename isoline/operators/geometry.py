@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -183,8 +185,10 @@ def tension(springs: DataFrame, by: list[str]) -> DataFrame:
     return ends.groupBy(*by, "v").agg((F.sum(F.col("w") * F.col("strain")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("tension"), F.count("*").alias("n"))
 
 
-def shortest_paths(edge_table: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(v, d): the least length from any source (v) over undirected edges (a, b, w), of paths of at most rounds edges. Each round is a join and a partial minimum; lineage is cut by checkpoints."""
+def shortest_paths(edge_table: DataFrame, sources: DataFrame, rounds: int | None = None, block: int = 65536) -> DataFrame:
+    """(v, d): the least length from any source (v) over undirected edges (a, b, w); with rounds, of paths of at most so many edges. Each round is a join and a partial minimum; lineage is cut by checkpoints."""
+    if rounds is None:
+        return _settled_paths(edge_table, sources, block)
     both = edge_table.select("a", "b", "w").unionByName(edge_table.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     best = sources.select("v", F.lit(0.0).alias("d"))
     for i in range(rounds):
@@ -195,6 +199,47 @@ def shortest_paths(edge_table: DataFrame, sources: DataFrame, rounds: int) -> Da
     return best
 
 
+def _settled_paths(edge_table: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """All least lengths: vertices, which are numbers, are cut into ranges of about block edges; each round settles every range by itself and hands lengths on to the others, until a round changes nothing. The driver holds the cuts and a count."""
+    both = edge_table.select("a", "b", "w").unionByName(edge_table.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = checkpointed(both.groupBy("a", "b").agg(F.min("w").cast("double").alias("w")))
+    n, low = both.agg(F.count("*"), F.min("w")).first()
+    if low is not None and low < 0:
+        raise ValueError("shortest_paths: a negative edge has no least length")
+    m = n // block + 1
+    cuts = both.approxQuantile("a", [i / m for i in range(1, m)], 0.25 / m) if m > 1 else []
+    held = lambda v: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(v))) if cuts else F.lit(0)
+    both = checkpointed(both.withColumn("part", held("a")))
+    kind = dict(both.dtypes)["a"]
+
+    def settled(known: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        best = dict(zip(known["v"].tolist(), known["d"].tolist(), strict=True))
+        near: dict[int, list[tuple[int, float]]] = {}
+        for a, b, w in zip(links["a"].tolist(), links["b"].tolist(), links["w"].tolist(), strict=True) if best else ():
+            near.setdefault(a, []).append((b, w))
+        heap = [(d, v) for v, d in best.items()]
+        heapify(heap)
+        while heap:
+            d, v = heappop(heap)
+            if d > best[v]:
+                continue
+            for b, w in near.get(v, ()):
+                if d + w < best.get(b, float("inf")):
+                    best[b] = d + w
+                    heappush(heap, (d + w, b))
+        return pd.DataFrame({"v": list(best), "d": list(best.values())}).astype({"v": links["a"].dtype if len(links) else known["v"].dtype, "d": "float64"})
+
+    best = checkpointed(sources.select(F.col("v").cast(kind), F.lit(0.0).alias("d")).distinct())
+    while True:
+        step = best.withColumn("part", held("v")).groupBy("part").cogroup(both.groupBy("part")).applyInPandas(settled, f"v {kind}, d double")
+        new = step.groupBy("v").agg(F.min("d").alias("d")).join(best.withColumnRenamed("d", "old"), "v", "left")
+        new = checkpointed(new)
+        changed = new.filter("old is null or d < old").limit(1).count()
+        best = new.select("v", "d")
+        if not changed:
+            return best
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage in the cluster's shared folder, or in a fresh one where none is set."""
     import tempfile

@@ -210,9 +210,19 @@ def vertex_tension(spark, d):
  r AS (SELECT 0 k, 0::BIGINT v, 0e0 d UNION ALL SELECT k+1, v, min(d) FROM (SELECT k, b v, d+w d FROM r JOIN s ON r.v=s.a WHERE k<8 UNION ALL SELECT k, v, d FROM r WHERE k<8) GROUP BY k, v)
  SELECT v, round(min(d),4) d FROM r WHERE k=8 GROUP BY 1""")
 def surface_path(spark, d):
-    """Least lengths from vertex 0, over at most eight edges."""
+    """Least lengths from vertex 0, over at most eight edges, as its SQL has it."""
+    return rounded(G.shortest_paths(*_surface(spark, d), 8))
+
+
+@query()
+def surface_path_whole(spark, d):
+    """Least lengths from vertex 0 over any number of edges."""
+    return rounded(G.shortest_paths(*_surface(spark, d)))
+
+
+def _surface(spark, d):
     e = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1 + F.col("l_partkey") % 3).alias("b")).agg(F.min("l_quantity").alias("w"))
     start = read(spark, d, "supplier").filter("s_suppkey = 0").select(F.col("s_suppkey").alias("v"))
-    return rounded(G.shortest_paths(e, start, 8))
+    return e, start
 
 

@@ -128,3 +128,18 @@ def test_one_euro_against_a_loop(spark):
         f = b * x[i] + (1 - b) * f
         want.append(f)
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_shortest_paths_settle(spark):
+    rng = np.random.default_rng(5)
+    links = [(i, i + 1, 1.0) for i in range(60)] + [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 61, 20), rng.integers(0, 61, 20), rng.integers(1, 40, 20), strict=True)] + [(100, 101, 1.0)]
+    want = {0: 0.0}
+    for _ in range(61):
+        for a, b, w in [*links, *((b, a, w) for a, b, w in links)]:
+            if a in want and want[a] + w < want.get(b, 1e9):
+                want[b] = want[a] + w
+    e, start = spark.createDataFrame(links, "a long, b long, w double"), spark.createDataFrame([(0,)], "v long")
+    for block in (65536, 40):
+        assert {r.v: r.d for r in G.shortest_paths(e, start, block=block).collect()} == want
+    with pytest.raises(ValueError):
+        G.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "a long, b long, w double"), start)
