@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -78,10 +79,33 @@ def normalised(v: Column, low: Column, high: Column) -> Column:
 
 
 def nearest_k(points: DataFrame, others: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k others nearest each point of the same by columns, with d and rank n; ties by other_id. points: id, x..z; others: other_id, ox..oz."""
-    pairs = points.join(others, by).withColumn("d", E.distance(cols(), cols("o"))).filter("id <> other_id")
-    near = W.partitionBy(*by, "id").orderBy("d", "other_id")
-    return pairs.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= k)
+    """The k others nearest each point of the same by columns, with d and rank n; ties by other_id. points: id, x..z; others: other_id, ox..oz.
+
+    Points ask the grid cells around them; those that don't find k others within
+    the radius ask again with twice of it, and the few left when it spans the
+    cloud are joined with all of their group. Of others at the same place, the
+    k + 1 of least id are enough.
+    """
+    same = W.partitionBy(*by, *cols("o")).orderBy("other_id")
+    others = checkpointed(others.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"))
+    rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("d", "other_id"))
+    ranked = lambda pairs: pairs.filter("id <> other_id").withColumn("n", rank).filter(F.col("n") <= k)
+    spans = [F.max(f"o{n}") - F.min(f"o{n}") for n in XYZ]
+    groups = others.groupBy(*by).agg(F.count("*").alias("m"), F.greatest(*spans).alias("span"))
+    m, span = groups.agg(F.max("m"), F.max("span")).first()
+    left, out = checkpointed(points), []
+    radius = 0.5 * span * ((k + 1) / m) ** (1 / 3) if m and span else 0.0
+    while radius and radius < span:
+        near = checkpointed(ranked(_near(left, others, by, radius)))
+        done = near.filter(F.col("n") == k).select(*by, "id")
+        out.append(near.join(done, [*by, "id"], "left_semi"))
+        left = checkpointed(left.join(done, [*by, "id"], "left_anti"))
+        if left.isEmpty():
+            break
+        radius *= 2
+    out.append(ranked(left.join(others, by).withColumn("d", E.distance(cols(), cols("o")))))
+    names = out[-1].columns
+    return reduce(DataFrame.unionAll, (x.select(*names) for x in out))
 
 
 def direction_field(near: DataFrame, by: list[str], reach: Column) -> DataFrame:
@@ -110,8 +134,7 @@ def medoid_fused(views: DataFrame, by: list[str], inlier: float) -> DataFrame:
 
 def residual_field(points: DataFrame, anchors: DataFrame, by: list[str], sigma: float, cutoff: float, most: float) -> DataFrame:
     """Gaussian-weighted mean of anchors' residuals (rx..rz) at each point, clipped to length most; anchors beyond cutoff don't count."""
-    d = E.distance(cols(), cols("o"))
-    near = points.join(anchors, by).withColumn("d", d).filter(F.col("d") <= cutoff)
+    near = _near(points, anchors, by, cutoff)
     w = F.exp(-0.5 * (F.col("d") / sigma) ** 2)
     sums = near.groupBy(*by, "id").agg(F.sum(w).alias("w"), *(F.sum(w * F.col(f"r{n}")).alias(f"m{n}") for n in XYZ))
     mean = [F.col(f"m{n}") / F.greatest("w", F.lit(1e-12)) for n in XYZ]
@@ -132,6 +155,15 @@ def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
     return asked.join(there, ["cx", "cy", "cz"]).withColumn("d", E.distance(cols(), cols("o"))).filter(F.col("d") <= radius)
 
 
+def _near(points: DataFrame, others: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """points (x..z) joined with the others (ox..oz) of the same by columns within radius, at distance d, by grid cells."""
+    size, names = radius * (1 + 1e-9), ["cx", "cy", "cz"]
+    around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"e{n}") for n, v in zip(XYZ, (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    asked = cells(points, size).withColumn("e", around).withColumns({f"c{n}": F.col(f"c{n}") + F.col(f"e.e{n}") for n in XYZ}).drop("e")
+    there = others.withColumns({f"c{n}": F.floor(F.col(f"o{n}") / size) for n in XYZ})
+    return asked.join(there, [*by, *names]).drop(*names).withColumn("d", E.distance(cols(), cols("o"))).filter(F.col("d") <= radius)
+
+
 def moments(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """Weighted means and second moments of sources (x..z) and targets (qx..qz) by group: all that an alignment needs of its points."""
     w = F.lit(1.0) if weight is None else weight

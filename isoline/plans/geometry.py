@@ -132,15 +132,35 @@ def _others(spark, d, every=10):
  s AS (SELECT label, id, sum(sg*tx/(dd+1e-6)) sx, sum(sg*ty/(dd+1e-6)) sy, sum(sg*tz/(dd+1e-6)) sz, min(dd) nearest, count(*) support FROM (SELECT *, CASE WHEN tx*fx+ty*fy+tz*fz<0 THEN -1 ELSE 1 END sg FROM f) GROUP BY 1,2)
  SELECT id, round(sx/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dx, round(sy/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dy, round(sz/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dz, support, round(nearest,4) nearest, round(least(greatest(1-nearest/greatest(reach,1e-9),0),1),4)+0 confidence FROM s JOIN r USING(label)""")
 def knn_direction(spark, d):
+    return _directions(spark, d, _others(spark, d))
+
+
+@query()
+def knn_direction_whole(spark, d):
+    """knn_direction with all points as candidates."""
+    return _directions(spark, d, _others(spark, d, 1))
+
+
+def _directions(spark, d, others):
     pts = points(spark, d)
     reach = pts.groupBy("label").agg((0.18 * F.sqrt(sum((F.max(n) - F.min(n)) ** 2 for n in "xyz"))).alias("reach"))
-    near = G.nearest_k(pts.select("label", "id", "x", "y", "z"), _others(spark, d), ["label"], 7).join(reach, "label")
+    near = G.nearest_k(pts.select("label", "id", "x", "y", "z"), others, ["label"], 7).join(reach, "label")
     return rounded(G.direction_field(near, ["label"], F.col("reach")).drop("label"))
 
 
 @query(f"""WITH {POINTS} SELECT a.id, arg_min(b.id,({DIST},b.id)) nearest_id, round(min({DIST}),4) distance FROM p a JOIN p b ON a.label=b.label AND b.id%10=0 AND a.id<>b.id GROUP BY 1""")
 def nearest_one(spark, d):
-    near = G.nearest_k(points(spark, d).select("label", "id", "x", "y", "z"), _others(spark, d), ["label"], 1)
+    return _nearest(spark, d, _others(spark, d))
+
+
+@query()
+def nearest_one_whole(spark, d):
+    """nearest_one with all points as candidates."""
+    return _nearest(spark, d, _others(spark, d, 1))
+
+
+def _nearest(spark, d, others):
+    near = G.nearest_k(points(spark, d).select("label", "id", "x", "y", "z"), others, ["label"], 1)
     return rounded(near.select("id", F.col("other_id").alias("nearest_id"), F.col("d").alias("distance")))
 
 
@@ -156,7 +176,17 @@ def medoid_fuse(spark, d):
  m AS (SELECT id, sum(w*tx)/greatest(sum(w),1e-12) x, sum(w*ty)/greatest(sum(w),1e-12) y, sum(w*tz)/greatest(sum(w),1e-12) z FROM q GROUP BY 1),
  c AS (SELECT *, CASE WHEN sqrt(x*x+y*y+z*z)>0.1 THEN 0.1/sqrt(x*x+y*y+z*z) ELSE 1 END k FROM m) SELECT id, round(x*k,4)+0 dx, round(y*k,4)+0 dy, round(z*k,4)+0 dz FROM c""")
 def gaussian_residual(spark, d):
-    anchors = _others(spark, d).select("label", "ox", "oy", "oz", *(F.col(f"ot{n}").alias(f"r{n}") for n in "xyz"))
+    return _residuals(spark, d, _others(spark, d))
+
+
+@query()
+def gaussian_residual_whole(spark, d):
+    """gaussian_residual with all points as anchors."""
+    return _residuals(spark, d, _others(spark, d, 1))
+
+
+def _residuals(spark, d, others):
+    anchors = others.select("label", "ox", "oy", "oz", *(F.col(f"ot{n}").alias(f"r{n}") for n in "xyz"))
     return rounded(G.residual_field(points(spark, d).select("label", "id", "x", "y", "z"), anchors, ["label"], 0.1, 0.2, 0.1).drop("label"))
 
 

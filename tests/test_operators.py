@@ -1,5 +1,8 @@
 """Geometry and sequences against closed forms and numpy."""
 
+import os
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from isoline.operators import geometry as G
 from isoline.operators import review as V
 from isoline.operators import rules as R
 from isoline.operators import sequence as Q
+from isoline.plans import QUERIES, SQL
 from isoline.sources import meshes as M
 
 
@@ -143,3 +147,31 @@ def test_shortest_paths_settle(spark):
         assert {r.v: r.d for r in G.shortest_paths(e, start, block=block).collect()} == want
     with pytest.raises(ValueError):
         G.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "a long, b long, w double"), start)
+
+
+def test_nearest_of_all_points(spark):
+    rng = np.random.default_rng(6)
+    xyz = np.vstack([rng.normal(size=(120, 3)), rng.normal(size=(30, 3)) * 0.01 + 3, np.ones((20, 3)), [[40, 0, 0], [0, -90, 5]]])
+    rows = [("a" if i % 3 else "b", i, *map(float, p)) for i, p in enumerate(xyz)] + [("c", 500, 0.0, 0.0, 0.0), ("c", 501, 1.0, 0.0, 0.0), ("d", 600, 0.0, 0.0, 0.0)]
+    pts = spark.createDataFrame(rows, "label string, id long, x double, y double, z double")
+    others = pts.select("label", F.col("id").alias("other_id"), *(F.col(n).alias(f"o{n}") for n in "xyz"))
+    for k in (1, 7):
+        want = []
+        for g, i, *p in rows:
+            d = sorted((sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5, j) for h, j, *q in rows if h == g and j != i)
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(d[:k])]
+        assert sorted((r.id, r.n, r.other_id) for r in G.nearest_k(pts, others, ["label"], k).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["nearest_one", "knn_direction", "gaussian_residual"])
+def test_whole_queries_have_all_candidates(spark, name):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    sql = SQL[name].replace("b.id%10=0", "true")
+    assert sql != SQL[name]
+    r = c.execute(sql)
+    names = [x[0] for x in r.description]
+    text = lambda v: f"{v + 0.0:.4f}" if isinstance(v, float) else str(v)
+    want = sorted(tuple(map(text, x)) for x in r.fetchall())
+    assert sorted(tuple(text(x[n]) for n in names) for x in QUERIES[f"{name}_whole"](spark, sf).collect()) == want
