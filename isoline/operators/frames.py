@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -140,11 +142,13 @@ def centreline(df: DataFrame, by: str, step: float) -> DataFrame:
     return df.groupBy(by, F.floor(F.col("x") / step).alias("bin")).agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count("*").alias("n"))
 
 
-def least_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(v, label): the least vertex that each vertex of edges (a, b) reaches. Labels spread along edges and jump to their label's label until none changes; lineage is cut each few rounds."""
+def least_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, label): the least vertex that each vertex of edges (a, b) reaches. Labels spread along edges and jump to their label's label until none changes; lineage is cut each round. Where a bound of rounds is given and isn't enough, an error says so."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    for _ in range(rounds):
+    for i in count():
+        if i == rounds:
+            raise RuntimeError(f"least_labels: labels still change after {rounds} rounds")
         near = labels.join(both, labels["v"] == both["b"]).select(F.col("a").alias("v"), "label")
         jump = labels.alias("l").join(labels.alias("m"), F.col("l.label") == F.col("m.v")).select(F.col("l.v").alias("v"), F.col("m.label").alias("label"))
         new = labels.withColumn("old", F.col("label")).unionByName(near.withColumn("old", F.lit(None).cast("long"))).unionByName(jump.withColumn("old", F.lit(None).cast("long")))
@@ -152,8 +156,7 @@ def least_labels(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("v", "label")
         if not changed:
-            break
-    return labels
+            return labels
 
 
 def respaced(df: DataFrame, key: str, spacing: float) -> DataFrame:

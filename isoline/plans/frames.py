@@ -96,9 +96,19 @@ def binned_centreline(spark, d):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey a, o_custkey+o_orderkey%3*7 b FROM orders WHERE o_orderkey%5=0 AND o_orderkey%3>0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a v, a l FROM s UNION SELECT s.b, r.l FROM r JOIN s ON r.v=s.a) SELECT v, min(l) AS "label" FROM r GROUP BY 1""")
 def connected_components(spark, d):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    e = read(spark, d, "orders").filter((k % 5 == 0) & (k % 3 > 0)).select(c.alias("a"), (c + k % 3 * 7).alias("b"))
-    return K.least_labels(e)
+    k = F.col("o_orderkey")
+    return K.least_labels(_links(read(spark, d, "orders").filter((k % 5 == 0) & (k % 3 > 0))))
+
+
+@query()
+def connected_components_whole(spark, d):
+    """connected_components with all orders as edges."""
+    return K.least_labels(_links(read(spark, d, "orders")))
+
+
+def _links(orders):
+    c = F.col("o_custkey")
+    return orders.select(c.alias("a"), (c + F.col("o_orderkey") % 3 * 7).alias("b"))
 
 
 @query()

@@ -175,3 +175,25 @@ def test_whole_queries_have_all_candidates(spark, name):
     text = lambda v: f"{v + 0.0:.4f}" if isinstance(v, float) else str(v)
     want = sorted(tuple(map(text, x)) for x in r.fetchall())
     assert sorted(tuple(text(x[n]) for n in names) for x in QUERIES[f"{name}_whole"](spark, sf).collect()) == want
+
+
+def test_components_of_all_orders(spark):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    root = {}
+
+    def top(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for k, c in duckdb.sql(f"select o_orderkey, o_custkey from '{sf}/orders.parquet'").fetchall():
+        a, b = top(c), top(c + k % 3 * 7)
+        root[max(a, b)] = min(a, b)
+    assert {r.v: r.label for r in QUERIES["connected_components_whole"](spark, sf).collect()} == {v: top(v) for v in list(root)}
+
+
+def test_labels_that_have_not_settled_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        K.least_labels(chain, 2)
+    assert {r.label for r in K.least_labels(chain).collect()} == {0}
