@@ -81,11 +81,12 @@ def margin_distance(spark, d):
 TRI = f"""{POINTS}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id)-1 r FROM p), m AS (SELECT label, r//3 tri, {", ".join(f"max({n}) FILTER (WHERE r%3={j}) {n}{j}" for j in range(3) for n in "xyz")} FROM k WHERE r<15 GROUP BY 1,2)"""
 
 
-def _triangles(spark, d):
-    """Five triangles of each label: its first fifteen points in threes."""
+def _triangles(spark, d, whole=False):
+    """Triangles of each label, its points in threes: of the first fifteen or, where whole, of all."""
     from pyspark.sql import Window as W
 
-    rows = points(spark, d).withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("id")) - 1).filter("r < 15")
+    rows = points(spark, d).withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("id")) - 1)
+    rows = rows if whole else rows.filter("r < 15")
     return rows.groupBy("label", F.floor(F.col("r") / 3).alias("tri")).agg(*(F.max(F.when(F.col("r") % 3 == j, F.col(n))).alias(f"{n}{j}") for j in range(3) for n in "xyz")).na.drop()
 
 
@@ -95,7 +96,17 @@ def _triangles(spark, d):
  SELECT id, CAST(arg_min(tri,(CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN 0 ELSE 1 END, CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN -round((z0+z1+z2)/3,9) ELSE -round(least(v,w,1-v-w),9) END, tri)) AS BIGINT) tri, bool_or(v>=0 AND w>=0 AND 1-v-w>=0) inside FROM q GROUP BY 1""")
 def bary_locate(spark, d):
     """The triangle of its label that each point lies in; of several the one with the greatest mean z, of none the one missed least."""
-    rows = points(spark, d).join(_triangles(spark, d), "label")
+    return _located(spark, d, _triangles(spark, d))
+
+
+@query()
+def bary_locate_whole(spark, d):
+    """bary_locate among the triangles of all points."""
+    return _located(spark, d, _triangles(spark, d, True))
+
+
+def _located(spark, d, triangles):
+    rows = points(spark, d).join(triangles, "label")
     corner = [[F.col(f"{n}{j}") for n in "xy"] for j in range(3)]
     u, v, w = E.barycentric_coordinates([F.col("x"), F.col("y")], *corner)
     inside, least = (u >= 0) & (v >= 0) & (w >= 0), F.least(u, v, w)
@@ -116,7 +127,17 @@ def _edge_sql(a, b):
  r AS (SELECT id, tri, round(CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN sqrt({"+".join(f"pow({n}-((1-v-w)*{n}0+v*{n}1+w*{n}2),2)" for n in "xyz")}) ELSE least(g1,g2,g3) END,9) dist FROM q)
  SELECT id, CAST(arg_min(tri,(dist,tri)) AS BIGINT) tri, round(min(dist),4) distance FROM r GROUP BY 1""")
 def closest_triangle(spark, d):
-    rows = points(spark, d).join(_triangles(spark, d), "label")
+    return _closest(spark, d, _triangles(spark, d))
+
+
+@query()
+def closest_triangle_whole(spark, d):
+    """closest_triangle among the triangles of all points."""
+    return _closest(spark, d, _triangles(spark, d, True))
+
+
+def _closest(spark, d, triangles):
+    rows = points(spark, d).join(triangles, "label")
     dist = E.distance_to_triangle(G.cols(), *([F.col(f"{n}{j}") for n in "xyz"] for j in range(3)))
     best = F.min(F.struct(F.round(dist, 9).alias("distance"), F.col("tri")))
     return rounded(rows.groupBy("id").agg(best.alias("b")).select("id", F.col("b.tri").cast("long").alias("tri"), "b.distance"))
