@@ -3,17 +3,19 @@
 Each of ``TREES`` trees hashes a vector to a string of ``BITS`` signs of random
 projections, and keeps the strings as sorted arrays. A query descends in every
 tree to its longest matching prefix, then all trees ascend together, one bit at
-a time, until the rows under the query's prefixes, summed over trees, number the
-share ``WANTED`` of all vectors, and ``LEAST``, or more; those rows are its candidates, and their
-cosines are computed exactly. A share keeps recall alike at every size; vectors
-without structure, as in the test tables, need one this large.
+a time and within the last bit tree by tree, until the rows under the query's
+prefixes, summed over trees, number ``SHARE * n ** POWER`` of all n vectors, and
+so many that the wanted number of them must be distinct; those rows are its candidates, and their cosines are computed exactly. As with
+any such hashing, candidates grow as a power of n under one. The constants suit
+vectors without any structure, as in the test tables, where the nearest are at
+cosines of 0.35 to 0.45 and only many candidates give recall.
 
 In Spark the vectors are dealt into blocks of about ``BLOCK`` rows, and a block
-has the sorted arrays of all trees over its rows. The stated query set visits
-all blocks, in slices of ``QUERIES``: a first pass counts the rows under each
-length of a query's prefixes in each block, the sums over blocks give the common
-length, and a second pass scores the rows under those prefixes and keeps a
-block's best. Vectors travel once a slice, candidates never. Equal vectors are
+has the sorted arrays of all trees over its rows. The stated query set is held
+against all blocks, in slices of ``QUERIES``: a first pass counts the rows under
+each length of a query's prefixes in each block, the sums over blocks tell where
+to stop, and a second pass scores the rows under those prefixes and keeps a
+block's best. A vector travels once a slice, candidates never. Equal vectors are
 one entry with its ``k + 1`` least ids, which are all that a result can hold.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-TREES, BITS, WANTED, LEAST, BLOCK, QUERIES, SEED = 32, 48, 0.5, 8000, 16384, 8192, 5
+TREES, BITS, SHARE, POWER, BLOCK, QUERIES, SEED = 128, 32, 6.0, 0.72, 16384, 8192, 5
 
 
 def usable(vector: Column) -> Column:
@@ -36,10 +38,17 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def scaled(v: Column) -> Column:
+    """A usable vector over the power of two that brings its largest component to 1 or 2: an exact step, after which no square over- or underflows."""
+    wide = v.cast("array<double>")
+    most = F.array_max(F.transform(wide, F.abs))
+    size = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(most)), F.lit(-1022)).cast("double"))
+    return F.transform(wide, lambda x: x / size)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two vectors in double precision, summed in their order."""
-    wide = lambda v: v.cast("array<double>")
-    dot = lambda x, y: F.aggregate(F.zip_with(wide(x), wide(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    """The cosine of two scaled() vectors in double precision, summed in their order."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -71,10 +80,11 @@ def _under(code: np.ndarray, query: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def searched(entries: DataFrame, asked: DataFrame, dims: int, best: int, trees: int = TREES, bits: int = BITS, wanted: float = WANTED, block: int = BLOCK, queries: int = QUERIES, seed: int = SEED) -> DataFrame:
-    """(query, rep): of each query (rep, v) of asked the best entries (rep, v) that the forest finds in each block."""
+def searched(entries: DataFrame, asked: DataFrame, dims: int, best: int, trees: int = TREES, bits: int = BITS, share: float = SHARE, power: float = POWER, block: int = BLOCK, queries: int = QUERIES, seed: int = SEED) -> DataFrame:
+    """(query, rep, near): of each query (rep, v) of asked the best entries (rep, v) that the forest finds in each block, and the number of its candidates there."""
     total = entries.count()
-    least = max(best, LEAST, int(np.ceil(wanted * total)))
+    # Of so many rows summed over trees, the query's own left out, best are distinct.
+    least = max(best * trees, int(np.ceil(share * total**power)))
     n_blocks, n_slices = max(1, -(-total // block)), max(1, -(-asked.count() // queries))
     index = entries.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("part"))
     asked = asked.select(F.col("rep").alias("query"), F.col("v").alias("q"), F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(n_slices)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
@@ -92,19 +102,23 @@ def searched(entries: DataFrame, asked: DataFrame, dims: int, best: int, trees:
         return pd.DataFrame({"query": asking["query"].to_numpy(), "under": list(under)})
 
     under = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(descended, "query long, under array<long>")
-    sums = under.groupBy("query").agg(*(F.sum(F.col("under")[n]).alias(f"n{n}") for n in range(bits + 1)))
-    # Counts fall with the length: all trees and blocks ascend to the longest prefixes that have enough rows.
-    enough = sum((F.col(f"n{n}") >= least).cast("int") for n in range(bits + 1))
-    asked = asked.join(sums.select("query", F.greatest(enough - 1, F.lit(0)).alias("length")), "query")
+    sums = under.groupBy("query").agg(*((F.sum(F.col("under")[n]) - trees).alias(f"n{n}") for n in range(bits + 1)))
+    # Counts fall with the length: trees and blocks ascend to the longest prefixes that have enough rows. The last bit is taken by as many trees as are needed for what is still missing.
+    counts = F.array(*(F.col(f"n{n}") for n in range(bits + 1)))
+    length = F.greatest(F.size(F.filter(counts, lambda n: n >= least)) - 1, F.lit(0))
+    sums = sums.select("query", length.alias("length"), F.get(counts, length).alias("under"), F.coalesce(F.get(counts, length + 1), F.lit(0)).alias("over"))
+    missing = (least - F.col("over")) / F.greatest(F.col("under") - F.col("over"), F.lit(1))
+    asked = asked.join(sums.select("query", "length", F.least(F.ceil(missing * trees), F.lit(trees)).cast("int").alias("risen")), "query")
 
     def ascended(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(rows):
-            return pd.DataFrame({"query": [], "rep": []})
+            return pd.DataFrame({"query": [], "rep": [], "near": []})
         x, q, code, of = trees_of(rows, asking)
         rep, order = rows["rep"].to_numpy(), np.argsort(code, axis=1)
-        shift = bits - asking["length"].to_numpy(dtype=np.int64)
+        length, risen = (asking[c].to_numpy(dtype=np.int64) for c in ("length", "risen"))
+        shift = bits - np.minimum(bits, length + (np.arange(trees)[:, None] >= risen))
         low = (of >> shift) << shift
-        spans = [(np.searchsorted(c[o], a), np.searchsorted(c[o], a + (np.int64(1) << shift))) for c, o, a in zip(code, order, low, strict=True)]
+        spans = [(np.searchsorted(c[o], a), np.searchsorted(c[o], a + (np.int64(1) << s))) for c, o, a, s in zip(code, order, low, shift, strict=True)]
         size = np.sqrt((x * x).sum(axis=1))
         out = []
         for i, query in enumerate(asking["query"].to_numpy()):
@@ -117,10 +131,10 @@ def searched(entries: DataFrame, asked: DataFrame, dims: int, best: int, trees:
                 if len(at) > best:  # all at the last score that counts, and a hair below
                     keep = score >= np.partition(score, -best)[-best] - 1e-9
                     at, score = at[keep], score[keep]
-                out.append(pd.DataFrame({"query": query, "rep": rep[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": []})
+                out.append(pd.DataFrame({"query": query, "rep": rep[at], "near": int(near.sum())}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "near": []})
 
-    return index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(ascended, "query long, rep long")
+    return index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(ascended, "query long, rep long, near long")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", **forest) -> DataFrame:
@@ -128,7 +142,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     Vectors null, zero, of another length than most or with null or non-finite
     components take no part, nor do null ids; a query without candidates has no
-    rows. Rows with equal ids and vectors are one.
+    rows. Rows with equal ids and vectors are one. Other columns play no part.
+    Components may be of any finite size: vectors are scaled before they are squared.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asks")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     sized = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -145,7 +160,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     asked_reps = asking.select("rep").distinct()
     ours = written(asked_reps.join(entries.select("rep", "v"), "rep"), "asked")
     found = searched(entries.select("rep", "v"), ours, dims, k + 1, **forest)
-    scored = found.join(ours.select(F.col("rep").alias("query"), F.col("v").alias("q")), "query").join(entries, "rep").select("query", "ids", cosine(F.col("q"), F.col("v")).alias("score"))
+    scored = found.join(ours.select(F.col("rep").alias("query"), F.col("v").alias("q")), "query").join(entries, "rep").select("query", "ids", cosine(scaled(F.col("q")), scaled(F.col("v"))).alias("score"))
     # The k + 1 best of each distinct query; a copy of the query itself may be among them.
     scored = scored.select("query", "score", F.explode("ids").alias("id"))
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")

@@ -1,7 +1,9 @@
 """BPE encoding by tree concatenation, and decoding.
 
 A text above ``leaf`` code points is halved until its parts are short enough;
-the leaves are encoded in parallel, each as a text of its own. Two neighbours
+each leaf is encoded as a text of its own: leaves of a text up to ``spread`` code
+points where the text is read, those of longer ones in parallel, as rows of their
+own. Two neighbours
 are then concatenated: a window around their join is encoded again and grown
 until it shares a whole token with each side at the same place. The left side
 up to its shared token, the window between the two, and the right side from its
@@ -21,7 +23,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-LEAF, WINDOW, KNOWN, LONGEST = 65536, 64, 150_000, 64
+LEAF, SPREAD, WINDOW, END, KNOWN, LONGEST = 8192, 65536, 64, 128, 150_000, 64
+_BLANKS = " \n\t\r"
 _RUN = re.compile(r"[^ \t\n\r]+")
 #: In Latin-1 text that is lower-cased: contractions, letters, single numbers, other marks.
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\\s\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
@@ -120,9 +124,84 @@ def leaf_ids(texts: list[str], known: Known) -> list[list[int]]:
     return [list(chain.from_iterable(map(k.__getitem__, x))) for x, k in zip(parts, of, strict=True)]
 
 
+def ids_of(texts: list[str], leaf: int, known: Known, placed: Known) -> list[list[int]]:
+    """The ids of each text, of those above leaf by their tree."""
+    short = iter(leaf_ids([x for x in texts if len(x) <= leaf], known))
+    out: list[list[int]] = []
+    for x in texts:
+        if len(x) <= leaf:
+            out.append(next(short))
+            continue
+        cuts, encode = cuts_of(len(x), leaf), lambda s: placed_tokens(s, placed)
+        ids = _by_ends(x, cuts, known, placed, encode) if leaf >= 4 * END else None
+        if ids is None:
+            leaves = [encode(x[a:b]) + np.array([[0], [a], [a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids = concatenated(x, cuts, leaves, encode)[0].tolist()
+        out.append(ids)
+    return out
+
+
+@dataclass
+class Node:
+    """The ids of text[begin:end], and the tokens of its first and last END code points or more, placed in the text."""
+
+    begin: int
+    end: int
+    ids: list[int]
+    head: np.ndarray
+    tail: np.ndarray
+
+
+def _leaf(text: str, begin: int, end: int, known: Known, placed: Known) -> Node:
+    piece = text[begin:end]
+    plain = _is_plain(piece)
+    words = _SPLIT.findall(piece.lower()) if plain else [x for x in _between_blanks(piece) if x]
+    store = known if plain else known.runs
+    store.learn(words)
+    ends = []
+    for forward in (True, False):
+        found, at = [], 0 if forward else len(piece)
+        for w in words if forward else reversed(words):
+            if (at if forward else len(piece) - at) > END:
+                break
+            while piece[at if forward else at - 1] in _BLANKS:
+                at += 1 if forward else -1
+            at -= 0 if forward else len(w)
+            found.append((begin + at, w))
+            at += len(w) if forward else 0
+        ends.append(_placed(found if forward else found[::-1], placed))
+    return Node(begin, end, list(chain.from_iterable(map(store.__getitem__, words))), *ends)
+
+
+def _by_ends(text: str, cuts: list[int], known: Known, placed: Known, encode: Callable[[str], np.ndarray]) -> list[int] | None:
+    """What concatenated() gives where all sides agree within END code points of their joins, with only the tokens there placed; else None."""
+    nodes = [_leaf(text, a, b, known, placed) for a, b in zip(cuts, cuts[1:], strict=False)]
+    while len(nodes) > 1:
+        pairs = []
+        for left, right in zip(nodes[::2], nodes[1::2], strict=False):
+            middle, window = left.end, WINDOW
+            while True:
+                a, b = middle - window, middle + window
+                seen = encode(text[a:b]) + np.array([[0], [a], [a]])
+                l, r = _common(left.tail, seen, a + 1, middle - 1), _common(right.head, seen, middle + 1, b - 1)
+                if len(l) and len(r):
+                    break
+                window *= 2
+                if window > END:
+                    return None
+            kept = len(left.ids) - left.tail.shape[1] + int(l[-1, 0]) + 1
+            pairs.append(Node(left.begin, right.end, left.ids[:kept] + seen[0, l[-1, 1] + 1 : r[0, 1]].tolist() + right.ids[r[0, 0] :], left.head, right.tail))
+        nodes = pairs + nodes[len(pairs) * 2 :]
+    return nodes[0].ids
+
+
 def placed_tokens(text: str, known: Known) -> np.ndarray:
     """Rows of id, start and end of a text."""
-    found = [(m.start(), m[0]) for m in (_SPLIT.finditer(text.lower()) if _is_plain(text) else _RUN.finditer(text))]
+    return _placed([(m.start(), m[0]) for m in (_SPLIT.finditer(text.lower()) if _is_plain(text) else _RUN.finditer(text))], known)
+
+
+def _placed(found: list[tuple[int, str]], known: Known) -> np.ndarray:
+    """Rows of id, start and end of words at their starts."""
     if not found:
         return np.zeros((3, 0), dtype=np.int64)
     known.learn(x for _, x in found)
@@ -164,10 +243,17 @@ def joined(left: np.ndarray, right: np.ndarray, text: str, begin: int, middle: i
         window *= 2
 
 
-def concatenated(parts: list[tuple[str, np.ndarray]], encode: Callable[[str], np.ndarray]) -> np.ndarray:
-    """The tokens of a text from its leaves in order, joined pairwise up a tree."""
-    text, cuts = "".join(x for x, _ in parts), np.cumsum([0, *(len(x) for x, _ in parts)])
-    nodes = [(int(a), int(b), x) for a, b, (_, x) in zip(cuts, cuts[1:], parts, strict=False)]
+def cuts_of(n: int, leaf: int) -> list[int]:
+    """Where a text of n code points is cut by halving its parts until none is above leaf."""
+    parts = 1
+    while n > leaf * parts:
+        parts *= 2
+    return [n * i // parts for i in range(parts + 1)]
+
+
+def concatenated(text: str, cuts: list[int], leaves: list[np.ndarray], encode: Callable[[str], np.ndarray]) -> np.ndarray:
+    """The tokens of a text from those of its leaves in order (placed in the text), joined pairwise up a tree."""
+    nodes = list(zip(cuts, cuts[1:], leaves, strict=False))
     while len(nodes) > 1:
         pairs = [(a, c, joined(x, y, text, a, b, c, encode)) for (a, b, x), (_, c, y) in zip(nodes[::2], nodes[1::2], strict=False)]
         nodes = pairs + nodes[len(pairs) * 2 :]
@@ -188,36 +274,39 @@ def _speaker(t) -> Callable[[list[int]], str]:
     return lambda ids: " ".join(map(names.__getitem__, ids))  # the library then joins the tokens by blanks
 
 
-def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "word_bpe_49k.json", leaf: int = LEAF, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = "word_bpe_49k.json", leaf: int = LEAF, spread: int = SPREAD, decoded: bool = False) -> DataFrame:
     """The columns keep of every row of docs, and ids: the tokens of its whole text (null: empty), special tokens added nowhere.
 
     decoded adds the ids' decoding as column decoded, made by the worker that has
     them: as decode() would, without a second Python worker to each task.
 
     The tokenizer's merges must not cross white space (a file of which that
-    isn't so needs another split). Repeated rows each come back; a text of a
-    billion code points is a row like any other, and its leaves are spread.
+    isn't so needs another split). Repeated rows each come back, and no rows give
+    none. Other columns of docs may have any names. A text above spread is a row
+    like any other whose leaves are spread; as its text and its tokens are single
+    values, each must fit Spark's limit of 2 GB a value.
     """
     names = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kept = T.StructType([f for f in rows.schema.fields if f.name in names])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known, _ = _tools(tokenizer)
+        t, known, placed = _tools(tokenizer)
         say = _speaker(t)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                ids = leaf_ids(b.column("text").to_pylist(), known)
+                ids = ids_of(b.column("text").to_pylist(), leaf, known, placed)
                 said = [pa.array(map(say, ids), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(ids), *said], made)
 
     made = [*names, "ids", *["decoded"] * decoded]
     ids_type = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded])
-    done = rows.filter(F.length("text") <= leaf).mapInArrow(short, ids_type)
+    spread = max(spread, leaf)
+    done = rows.filter(F.length("text") <= spread).mapInArrow(short, ids_type)
 
     halves = F.pow(F.lit(2), F.ceil(F.log2(F.length("text") / leaf))).cast("int")
-    long = rows.filter(F.length("text") > leaf).withColumn("row", F.monotonically_increasing_id()).withColumn("n", halves)
+    long = rows.filter(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id()).withColumn("n", halves)
     long = long.select(*names, "row", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("leaf"))
     cut = lambda i: F.floor(F.length("text").cast("long") * i / F.col("n")).cast("int")
     long = long.withColumn("text", F.substring("text", cut(F.col("leaf")) + 1, cut(F.col("leaf") + 1) - cut(F.col("leaf"))))
@@ -236,13 +325,14 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str
 
     def merge(group: pa.Table) -> pa.Table:
         t, _, known = _tools(tokenizer)
-        group = group.combine_chunks().sort_by("leaf")
-        parts = []
-        for x, *cols in zip(*(group.column(c).to_pylist() for c in ("text", "id", "at", "to")), strict=True):
+        group = group.sort_by("leaf")
+        parts = group.column("text").to_pylist()
+        cuts = [0, *accumulate(map(len, parts))]
+        leaves = []
+        for at, *cols in zip(cuts, *(group.column(c).to_pylist() for c in ("id", "at", "to")), strict=False):
             tokens = np.stack([np.frombuffer(c, dtype=np.int32) for c in cols]).astype(np.int64)
-            tokens[1:] += sum(len(p) for p, _ in parts)
-            parts.append((x, tokens))
-        ids = concatenated(parts, lambda s: placed_tokens(s, known))[0]
+            leaves.append(tokens + np.array([[0], [at], [at]]))
+        ids = concatenated("".join(parts), cuts, leaves, lambda s: placed_tokens(s, known))[0]
         said = [pa.array([_speaker(t)(ids.tolist())], pa.string())] if decoded else []
         return pa.table([*(group.column(n).slice(0, 1) for n in names), _lists([ids]), *said], names=made)
 

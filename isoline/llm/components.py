@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the least b of each a. The minimum is summed up before it is shuffled, and meets the edges in a join, which can be split where one a has many."""
+    return edges.join(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(W.partitionBy("a")))
-    return both.withColumn("m", least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rows = down.withColumn("m", F.min("b").over(W.partitionBy("a")))
+    rows = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     linked = rows.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(rows.select("a", F.col("m").alias("b")))
     return linked.filter("a <> b").distinct()
 

@@ -4,8 +4,10 @@ A page is cut into blocks of text at block elements. The first pass decides
 each block from the share of its words that are stop words, its length and its
 link density; short blocks and near-misses stay open. The second pass gives
 open blocks the label of the nearest decided neighbours: the same on both sides
-decides, and where they differ the nearer one does. Blocks that a page marks as
-navigation, headers, footers, asides, forms, notices, adverts and comments count
+decides, and where they differ the nearer one does. On a page in a language that
+the lists don't know, its own most frequent short words stand for stop words.
+
+Blocks that a page marks as navigation, headers, footers, asides, forms, notices, adverts and comments count
 as decided. An article or main element is evidence, not a verdict: inside it,
 fewer blocks are decided as boilerplate at once, marked ones say nothing about
 their neighbours, and its edges count as content. Labels don't cross its edges.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +34,10 @@ STOP_WORDS = {
     "de": "aber als am an auch auf aus bei bin bis das dass dem den der des die doch durch ein eine einem einen einer es für hat ich ihr im in ist mit nach nicht noch nur oder sein sich sie sind so über um und uns vom von vor war was wenn werden wie wir wird zu zum zur",
     "fr": "à au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui ma mais me même mes moi mon ne nos notre nous on ou où par pas plus pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous",
     "es": "a al algo como con de del desde donde el ella ellos en entre era es esa ese esta este fue ha hasta hay la las le les lo los más me mi muy no nos o para pero por que se ser si sin sobre son su sus también te todo tu un una uno y ya",
+    "it": "al alla che chi con da dal dei della delle di e è gli ha i il in io la le lo ma mi nei nel nella non per più quando se si sono un una",
+    "pt": "ao as com como da das de do dos e ela ele em foi isso mais mas não na no nos o os ou para pela pelo por quando que se ser uma um",
+    "nl": "aan als bij dan dat de die dit door een en er haar het hij ik in is maar met naar niet om onder ook op te tot uit van voor was wat ze zijn",
+    "ru": "а без бы был в вы для до его ее же за и из или к как мы на не но о он она они от по при с так то у уже что это",
 }
 STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
@@ -42,6 +49,9 @@ OUTSIDE = frozenset("nav footer aside form header menu dialog button".split())
 #: Elements whose start ends an open p.
 ENDS_P = BLOCKS - frozenset("body head html link meta template noscript object iframe video option optgroup".split())
 
+#: Open elements that the start of another ends, within their list or table.
+SIBLINGS = {"li": ("li",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
     r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|footer\w*|copyright|legal|disclaimer"
@@ -51,12 +61,15 @@ MARKED = re.compile(
 #: Heads of a site; inside an article they hold its title.
 HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: A quote begins a value only after an equals sign; an open one runs to the end.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|))*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 WORD = re.compile(r"[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
 LOW_STOP, HIGH_STOP, SHORT, LONG, MOST_LINKS = 0.10, 0.22, 70, 200, 0.4
+#: Of a page whose words the lists hardly know: the share under which that is so, and how many of its own words of at most so many letters, seen so often, are its stop words.
+UNKNOWN, OWN, LETTERS, SEEN = 0.04, 12, 4, 3
 
 
 def _marked(attributes: str, inside: bool) -> bool:
@@ -71,10 +84,13 @@ def _marked(attributes: str, inside: bool) -> bool:
 
 
 def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """The blocks of a page in order: text, code points of it in links, whether outside the article by its markup, number of the outermost article that it is in (0: none)."""
+    """The blocks of a page in order: text, code points of it in links, whether outside the article by its markup, number of the outermost article that it is in (0: none). The time is linear in the page."""
     out: list[tuple[str, int, bool, int]] = []
     #: Open elements: name, whether outside by markup, whether an article.
     open_: list[tuple[str, bool, bool]] = []
+    #: Places in open_ by name, and silent elements that nothing ends from here on.
+    places: dict[str, list[int]] = defaultdict(list)
+    endless: set[str] = set()
     said: list[str] = []
     linked = 0
     n_out = n_in = n_links = articles = 0
@@ -88,9 +104,13 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
                 out.append((text, linked, n_out > 0, articles if n_in else 0))
         linked = 0
 
+    def last(*names: str) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
     def close(k: int) -> None:
         nonlocal n_out, n_in, n_links
         for name, outside, article in open_[k:]:
+            places[name].pop()
             n_out -= outside
             n_in -= article
             n_links -= name == "a"
@@ -120,37 +140,34 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
         if m[1]:
             if name in BLOCKS:
                 end_block()
-            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            if k is not None:
-                close(k)
+            if places[name]:
+                close(last(name))
             continue
         attributes = m[3] or ""
         if name in SILENT:
             if name in BLOCKS:
                 end_block()
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if end is None:
+                    endless.add(name)
                 at = end.end() if end else (len(page) if name in ("script", "style", "textarea", "title") else at)
             continue
         if name in BLOCKS:
             end_block()
             if name in ENDS_P:
-                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == "p"), None)
-                if k is not None:
-                    close(k)
-            if name in ("li", "dd", "dt", "tr", "td", "th"):
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == name or {open_[k][0], name} == {"dd", "dt"} or {open_[k][0], name} == {"td", "th"}:
-                        close(k)
-                        break
-                    if open_[k][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
+                if places["p"]:
+                    close(last("p"))
+            k = last(*SIBLINGS.get(name, ()))
+            if k > last("ul", "ol", "dl", "table", "menu"):
+                close(k)
         if name in VOID or attributes.endswith("/"):
             continue
         article = name in ("article", "main") or 'articleBody"' in attributes or 'role="main"' in attributes
         marked = name not in ("body", "html", "main") and _marked(attributes, n_in > 0 or article)
         article = article and not marked
         outside = (name in OUTSIDE and not (name == "header" and n_in)) or marked
+        places[name].append(len(open_))
         open_.append((name, outside, article))
         n_out += outside
         articles += article and not n_in
@@ -160,10 +177,19 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def _decided(text: str, linked: int, outside: bool, article: int) -> bool | None:
+def stop_words(blocks: list[tuple[str, int, bool, int]]) -> frozenset[str]:
+    """The stop words that a page is judged by: the lists', or its own where its text outside links hardly has any of these."""
+    words = [w for text, linked, *_ in blocks if not linked for w in WORD.findall(text.lower())]
+    if not words or sum(w in STOP for w in words) >= UNKNOWN * len(words):
+        return STOP
+    own = Counter(w for w in words if len(w) <= LETTERS)
+    return frozenset(w for w, n in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:OWN] if n >= SEEN)
+
+
+def _decided(text: str, linked: int, outside: bool, article: int, stops: frozenset[str] = STOP) -> bool | None:
     """The first pass: whether a block is content, None where its neighbours decide."""
     words = WORD.findall(text.lower())
-    stop = sum(w in STOP for w in words) / len(words) if words else 0.0
+    stop = sum(w in stops for w in words) / len(words) if words else 0.0
     if outside:
         return False
     if linked / len(text) > MOST_LINKS:
@@ -177,12 +203,13 @@ def _decided(text: str, linked: int, outside: bool, article: int) -> bool | None
 
 def labels_of(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
     """Which blocks are content."""
-    first = [_decided(*b) for b in blocks]
+    stops = stop_words(blocks)
+    first = [_decided(*b, stops) for b in blocks]
     real = {b[3] for b, x in zip(blocks, first, strict=True) if x and b[3]}
     if not any(first):
         real = {b[3] for b in blocks if b[3]}
     elif len(real) < len({b[3] for b in blocks if b[3]}):  # a teaser is judged again, without its markup's word
-        first = [x if not b[3] or b[3] in real else _decided(*b[:3], 0) for b, x in zip(blocks, first, strict=True)]
+        first = [x if not b[3] or b[3] in real else _decided(*b[:3], 0, stops) for b, x in zip(blocks, first, strict=True)]
     out: list[bool] = []
     while len(out) < len(blocks):
         a = len(out)
@@ -219,7 +246,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(page: Column) -> Column:
-    """The main text of each whole page (a null page is empty)."""
+    """The main text of each whole page.
+
+    A null page, an empty one and one without content are empty texts; equal
+    pages have equal texts. It is an expression of its own column, so other
+    columns, repeated rows and empty tables need no rule.
+    """
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

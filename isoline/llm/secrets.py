@@ -7,22 +7,25 @@ that may be a secret), ``identifier`` (a user or client name) and ``endpoint``
 interval-joined: those that begin within ``REACH`` code points of each other
 meet. A weak token is reported where an identifier is near, a weak identifier
 where a secret is near, an endpoint where both are near. The user and password
-of a URL are an identifier and a token that complete each other. The join is a range
-frame over the parts of a scope, so no pairs are built.
+of a URL are an identifier and a token that complete each other.
+
+A scope never leaves its text, so the join is made where the text is: the starts
+of a scope's identifiers and secrets are sorted, and each weak part looks its
+interval up in them. No pairs are built, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, unused
+from .common import table
 
 #: In the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "token", "identifier", "endpoint")
@@ -41,7 +44,7 @@ ENDPOINT = re.compile(r"""(?:https?|ftp|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|
 USERINFO = re.compile(r"""(?<=[A-Za-z0-9])://([^\s"'<>/?#:@]*):([^\s"'<>/?#]+)@""")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
-PART = "array<struct<kind:string,cls:string,weak:boolean,start:int,end:int,paired:boolean,scope:int>>"
+SPANS = "array<struct<start:int,ord:int,kind:string,end:int,cls:string,weak:boolean>>"
 
 
 def parts_of(text: str | None) -> list[tuple[str, str, bool, int, int, bool, int]]:
@@ -92,56 +95,47 @@ def _running_max(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def scan(text: Column) -> Column:
-    """The parts of each whole text (a null text has none)."""
+def linked(parts: list[tuple[str, str, bool, int, int, bool, int]], reach: int = REACH) -> list[tuple[int, int, str, int, str, bool]]:
+    """The reported of a text's parts, as sorted (start, ord, kind, end, cls, weak): base ones, and weak ones with their complements within reach in the same scope. ord is the kind's place in KINDS."""
+    starts: dict[tuple[int, str], list[int]] = defaultdict(list)
+    for _, cls, _, a, _, _, scope in sorted(parts, key=lambda p: p[3]):
+        starts[scope, cls].append(a)
 
-    @F.pandas_udf(PART)
-    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([[dict(zip(("kind", "cls", "weak", "start", "end", "paired", "scope"), p, strict=True)) for p in parts_of(x)] for x in texts])
+    def meets(a: int, scope: int, cls: str) -> bool:
+        there = starts.get((scope, cls), [])
+        i = bisect_left(there, a - reach)
+        return i < len(there) and there[i] <= a + reach
 
-    return parts(text)
+    wanted = {"token": ("identifier",), "identifier": ("secret",), "endpoint": ("identifier", "secret")}
+    return sorted((a, KINDS.index(kind), kind, b, cls, weak) for kind, cls, weak, a, b, paired, scope in parts if not weak or paired or all(meets(a, scope, c) for c in wanted[kind]))
 
 
-def find_secrets(docs: DataFrame, keep: list[Column], text: str = "text", reach: int = REACH) -> DataFrame:
-    """The columns keep of every row of docs, and spans: its reported (start, ord, kind, end, cls, weak), sorted.
+def find_secrets(text: Column, reach: int = REACH) -> Column:
+    """The reported spans of each whole text, sorted: (start, ord, kind, end, cls, weak). Null and empty texts have none; rows with equal texts have equal spans."""
 
-    ord is the kind's place in KINDS. Rows with equal values stay apart; null
-    and empty texts have no spans. Only parts are shuffled, not texts.
-    """
-    names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), *(c.alias(n) for c, n in zip(keep, names, strict=True)), scan(F.col(text)).alias("parts"))
-    parts = rows.select("row", *names, F.explode_outer("parts").alias("p")).select("row", *names, "p.*").repartition("row")
-    near = W.partitionBy("row", "scope").orderBy("start").rangeBetween(-reach, reach)
-    meets = lambda cls: F.max(F.col("cls") == cls).over(near)
-    parts = parts.withColumn("secret", meets("secret")).withColumn("named", meets("identifier"))
-    complete = F.when(F.col("kind") == "token", F.col("named")).when(F.col("kind") == "identifier", F.col("secret")).otherwise(F.col("named") & F.col("secret"))
-    stands = F.col("kind").isNotNull() & (~F.col("weak") | F.col("paired") | complete)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    span = F.when(stands, F.struct("start", order.alias("ord"), "kind", "end", "cls", "weak"))
-    found = parts.groupBy("row").agg(*(F.first(n).alias(n) for n in names), F.sort_array(F.collect_list(span)).alias("spans"))
-    return found.select(*names, "spans")
+    @F.pandas_udf(SPANS)
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names = ("start", "ord", "kind", "end", "cls", "weak")
+        for texts in batches:
+            yield pd.Series([[dict(zip(names, s, strict=True)) for s in linked(parts_of(x), reach)] for x in texts], dtype=object)
 
+    return spans(text)
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each reported span of text replaced by mark (overlapping ones by a single mark); endpoints, which hold no secret by themselves, stay.
 
-    Null and empty texts stay as they are; every row and column stays.
-    """
-    a, b = unused(docs, "text_hash"), unused(docs, "text_hash2")
-    hashes = [F.xxhash64(text), F.xxhash64(F.col(text), F.length(text))]
-    spans = find_secrets(docs, hashes, text)
-    spans = spans.withColumn("spans", F.filter("spans", lambda s: s["kind"] != "endpoint")).filter(F.size("spans") > 0)
-    cuts = unused(docs, "cuts")
-    spans = spans.groupBy(F.col("k0").alias(a), F.col("k1").alias(b)).agg(F.first(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias(cuts))
+def without_secrets(text: Column, mark: str = "[SECRET]", reach: int = REACH) -> Column:
+    """Each text with its reported spans replaced by mark (overlapping ones by a single mark); endpoints, which hold no secret by themselves, stay. Null texts stay null."""
 
     @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([x if x is None or c is None else _cut(x, [(s["start"], s["end"]) for s in c], mark) for x, c in zip(texts, spans, strict=True)], dtype=object)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([x if not x else _cut(x, [(s[0], s[3]) for s in linked(parts_of(x), reach) if s[2] != "endpoint"], mark) for x in texts], dtype=object)
+
+    return cut(text)
 
-    joined = docs.withColumn(a, hashes[0]).withColumn(b, hashes[1]).join(spans, [a, b], "left")
-    said = F.when(F.col(cuts).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(cuts)))
-    return joined.select(*(said.alias(c) if c == text else F.col(c) for c in docs.columns))
+
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each reported span of text replaced by mark: see without_secrets(). Every row and column stays, whatever their names; nothing is shuffled."""
+    return docs.withColumn(text, without_secrets(F.col(text), mark))
 
 
 def _cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -159,7 +153,7 @@ def _listed(spans: Column) -> Column:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all reported spans, of every document."""
-    found = find_secrets(table(spark, sf_dir, "documents"), [F.col("doc_id")]).withColumnRenamed("k0", "doc_id")
+    found = table(spark, sf_dir, "documents").select("doc_id", find_secrets(F.col("text")).alias("spans"))
     base = F.filter("spans", lambda s: ~s["weak"])
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -3,16 +3,18 @@
 Fingerprints of 64 bits are eight bytes at eight positions. Two that differ in
 at most three bits differ in at most three bytes, so they share at least five
 positional bytes. A posting list of one byte would hold a 256th of all
-fingerprints, so the index is keyed by sets of four positions with their bytes:
-``POSITION_SETS`` holds fourteen sets of which every five positions contain one
-whole, so each wanted pair meets in some list of a 2^-32 share. There the
-positional bytes that a pair shares are tallied, pairs below five are dropped,
-and the rest are verified by their differing bits.
+fingerprints, so the lists are composite: keyed by sets of four positions with
+their bytes. ``POSITION_SETS`` holds fourteen sets of which every five positions
+contain one whole, so each wanted pair meets in some list of a 2^-32 share. Four
+shared bytes are known there from the list's key; the postings' other four
+positional bytes are tallied for each pair, pairs with no fifth are dropped, and
+only the rest are verified by their differing bits.
 
 A list is never expanded into its pairs: tasks walk it from fingerprint to
 unreached fingerprint and emit a spanning forest of its links, which joins
-exactly what all links would. A long list is cut into chunks, and each two
-chunks form a group of bounded size.
+exactly what all links would. Lists are counted by an aggregation; a long one is
+cut into chunks before it is shuffled, and each two chunks form a group of
+bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, unused, written
@@ -34,6 +35,8 @@ from .components import components
 BITS, SHARED_BYTES = 3, 5
 #: Fingerprints of a posting list that one chunk holds at most, about; a group has two chunks.
 CHUNK = 2048
+#: Rows of one fingerprint from which its name travels to them: at most a 2^-20 share of all rows have such fingerprints to broadcast.
+HOT = 1 << 20
 
 
 def _position_sets() -> list[tuple[int, ...]]:
@@ -72,43 +75,54 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, out: str =
     return docs.withColumn(out, simhash(F.col(text)))
 
 
-def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by walking from each reached one to the unreached ones it links to."""
+def other_bytes(fps: np.ndarray, positions: tuple[int, ...]) -> np.ndarray:
+    """The bytes of each fingerprint at the positions that a posting list's key does not have."""
+    return fps.view(np.uint8).reshape(-1, 8)[:, [p for p in range(8) if p not in positions]]
+
+
+def spanning_links(fps: np.ndarray, positions: tuple[int, ...] = (), seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the distinct fingerprints of a list keyed by positions, by walking from each reached one to the unreached ones it links to.
+
+    seen, where given, counts the pairs met and those whose tally of shared
+    positional bytes lets them be verified.
+    """
     out, left = [], fps.astype(np.int64)
+    tail = other_bytes(left, positions)
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        queue, left, tail = [(left[0], tail[0])], left[1:], tail[1:]
         while queue and len(left):
-            here = queue.pop()
-            xor = (left ^ here).view(np.uint64)
-            shared = (xor.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            hit = shared >= SHARED_BYTES
-            hit[hit] = np.bitwise_count(xor[hit]) <= BITS
+            here, its = queue.pop()
+            hit = len(positions) + np.count_nonzero(tail == its, axis=1) >= SHARED_BYTES
+            if seen is not None:
+                seen[0] += len(left)
+                seen[1] += int(hit.sum())
+            hit[hit] = np.bitwise_count((left[hit] ^ here).view(np.uint64)) <= BITS
             if hit.any():
                 found = left[hit]
                 out += [(int(here), int(x)) for x in found]
-                queue += list(found)
-                left = left[~hit]
+                queue += zip(found, tail[hit], strict=True)
+                left, tail = left[~hit], tail[~hit]
     return out
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows (group, fp): the links of each run of equal groups."""
+    """Sorted rows (group, number of the position set, fp): the links of each run of equal groups."""
     held: list[np.ndarray] = []
-    name = None
+    name, positions = None, ()
     for b in batches:
-        group, fp, edges = b["g"].to_numpy(), b["fp"].to_numpy(), []
+        group, which, fp, edges = b["g"].to_numpy(), b["s"].to_numpy(), b["fp"].to_numpy(), []
         cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(group)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             if i == j:
                 continue
             if name is not None and group[i] != name:
-                edges += spanning_links(np.unique(np.concatenate(held)))
+                edges += spanning_links(np.unique(np.concatenate(held)), positions)
                 held = []
-            name = group[i]
+            name, positions = group[i], POSITION_SETS[which[i]]
             held.append(fp[i:j])
         if edges:
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-    if held and (edges := spanning_links(np.unique(np.concatenate(held)))):
+    if held and (edges := spanning_links(np.unique(np.concatenate(held)), positions)):
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
@@ -118,17 +132,17 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     for n, s in enumerate(POSITION_SETS):
         mask = sum(255 << (8 * p) for p in s)
         mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(mask))))
-    posts = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    posts = posts.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
+        keys.append(F.col("fp").bitwiseAND(F.lit(mask)))
+    posts = distinct.select("fp", F.posexplode(F.array(*keys)).alias("s", "key"))
+    posts = posts.join(posts.groupBy("s", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["s", "key"])
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")
     posts = posts.withColumn("parts", parts).withColumn("own", own)
     other = F.explode(F.expr("if(parts = 1, array(0), sequence(0, parts - 1))"))
-    pairs = posts.select("fp", "key", "parts", "own", other.alias("other"))
-    # A chunk meets itself once and each other chunk once.
-    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    rows = pairs.select(group.alias("g"), "fp").repartition("g").sortWithinPartitions("g")
+    pairs = posts.select("fp", "s", "key", "parts", "own", other.alias("other"))
+    # A chunk meets itself once and each other chunk once. Should two groups share a hash, the tally lets more pairs pass and their bits still decide.
+    group = F.xxhash64("s", "key", F.least("own", "other"), F.greatest("own", "other"))
+    rows = pairs.select(group.alias("g"), "s", "fp").repartition("g").sortWithinPartitions("g", "s")
     return rows.mapInPandas(_runs, "a long, b long")
 
 
@@ -141,11 +155,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     columns of docs play no part.
     """
     fps = written(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    least = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(least.select("fp"))).withColumnRenamed("node", "fp")
     least = least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = written(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id"), "named")
+    few, hot = named.filter(F.col("n") < HOT).drop("n"), named.filter(F.col("n") >= HOT).drop("n")
+    out = fps.join(few, "fp").unionByName(fps.join(F.broadcast(hot), "fp"))
+    return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

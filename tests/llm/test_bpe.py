@@ -22,11 +22,11 @@ def texts():
     ]
 
 
-@pytest.mark.parametrize("leaf", [32, 57, 1000])
-def test_as_the_library(spark, library, leaf):
+@pytest.mark.parametrize(("leaf", "spread"), [(32, 32), (57, 57), (1000, 1000), (32, 10**6), (300, 2500), (1100, 10**6), (1024, 2048)])
+def test_as_the_library(spark, library, leaf, spread):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in bpe.encode(docs, ["doc_id"], leaf=leaf).withColumn("said", bpe.decode(F.col("ids"))).collect()}
+    got = {r.doc_id: r for r in bpe.encode(docs, ["doc_id"], leaf=leaf, spread=spread).withColumn("said", bpe.decode(F.col("ids"))).collect()}
     assert len(got) == len(rows)
     for i, x in rows:
         want = library.encode(x or "", add_special_tokens=False).ids
@@ -37,7 +37,7 @@ def test_as_the_library(spark, library, leaf):
 def test_documents(spark, library, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r.ids for r in bpe.encode(docs, ["doc_id"], leaf=500).collect()}
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, ["doc_id"], leaf=500, spread=4000).collect()}
     for r in rows:
         assert got[r.doc_id] == library.encode(r.text, add_special_tokens=False).ids
 
