@@ -53,5 +53,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, if df has no such column; an error otherwise, as a column of the caller's would be lost."""
+    if unused(df, name) != name:
+        raise ValueError(f"there is a column {name} already: choose another name for the result")
+    return name
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))

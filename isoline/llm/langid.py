@@ -4,7 +4,9 @@ Subwords are runs of one to three letters or word breaks of the lower-cased
 text, hashed into ``BUCKETS``. A text is the mean of its subwords' embeddings;
 a linear layer and a softmax give the languages. Both are trained by stochastic
 gradient descent in numpy on the driver, from hashed counts of a bounded sample
-of labelled rows: at most ``PER_LANGUAGE`` rows of each language. A part of the
+of labelled rows: at most ``PER_LANGUAGE`` rows of each language, and ``ROWS`` in
+all, shared evenly where there are many languages. Every language with labelled
+rows is learned; more than ``VALUES`` of them are an error. A part of the
 sample sets the softmax's temperature and the score under which an answer is
 rejected (``accepted`` false). Prediction covers every row and whole texts.
 """
@@ -20,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, 3
-PER_LANGUAGE, LANGUAGES, EPOCHS, BATCH, RATE = 600, 256, 12, 32, 20.0
+PER_LANGUAGE, ROWS, VALUES, EPOCHS, BATCH, RATE = 600, 60_000, 5000, 12, 32, 20.0
+CHUNK = 1 << 20
 UNKNOWN = "und"
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 _letters: list[np.ndarray] = []
@@ -38,18 +41,21 @@ def letter_table() -> np.ndarray:
 def subwords(text: str | None) -> np.ndarray:
     """Counts of a whole text's subwords by bucket; all zero without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for i in range(0, len(codes), 1 << 20):  # what is needed at a time stays small
-        c = codes[max(0, i - ORDERS) : i + (1 << 20)]
+    counts, any_letter = np.zeros(BUCKETS, dtype=np.int64), False
+    before, after_letter = codes[:0], True
+    for i in range(0, len(codes), CHUNK):  # what is needed at a time stays small
+        c = codes[i : i + CHUNK]
         letter = letter_table()[c]
-        c = np.where(letter, c, 0)[letter | np.concatenate([[True], letter[:-1]])]  # one break between words
-        if not c.any():
-            continue
+        any_letter |= bool(letter.any())
+        c = np.where(letter, c, 0)[letter | np.concatenate([[after_letter], letter[:-1]])]  # one break between words
+        after_letter, c = bool(letter[-1]), np.concatenate([before, c])
         h = np.zeros(len(c), dtype=np.uint32)
         for n in range(min(ORDERS, len(c))):
             h = (h[: len(c) - n] * np.uint32(31) ^ c[n:]) * _MIX[n]
-            counts += np.bincount((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
-    return counts
+            new = h[max(0, len(before) - n) :]  # those that end in this chunk
+            counts += np.bincount((new ^ (new >> np.uint32(15))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+        before = c[len(c) - min(len(c), ORDERS - 1) :]
+    return counts if any_letter else np.zeros(BUCKETS, dtype=np.int64)
 
 
 @dataclass
@@ -124,19 +130,22 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def drawn(rows: DataFrame, by: str, key: str, most: int, values: int = LANGUAGES) -> DataFrame:
-    """At most most rows of each of the most frequent values of by (values of them), by a hash of key.
+def drawn(rows: DataFrame, by: str, key: str, most: int, total: int = ROWS) -> DataFrame:
+    """At most most rows of each value of by, and about total in all, by a hash of key; more than VALUES values are an error.
 
     Counts come first, so that about twice as many rows as wanted leave the
     tasks that read them, however many tasks there are; they are then cut to
     most exactly.
     """
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()
+    counts = rows.groupBy(by).count().limit(VALUES + 1).collect()
+    if len(counts) > VALUES:
+        raise ValueError(f"more than {VALUES} values of {by}: labels these can't be")
     if not counts:
         return rows.limit(0)
-    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r[by], (2 * most + 50) / r["count"]))), F.col(by))
+    most = max(1, min(most, total // len(counts)))
+    share = rows.sparkSession.createDataFrame([(r[by], (2 * most + 50) / r["count"]) for r in counts], f"{by} {dict(rows.dtypes)[by]}, drawn_share double")
     h = F.xxhash64(F.col(key), F.lit(9))
-    rows = rows.filter(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < share)
+    rows = rows.join(F.broadcast(share), by).filter(F.pmod(h, F.lit(1 << 30)) / (1 << 30) < F.col("drawn_share")).select(*rows.columns)
     n = F.row_number().over(W.partitionBy(by).orderBy(h, F.col(key)))
     return rows.withColumn("n", n).filter(F.col("n") <= most).drop("n")
 
@@ -159,8 +168,15 @@ def learned(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | No
     return train([(a, np.asarray(b), np.asarray(c)) for a, b, c in rows.itertuples(index=False)])
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and accepted; null texts, texts without letters and all texts without a model are und with score 0, not accepted."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
+    """docs with a struct column out: lang_pred, score and accepted.
+
+    Null texts, texts without letters and all texts without a model are und with
+    score 0, not accepted. Of languages that score alike the first by name is
+    answered. Repeated rows each come back alike; docs keeps all its columns,
+    and one named out is an error.
+    """
+    free(docs, out)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
@@ -178,8 +194,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     out.append((m.langs[k], float(p[k]), bool(p[k] >= m.threshold)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "accepted"])
 
-    known = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-    return docs.withColumn("guessed__", guess(F.col(text))).select(*known, "guessed__.*")
+    return docs.withColumn(out, guess(F.col(text)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +202,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learned(docs.filter(fold() != 0))
     rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
-    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+    return predict(rows, model).select("doc_id", "held_out", "language.*")

@@ -4,10 +4,13 @@
 table, a program map table, and packetized elementary stream (PES) packets of at
 most ``FRAME`` payload bytes, cut into transport packets of 188 bytes with
 continuity counters. Each PES packet has a presentation timestamp; every
-``GROUP``-th begins with a random-access indicator and a clock reference.
+``GROUP``-th follows the tables anew, so that a reader can join there, and begins
+with a random-access indicator and a clock reference.
 
-``demux`` reads the bytes back: it parses the program tables (with their CRCs),
-checks continuity counters, reassembles the elementary packets, and lists their
+``demux`` reads any such stream back: it finds the packets again after bytes that
+are none, parses the program tables (sections may run over packets, and the first
+with a right CRC counts), leaves out packets that are sent twice, checks
+continuity counters, reassembles the elementary packets, and lists their
 timestamps with the random-access points.
 """
 
@@ -30,7 +33,7 @@ PAT_PID, PMT_PID, ES_PID = 0x0000, 0x0100, 0x0101
 PRIVATE_DATA, PRIVATE_STREAM_1 = 0x06, 0xBD
 CLOCK = 90_000
 
-FRAME, GROUP, FRAME_TICKS, FIRST_PTS, ALIGN = 16384, 8, 3600, CLOCK, 64
+FRAME, GROUP, FRAME_TICKS, FIRST_PTS, ALIGN, LOCK = 16384, 8, 3600, CLOCK, 64, 4
 
 _crc_table: list[np.ndarray] = []
 
@@ -54,17 +57,17 @@ def _section(table_id: int, extension: int, body: bytes) -> bytes:
     return head + crc32_mpeg(head).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + section).ljust(PACKET, bytes([STUFFING]))
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    return (bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | counter & 15, 0]) + section).ljust(PACKET, bytes([STUFFING]))
 
 
-def _tables() -> bytes:
+def _tables(counter: int) -> bytes:
     pat = _section(0x00, 1, bytes([0, 1, 0xE0 | PMT_PID >> 8, PMT_PID & 255]))
     pmt = _section(0x02, 1, bytes([0xE0 | ES_PID >> 8, ES_PID & 255, 0xF0, 0, PRIVATE_DATA, 0xE0 | ES_PID >> 8, ES_PID & 255, 0xF0, 0]))
-    return _table_packet(PAT_PID, pat) + _table_packet(PMT_PID, pmt)
+    return _table_packet(PAT_PID, pat, counter) + _table_packet(PMT_PID, pmt, counter)
 
 
-_HEAD = _tables()
+_HEADS = [_tables(k) for k in range(16)]
 
 
 def _stamp(pts: int) -> bytes:
@@ -73,13 +76,14 @@ def _stamp(pts: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload."""
-    out, counter = [_HEAD], 0
+    out, counter = [] if payload else [_HEADS[0]], 0
     for k, i in enumerate(range(0, len(payload), FRAME)):
         frame, pts = payload[i : i + FRAME], FIRST_PTS + k * FRAME_TICKS
         pes = b"\0\0\1" + bytes([PRIVATE_STREAM_1]) + (len(frame) + 8).to_bytes(2, "big") + bytes([0x84, 0x80, 5]) + _stamp(pts & (1 << 33) - 1) + frame
         # The first packet of a random-access point has the indicator and a clock reference.
         clock = b""
         if k % GROUP == 0:
+            out.append(_HEADS[k // GROUP & 15])
             base = pts - FRAME_TICKS & (1 << 33) - 1
             clock = bytes([0x50]) + (base << 15 | 0x7E00).to_bytes(6, "big")
         first = 184 - (1 + len(clock) if clock else 0)
@@ -110,12 +114,14 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """What a transport stream holds: the payload of its first elementary stream, timestamps, indices and timestamps of random-access points, and faults."""
+    """What a transport stream holds: the payload of its first elementary stream, timestamps, indices and timestamps of random-access points, and faults: bytes outside packets, packets that are sent twice, breaks in the counters, and broken or missing tables."""
 
     payload: bytes = b""
     pts: list[int] = field(default_factory=list)
     random_access: list[tuple[int, int]] = field(default_factory=list)
     packets: int = 0
+    skipped_bytes: int = 0
+    duplicates: int = 0
     continuity_errors: int = 0
     table_errors: int = 0
     stream_type: int = -1
@@ -129,28 +135,63 @@ def _parsed(section: bytes, table_id: int) -> bytes | None:
     return section[8 : n - 4] if n <= len(section) and crc32_mpeg(section[:n]) == 0 else None
 
 
+def _packets(media: bytes) -> np.ndarray:
+    """The packets of a stream: runs that begin with sync bytes. Where one breaks off, the next begins where LOCK sync bytes follow each other (or all until the end); a last packet that would overlap it was none."""
+    data, at, runs = np.frombuffer(media, dtype=np.uint8), 0, []
+
+    def locked(p: int) -> bool:
+        return p + PACKET <= len(data) and bool((data[p : p + LOCK * PACKET : PACKET] == SYNC).all())
+
+    while at + PACKET <= len(data):
+        n = (len(data) - at) // PACKET
+        sync = data[at : at + n * PACKET : PACKET] == SYNC
+        n = n if sync.all() else int(sync.argmin())
+        end = at + n * PACKET
+        whole = end + PACKET > len(data)
+        again = -1 if whole else media.find(SYNC, max(at, end - PACKET) + 1)
+        while again >= 0 and not locked(again):
+            again = media.find(SYNC, again + 1)
+        if 0 <= again < end:
+            n -= 1
+        if n > 0:
+            runs.append(data[at : at + n * PACKET].reshape(-1, PACKET))
+        if again < 0:
+            break
+        at = again
+    return np.concatenate(runs) if runs else np.zeros((0, PACKET), dtype=np.uint8)
+
+
 def demux(media: bytes) -> Stream:
     """Reads a transport stream; broken packets and lost ones count as faults and leave gaps."""
     out = Stream()
-    rows = np.frombuffer(media, dtype=np.uint8)[: len(media) // PACKET * PACKET].reshape(-1, PACKET)
-    rows = rows[rows[:, 0] == SYNC]
-    out.packets = len(rows)
+    rows = _packets(media)
+    rows, out.packets, out.skipped_bytes = rows[rows[:, 1] & 0x80 == 0], len(rows), len(media) - rows.size  # the sender's marks of errors
     pids = (rows[:, 1].astype(np.int64) & 31) << 8 | rows[:, 2]
     control = rows[:, 3] >> 4 & 3
     adaptation = np.where(control & 2, rows[:, 4].astype(np.int64) + 1, 0)
     begin = np.minimum(4 + adaptation, PACKET)
 
-    def section_of(pid: int) -> bytes:
-        at = np.flatnonzero((pids == pid) & (rows[:, 1] & 0x40 > 0) & (control & 1 > 0))
-        if not len(at):
-            return b""
-        data = rows[at[0], begin[at[0]] :].tobytes()
-        return data[1 + data[0] :] if data else b""
+    def found(pid: int, table_id: int) -> bytes | None:
+        """The body of the first right section of a table; wrong ones, or that there is none, are counted."""
+        at = np.flatnonzero((pids == pid) & (control & 1 > 0))
+        starts, wrong = np.flatnonzero(rows[at, 1] & 0x40), 0
+        for i, j in zip(starts, [*starts[1:], len(at)], strict=False):
+            data = b"".join(rows[k, begin[k] :].tobytes() for k in at[i:j])
+            if j < len(at) and (more := rows[at[j], begin[at[j]] :].tobytes()):  # the end of a section before the next
+                data += more[1 : 1 + more[0]]
+            body = _parsed(data[1 + data[0] :], table_id) if data else None
+            if body is not None:
+                out.table_errors += wrong
+                return body
+            wrong += 1
+        out.table_errors += max(wrong, 1)
+        return None
 
-    programs = _parsed(section_of(PAT_PID), 0x00)
+    programs = found(PAT_PID, 0x00)
     pmt_pid = next(((programs[i + 2] & 31) << 8 | programs[i + 3] for i in range(0, len(programs) - 3, 4) if programs[i] << 8 | programs[i + 1]), None) if programs else None
-    program = _parsed(section_of(pmt_pid), 0x02) if pmt_pid is not None else None
-    out.table_errors = (programs is None) + (program is None)
+    if pmt_pid is None:
+        out.table_errors += 1
+    program = found(pmt_pid, 0x02) if pmt_pid is not None else None
     if not program or len(program) < 9:
         return out
     at = 4 + ((program[2] & 15) << 8 | program[3])
@@ -160,6 +201,10 @@ def demux(media: bytes) -> Stream:
     if not len(mine):
         return out
     counters = rows[mine, 3].astype(np.int64) & 15
+    # A packet may be sent twice, one right after the other.
+    again = np.concatenate([[False], (np.diff(counters) == 0) & (rows[mine[1:], 4:] == rows[mine[:-1], 4:]).all(axis=1)])
+    again[1:] &= ~again[:-1]
+    mine, counters, out.duplicates = mine[~again], counters[~again], int(again.sum())
     steps = np.diff(counters) % 16
     out.continuity_errors = int((steps != 1).sum())
     starts = np.flatnonzero(rows[mine, 1] & 0x40)
@@ -192,7 +237,7 @@ def padded(text: str | None) -> bytes:
 
 
 def store(text: Column) -> Column:
-    """The transport stream of each whole text in UTF-8, padded by zero bytes to a positive multiple of 64 (a null text is empty)."""
+    """The transport stream of each whole text in UTF-8, padded by zero bytes to a positive multiple of 64 (a null text is empty). Equal texts have equal streams, repeated rows too; other columns and empty tables need no rule."""
 
     @F.pandas_udf("binary")
     def muxed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -221,7 +266,7 @@ def read(media: Column, payload: bool = True) -> Column:
 
 
 def describe(media: Column) -> Column:
-    """Digests of each stream and of the payload read back from it, made where the stream is."""
+    """Digests of each stream (none is null) and of the payload read back from it, made where the stream is."""
     kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     @F.pandas_udf(kind)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, unused, written
+from .common import free, table, unused, written
 from .langid import drawn, fold
 
 BUCKETS, PER_LABEL, LEAST_DOCS, ROUNDS, RATE = 1 << 18, 1200, 2, 400, 0.15
@@ -143,7 +143,12 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> M
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with a struct column out: score (0 to 1; 0 for null texts and texts without a sentence) and offending, the (start, end, score) in code points of the sentences above one half."""
+    """docs with a struct column out: score (0 to 1; 0 for null texts and texts without a sentence) and offending, the (start, end, score) in code points of the sentences above one half.
+
+    Repeated rows each come back alike; docs keeps all its columns, and one named
+    out is an error.
+    """
+    free(docs, out)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")

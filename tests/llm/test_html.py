@@ -1,6 +1,9 @@
+import random
 import re
+import time
 from html import unescape
 
+from isoline.llm import html_extract as H
 from isoline.llm.html_extract import main_text, op7_html_extract
 
 
@@ -62,3 +65,84 @@ def test_given_pages_without_their_article_tags(spark, sf):
         got, of = main_text(re.sub("</?article>", "", r.html)).split("\n\n"), plain(r.html).split("\n\n")
         kept, right, want = kept + len(got), right + sum(x in of for x in got), want + len(of)
     assert right > 0.7 * want and right > 0.97 * kept
+
+
+def two_pass(blocks):
+    """The two passes written out for pages without articles: labels by the rules, then each open block by looking left and right."""
+    stops, first = H.stop_words(blocks), []
+    for text, linked, outside, _ in blocks:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        density = len([w for w in words if w in stops]) / max(1, len(words))
+        if outside or linked / len(text) > 0.4:
+            first.append(False)
+        elif len(text) < 70:
+            first.append(None)
+        elif density >= 0.22 or (density >= 0.1 and len(text) >= 200):
+            first.append(True)
+        elif density >= 0.1 or len(text) >= 200:
+            first.append(None)
+        else:
+            first.append(False)
+    out = []
+    for i, label in enumerate(first):
+        if label is None:
+            left = next(((i - k, first[k]) for k in range(i - 1, -1, -1) if first[k] is not None), (10**9, False))
+            right = next(((k - i, first[k]) for k in range(i + 1, len(first)) if first[k] is not None), (10**9, False))
+            label = left[1] if left[0] < right[0] else right[1] if right[0] < left[0] else left[1] and right[1]
+        out.append(label)
+    return out
+
+
+def test_two_passes_by_hand():
+    rng = random.Random(6)
+    parts = [PROSE, PROSE[:90], "Short.", "Another short one", "<a href=x>linked words and</a> few", "Xylo qanto brimf " * 6, "Xylo qanto the brimf of it " * 9, "and so " * 5]
+    for _ in range(300):
+        page = "".join(f"<{t}>{rng.choice(parts)}</{t}>" for t in rng.choices(["p", "div", "li", "footer", "h2"], k=rng.randint(1, 25)))
+        blocks = H.blocks_of(page)
+        assert H.labels_of(blocks) == two_pass(blocks)
+
+
+def test_stop_words_decide(spark, sf, monkeypatch):
+    """With their article tags taken off, almost no given page comes out alike once there are no stop words."""
+    pages = [re.sub("</?article>", "", r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    before = [main_text(p) for p in pages]
+    monkeypatch.setattr(H, "STOP", frozenset())
+    monkeypatch.setattr(H, "OWN", 0)
+    changed = sum(main_text(p) != b for p, b in zip(pages, before, strict=True))
+    assert changed > 0.8 * len(pages)
+
+
+RUSSIAN = "Это был день весной, когда все люди, которые были с нами, пришли в дом и сели говорить о том, что надо было сделать для города и как это сделать."
+FINNISH = "Kun he tulivat taloon ja he istuivat ja puhuivat siitä mitä on tehty ja mitä on tehtävä, niin he sanoivat ettei se ole niin, ja se oli niin, ja he jäivät."
+
+
+def test_other_languages():
+    for prose in (RUSSIAN, FINNISH):
+        page = f"<div class=menu><a href=a>x</a></div><div>{prose}</div><div>{prose} {prose}</div><p><a href=b>linked words that are many</a></p>"
+        assert main_text(page) == f"{prose}\n\n{prose} {prose}"
+
+
+def test_quotes_and_unclosed_tags():
+    assert main_text('<article><p title="5" tall">first</p><p x=\'a>b\' y="c>d">second</p></article>') == "first\n\nsecond"
+    assert main_text("<article><p>it's <b class=it's>bold</b> \"so\"</p>") == "it's bold \"so\""
+    assert main_text('<article><p>first</p><p title="never closed>second</p></article>') == "first"
+    assert main_text("<article><p>first</p><p") == "first"
+    assert main_text("<article><ul><li>one<li>two<ul><li>in</ul><li>three</ul></article>") == "one\n\ntwo\n\nin\n\nthree"
+
+
+def test_time_is_linear_in_the_page():
+    for part in ("<div></span>", "<svg>", "<div><li></li>", '<a x="<a x="', "<!--", "<p ", "<ul><li><div>", "a=" * 3, "<b x" + "y" * 50):
+        at = []
+        for n in (4000, 16000):
+            page = "<article><p>x</p>" + part * n
+            began = time.perf_counter()
+            main_text(page)
+            at.append(time.perf_counter() - began)
+        assert at[1] < 12 * at[0] + 0.2, (part, at)
+
+
+def test_empty_table_and_clashing_names(spark, stored):
+    pages = spark.createDataFrame([(1, "u", f"<p>{PROSE}</p>", "mine", 7)], "page_id long, url string, html string, text string, n_chars long")
+    r = op7_html_extract(spark, stored(pages=pages)).first()
+    assert (r.text, r.n_chars) == (PROSE, len(PROSE))
+    assert op7_html_extract(spark, stored(pages=pages.limit(0))).count() == 0

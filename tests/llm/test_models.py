@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from isoline.llm import langid as L
@@ -71,3 +72,66 @@ def test_without_labels(spark, docs_of):
     none = spark.createDataFrame([(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
     assert X.score(docs, X.learned(docs, none)).count() == 3
     assert X.score(docs.limit(0), X.learned(docs.limit(0), none.limit(0))).count() == 0
+
+
+def slow_subwords(text):
+    """Counts by bucket, letter by letter, in plain numbers."""
+    seq, after_letter = [], True
+    for c in (text or "").lower():
+        if c.isalpha():
+            seq.append(ord(c))
+        elif after_letter:
+            seq.append(0)
+        after_letter = c.isalpha()
+    counts = np.zeros(L.BUCKETS, dtype=np.int64)
+    for i in range(len(seq)):
+        h = 0
+        for n in range(min(L.ORDERS, len(seq) - i)):
+            h = (h * 31 & 0xFFFFFFFF ^ seq[i + n]) * int(L._MIX[n]) & 0xFFFFFFFF
+            counts[(h ^ h >> 15) & (L.BUCKETS - 1)] += 1
+    return counts if any(seq) else counts * 0
+
+
+def test_subwords_by_hand(monkeypatch):
+    texts = ["", None, "12 .", "a", "Der Hund, die Katze!", "  x y  ", "ab" * 50 + "1" * 40 + "c" * 7, "日本語 and ÜBER 1a2b"]
+    for size in (1 << 20, 1, 2, 3, 7):
+        monkeypatch.setattr(L, "CHUNK", size)
+        for x in texts:
+            assert (L.subwords(x) == slow_subwords(x)).all(), (size, x)
+
+
+def test_predictions_by_hand(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.learned(docs.filter(L.fold() != 0))
+    for r in L.predict(docs, model).collect():
+        c = slow_subwords(r.text)
+        z = ((c[:, None] * model.table).sum(axis=0) / c.sum() + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.language.lang_pred == model.langs[int(p.argmax())] and abs(r.language.score - p.max()) < 1e-9
+        assert r.language.accepted == (r.language.score >= model.threshold)
+
+
+def test_many_languages_and_clashing_names(spark, docs_of):
+    rows = [(k * 10 + i, f"{chr(0x4E00 + k)} {chr(0x4E00 + k)}x") for k in range(300) for i in range(2)]
+    docs = docs_of(rows).withColumn("lang", F.concat(F.lit("l"), F.floor(F.col("doc_id") / 10)))
+    assert len(L.learned(docs).langs) == 300
+    named = docs.withColumnsRenamed({"source": "score", "lang": "lang_pred"}).withColumn("accepted", F.lit("mine")).withColumn("guessed__", F.lit(1))
+    got = L.predict(named, None)
+    assert got.columns == [*named.columns, "language"] and got.filter("accepted = 'mine' and score = 's'").count() == 600
+    for f in (lambda d: L.predict(d, None, out="Score"), lambda d: X.score(d.withColumn("toxicity", F.lit(1)), X.Model(np.zeros(X.BUCKETS), 0.0))):
+        with pytest.raises(ValueError):
+            f(named)
+
+
+def test_toxicity_by_hand(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = X.trained_on(spark, sf, docs)
+    got = {r.doc_id: r for r in X.op10_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        clean, offending = 1.0, 0
+        for s in X.re.split(r"[.!?\n]+", r.text.lower()):
+            z = model.bias + sum(float(model.weights[i]) for w in X.WORDS.findall(s) for i in X.features(w)) if s else -np.inf
+            clean *= 1 - 1 / (1 + np.exp(-z))
+            offending += z > 0
+        assert abs(got[r.doc_id].score - (1 - clean)) < 1e-6 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].n_offending == offending

@@ -91,3 +91,29 @@ def test_keep_one(spark, docs_of):
 def test_spanning_links_is_a_forest():
     fps = np.array([0, 1, 3, 7, 15, 31, 31 << 40], dtype=np.int64)
     assert len(S.spanning_links(fps)) == 5
+
+
+def test_tally_drops_pairs_before_their_bits_are_compared():
+    """Of a list's pairs those without a fifth common byte go by the tally; none that links is among them."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 32, 400, dtype=np.int64) << 32 | 12345  # the lower half is alike
+    fps[1::4] = fps[0::4] ^ (1 << 40)
+    seen = [0, 0]
+    links = S.spanning_links(np.unique(fps), (0, 1, 2, 3), seen)
+    assert len(links) == 100
+    assert seen[0] > 40_000 and 100 <= seen[1] < seen[0] / 20  # 45,000 or so met, under 1 in 20 verified
+
+
+def test_hot_fingerprints_are_named_alike(spark, docs_of, monkeypatch):
+    docs = docs_of([*((i, "a b c d") for i in range(50)), (60, "other words are here"), (61, None)])
+    want = sorted(map(tuple, S.near_duplicates(docs).collect()))
+    monkeypatch.setattr(S, "HOT", 3)
+    assert sorted(map(tuple, S.near_duplicates(docs).collect())) == want
+
+
+def test_components_of_a_star_and_a_path(spark):
+    from isoline.llm.components import components as stars
+
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(100)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, **{5000 + i: 5000 for i in range(101)}}
