@@ -1,8 +1,14 @@
 """A corpus pipeline of five stages: toxicity, near-duplicates, secrets, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. run() writes what each returns as Parquet to
-the shared folder and reads it again for the next.
+return the columns of documents, whatever further columns there are. run() writes
+what each returns as Parquet to the shared folder and reads it again for the
+next.
+
+In all stages a null text counts as an empty one, which is not toxic, is a near
+duplicate of the other empty ones, holds no secret, is never drawn by the mix,
+and has no tokens; long texts are read whole; repeated rows are rows of their own
+until the near-duplicates go; and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isoline.llm import bpe, mixing, secrets, simhash, toxicity
-from isoline.llm.common import table, written
+from isoline.llm.common import forget, table, unused, written
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -37,8 +43,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix draws a document; the one that a source's target cuts keeps its first words."""
-    return _sized(mixing.mixed(docs).select(*docs.columns))
+    """A row for each time that the mix draws a document, shard after shard, each shuffled by itself."""
+    shard, order = unused(docs, "mix_shard"), unused(docs, "mix_order")
+    return mixing.shuffled(mixing.mixed(docs), shard, order).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if i:  # what the stage before had written is read
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
