@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isoline.operators.geometry import checkpointed
+from isoline.operators.sequence import arc_length
 
 # Fixed values of the gates.
 LEAST_PRESENCE, MOST_YAW, MOST_MOTION, MOST_JAW, MOST_BLINK = 0.45, 0.42, 0.045, 0.5, 0.7
@@ -160,24 +161,17 @@ def least_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def respaced(df: DataFrame, key: str, spacing: float) -> DataFrame:
-    """Points of each key's polyline (seq, x, y) at even spacing along it, and its last point where that is over a quarter of it beyond. A line is walked by one task, as each point depends on the one before."""
-
-    def walked(g: pd.DataFrame) -> pd.DataFrame:
-        pts = g.sort_values("seq")[["x", "y"]].to_numpy()
-        out, prev, carry = [pts[0]], pts[0], spacing
-        if len(pts) <= 2:
-            out = list(pts)
-        else:
-            for cur in pts[1:]:
-                left = np.linalg.norm(cur - prev)
-                while left >= carry and left > 1e-9:
-                    prev = prev + (cur - prev) * (carry / left)
-                    out.append(prev)
-                    left, carry = np.linalg.norm(cur - prev), spacing
-                carry -= left
-                prev = cur
-            if np.linalg.norm(out[-1] - pts[-1]) > spacing * 0.25:
-                out.append(pts[-1])
-        return pd.DataFrame({key: g[key].iloc[0], "k": range(len(out)), "x": [p[0] for p in out], "y": [p[1] for p in out]})
-
-    return df.select(key, "seq", "x", "y").groupBy(key).applyInPandas(walked, f"{key} {dict(df.dtypes)[key]}, k long, x double, y double")
+    """Points of each key's polyline (seq, x, y) at arc lengths 0, spacing, 2 * spacing and so on, as (key, k, x, y), and its end where that is over a quarter of spacing from the last of them. Lines of one or two points stay as they are. Each segment makes the points that lie on it."""
+    w = W.partitionBy(key).orderBy("seq")
+    line = arc_length(df.select(key, "seq", "x", "y"), key, ["x", "y"])
+    line = line.withColumns({"ahead": F.lead("s").over(w), "x1": F.lead("x").over(w), "y1": F.lead("y").over(w), "at": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(key))})
+    first = F.when(F.col("at") == 0, 0).otherwise(F.floor(F.col("s") / spacing) + 1)
+    last = F.floor(F.col("ahead") / spacing)
+    on = line.filter((F.col("n") > 2) & (first <= last)).withColumn("k", F.explode(F.sequence(first, last)))
+    part = F.when(F.col("ahead") > F.col("s"), (F.col("k") * spacing - F.col("s")) / (F.col("ahead") - F.col("s"))).otherwise(0.0)
+    on = on.select(key, F.col("k").cast("long").alias("k"), *((F.col(c) + part * (F.col(f"{c}1") - F.col(c))).alias(c) for c in "xy"))
+    ends = line.groupBy(key).agg(F.max("n").alias("n"), F.max_by(F.struct("x", "y"), "seq").alias("end")).filter("n > 2")
+    placed = ends.join(on.groupBy(key).agg(F.max("k").alias("k"), F.max_by(F.struct("x", "y"), "k").alias("last")), key)
+    beyond = F.hypot(F.col("end.x") - F.col("last.x"), F.col("end.y") - F.col("last.y")) > spacing * 0.25
+    few = line.filter("n <= 2").select(key, F.col("at").cast("long").alias("k"), "x", "y")
+    return on.unionByName(placed.filter(beyond).select(key, (F.col("k") + 1).alias("k"), "end.x", "end.y")).unionByName(few)

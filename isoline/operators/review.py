@@ -13,7 +13,7 @@ FAILURE_MODES = {"low_rstl_confidence": "direction_error", "low_region_confidenc
 
 
 def decision(raw: Column, accepted: Column, corrected: Column) -> Column:
-    """The decision of a review; null for a word that isn't known."""
+    """The decision of a review; null for a word that isn't known, which checked_decision() takes for an error."""
     word = F.replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), F.lit("-"), F.lit("_"))
     said = F.element_at(F.create_map(*(F.lit(x) for kv in DECISIONS.items() for x in kv)), word)
     return (
@@ -25,6 +25,12 @@ def decision(raw: Column, accepted: Column, corrected: Column) -> Column:
     )
 
 
+def checked_decision(raw: Column, accepted: Column, corrected: Column) -> Column:
+    """decision(), but a word that isn't known stops the query and is named."""
+    said = decision(raw, accepted, corrected)
+    return F.when(said.isNull(), F.raise_error(F.concat(F.lit("unknown review decision: "), raw))).otherwise(said)
+
+
 def failure_modes(explicit: Column, rejected: Column, gates: dict[str, Column], codes: Column) -> Column:
     """Sorted distinct failure modes: those given, a rejection, gates that are false, and what warning codes stand for."""
     table = F.create_map(*(F.lit(x) for kv in FAILURE_MODES.items() for x in kv))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isoline.functions.exprs import one_euro_alpha
-
 
 def in_order(key: str, order: str = "seq") -> W:
     return W.partitionBy(key).orderBy(order)
@@ -81,40 +82,72 @@ def latest(df: DataFrame, key: str, n: int, order: list[str]) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn")
 
 
-def folded(df: DataFrame, key: str, start: Column, step, order: list[str], values: list[str]) -> DataFrame:
-    """A fold of each key's rows in order: step(state, row) is the next state; result: (key, states), one for each row. States grow into an array, so the last is read, not all."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("rows"))
-    states = F.aggregate("rows", F.array(start), lambda acc, r: F.concat(acc, F.array(step(F.element_at(acc, -1), r))))
-    return rows.select(key, "rows", F.slice(states, 2, F.size("rows")).alias("states"))
+def scanned(df: DataFrame, key: str, order: list[str], values: list[str], start, step, out: str) -> DataFrame:
+    """step(state, values) -> (state, result) along each key's rows in order, from start() on: (key, the last of order, *values, out: double).
+
+    A key's rows come to one task, sorted, and its state is carried from batch to
+    batch, so that memory is bounded and time is linear. A null value leaves the
+    state as it is and gives null; rows that repeat are steps of their own.
+    """
+    fields = list(dict.fromkeys([key, order[-1], *values]))
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        now, state, begun = None, None, False
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in (key, *values)]
+            results = []
+            for k, *v in zip(*cols, strict=True):
+                if not begun or k != now:
+                    now, state, begun = k, start(), True
+                got = None
+                if None not in v:
+                    state, got = step(state, v)
+                results.append(got)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in fields), pa.array(results, pa.float64())], [*fields, out])
+
+    rows = df.select(*dict.fromkeys([key, *order, *values])).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in fields) + f", `{out}` double")
 
 
 def one_euro(df: DataFrame, key: str, value: str, t: str, order: str, min_cutoff: float = 1.5, beta: float = 0.05, dcutoff: float = 1.0) -> DataFrame:
     """The one-euro filter along each key: order, raw, smooth. A step of no or negative time counts as 1 ms."""
+    alpha = lambda cutoff, dt: 1 / (1 + 1 / (cutoff * (2 * math.pi)) / dt)
 
-    def step(s: Column, r: Column) -> Column:
-        dt = F.when(r[t] - s["t"] <= 0, 1e-3).otherwise(r[t] - s["t"])
-        a = one_euro_alpha(F.lit(dcutoff), dt)
-        dx = a * (r[value] - s["x"]) / dt + (1 - a) * s["dx"]
-        b = one_euro_alpha(min_cutoff + beta * F.abs(dx), dt)
-        first = s["t"].isNull()
-        return F.struct(F.when(first, r[value]).otherwise(b * r[value] + (1 - b) * s["x"]).alias("x"), F.when(first, 0.0).otherwise(dx).alias("dx"), r[t].alias("t"))
+    def step(s, v):
+        x, now = float(v[0]), v[1]
+        if s is None:
+            return (x, 0.0, now), x
+        last, slope, before = s
+        dt = now - before if now > before else 1e-3
+        a = alpha(dcutoff, dt)
+        slope = a * (x - last) / dt + (1 - a) * slope
+        b = alpha(min_cutoff + beta * abs(slope), dt)
+        smooth = b * x + (1 - b) * last
+        return (smooth, slope, now), smooth
 
-    none = F.lit(None).cast("double")
-    out = folded(df, key, F.struct(none.alias("x"), none.alias("dx"), none.alias("t")), step, [t, order], [value])
-    return out.select(key, F.explode(F.arrays_zip("rows", "states")).alias("z")).select(key, F.col(f"z.rows.{order}").alias(order), F.col(f"z.rows.{value}").alias("raw"), F.col("z.states.x").alias("smooth"))
+    out = scanned(df, key, [t, order], [value, t], lambda: None, step, "smooth")
+    return out.select(key, order, F.col(value).alias("raw"), "smooth")
 
 
 def presence(df: DataFrame, key: str, hit: str, order: list[str], up: float, down: float) -> DataFrame:
     """Presence that rises by up on a hit and falls by down on a miss, within 0 and 1."""
-    step = lambda s, r: F.when(r[hit], F.least(F.lit(1.0), s + up)).otherwise(F.greatest(F.lit(0.0), s - down))
-    out = folded(df, key, F.lit(0.0), step, order, [hit])
-    return out.select(key, F.explode(F.arrays_zip("rows", "states")).alias("z")).select(key, F.col(f"z.rows.{order[-1]}").alias(order[-1]), F.col("z.states").alias("presence"))
+
+    def step(s, v):
+        s = min(1.0, s + up) if v[0] else max(0.0, s - down)
+        return s, s
+
+    return scanned(df, key, order, [hit], lambda: 0.0, step, "presence").select(key, order[-1], "presence")
 
 
 def ema(df: DataFrame, key: str, value: str, order: list[str], keep: float = 0.9, seed: float = 30.0) -> DataFrame:
     """keep * previous + (1 - keep) * value from seed, the state after each row."""
-    out = folded(df, key, F.lit(seed), lambda s, r: s * keep + r[value] * (1 - keep), order, [value])
-    return out.select(key, F.explode(F.arrays_zip("rows", "states")).alias("z")).select(key, F.col(f"z.rows.{order[-1]}").alias(order[-1]), F.col("z.states").alias("ema"))
+
+    def step(s, v):
+        s = s * keep + v[0] * (1 - keep)
+        return s, s
+
+    return scanned(df, key, order, [value], lambda: seed, step, "ema").select(key, order[-1], "ema")
 
 
 def order_gate(df: DataFrame, key: str, action: str, at: str, required: list[str]) -> DataFrame:

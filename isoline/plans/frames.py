@@ -9,7 +9,8 @@ from isoline.operators import geometry as G
 from isoline.operators import review as V
 from isoline.operators import stats as S
 from isoline.plans.geometry import POINTS, _faces
-from isoline.plans.registry import query, rounded
+from isoline.plans.registry import QUERIES, SQL, query, rounded
+from isoline.plans.sequence import SAMPLES
 from isoline.sources import meshes as M
 from isoline.sources.tables import frames, points, read, samples
 
@@ -94,15 +95,10 @@ def binned_centreline(spark, d):
     return rounded(K.centreline(read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")), "l_returnflag", 2.0))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey a, o_custkey+o_orderkey%3*7 b FROM orders WHERE o_orderkey%5=0 AND o_orderkey%3>0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a v, a l FROM s UNION SELECT s.b, r.l FROM r JOIN s ON r.v=s.a) SELECT v, min(l) AS "label" FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey a, o_custkey+o_orderkey%3*7 b FROM orders), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r AS (SELECT 0 k, a v, a l, true "on" FROM s GROUP BY ALL UNION ALL SELECT k+1, v, min(l), bool_or("on") FROM (SELECT r.k, r.v, min(least(r.l,coalesce(t.l,r.l))) l, bool_or(t.l<r.l) "on" FROM r JOIN s ON s.a=r.v JOIN r t ON t.v=s.b GROUP BY ALL) WHERE (SELECT bool_or("on") FROM r) GROUP BY k, v)
+ SELECT v, min(l) AS "label" FROM r GROUP BY 1""")
 def connected_components(spark, d):
-    k = F.col("o_orderkey")
-    return K.least_labels(_links(read(spark, d, "orders").filter((k % 5 == 0) & (k % 3 > 0))))
-
-
-@query()
-def connected_components_whole(spark, d):
-    """connected_components with all orders as edges."""
     return K.least_labels(_links(read(spark, d, "orders")))
 
 
@@ -111,7 +107,11 @@ def _links(orders):
     return orders.select(c.alias("a"), (c + F.col("o_orderkey") % 3 * 7).alias("b"))
 
 
-@query()
+@query(f"""WITH {SAMPLES}, p AS (SELECT user_id, seq, t/86400-19723 x, value y FROM e), g AS (SELECT *, coalesce(sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)),0) st FROM p WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+ a AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY seq) s, count(*) OVER (PARTITION BY user_id) n FROM g), l AS (SELECT *, lead(s) OVER w s1, lead(x) OVER w x1, lead(y) OVER w y1 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+ o AS (SELECT *, unnest(range(CASE WHEN seq=0 THEN 0 ELSE floor(s/25)::BIGINT+1 END, floor(s1/25)::BIGINT+1)) k FROM l WHERE n>2 AND s1 IS NOT NULL), q AS (SELECT user_id, k, CASE WHEN s1>s THEN x+(k*25-s)/(s1-s)*(x1-x) ELSE x END x, CASE WHEN s1>s THEN y+(k*25-s)/(s1-s)*(y1-y) ELSE y END y FROM o),
+ z AS (SELECT user_id, arg_max(x,seq) x, arg_max(y,seq) y FROM p GROUP BY 1 HAVING count(*)>2), m AS (SELECT user_id, max(k) k, arg_max(x,k) lx, arg_max(y,k) ly FROM q GROUP BY 1)
+ SELECT user_id, k, round(x,3)+0 x, round(y,3)+0 y FROM (SELECT * FROM q UNION ALL SELECT z.user_id, k+1, x, y FROM z JOIN m USING(user_id) WHERE sqrt(pow(x-lx,2)+pow(y-ly,2))>6.25 UNION ALL SELECT user_id, seq, x, y FROM a WHERE n<=2)""")
 def spacing_resample(spark, d):
     rows = samples(spark, d).select("user_id", "seq", (F.col("t") / 86400 - 19723).alias("x"), F.col("value").alias("y"))
     return rounded(K.respaced(rows, "user_id", 25.0), 3)
@@ -232,3 +232,7 @@ def metric_changes(spark, d):
 
     rows = read(spark, d, "events").select("event_type", (F.col("value") - F.lag("value").over(W.partitionBy("event_type").orderBy("ts", "event_id"))).alias("gap"))
     return rounded(rows.groupBy("event_type").agg(F.avg("gap").alias("mean"), S.nearest_rank("gap", 0.9).alias("p90"), F.count("gap").alias("n")))
+
+
+#: The name under which the query over all orders was registered beside a bounded one.
+QUERIES["connected_components_whole"], SQL["connected_components_whole"] = QUERIES["connected_components"], SQL["connected_components"]

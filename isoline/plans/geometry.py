@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
 from isoline.operators import geometry as G
-from isoline.plans.registry import query, rounded
+from isoline.plans.registry import QUERIES, SQL, query, rounded
 from isoline.sources.tables import LANDMARKS, frames, points, read, triangle_corners
 
 TRIANGLES = LANDMARKS - 2
@@ -78,15 +78,14 @@ def margin_distance(spark, d):
     return rounded(rows.select("id", F.array_min("s")["margin"].alias("nearest"), F.array_min("s")["mm"].alias("distance_mm"), F.size(F.filter("s", lambda s: s["mm"] <= 28)).cast("long").alias("nearby")))
 
 
-TRI = f"""{POINTS}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id)-1 r FROM p), m AS (SELECT label, r//3 tri, {", ".join(f"max({n}) FILTER (WHERE r%3={j}) {n}{j}" for j in range(3) for n in "xyz")} FROM k WHERE r<15 GROUP BY 1,2)"""
+TRI = f"""{POINTS}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id)-1 r FROM p), m AS (SELECT label, r//3 tri, {", ".join(f"max({n}) FILTER (WHERE r%3={j}) {n}{j}" for j in range(3) for n in "xyz")} FROM k GROUP BY 1,2)"""
 
 
-def _triangles(spark, d, whole=False):
-    """Triangles of each label, its points in threes: of the first fifteen or, where whole, of all."""
+def _triangles(spark, d):
+    """Triangles of each label: its points in threes."""
     from pyspark.sql import Window as W
 
     rows = points(spark, d).withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("id")) - 1)
-    rows = rows if whole else rows.filter("r < 15")
     return rows.groupBy("label", F.floor(F.col("r") / 3).alias("tri")).agg(*(F.max(F.when(F.col("r") % 3 == j, F.col(n))).alias(f"{n}{j}") for j in range(3) for n in "xyz")).na.drop()
 
 
@@ -99,12 +98,6 @@ def bary_locate(spark, d):
     return _located(spark, d, _triangles(spark, d))
 
 
-@query()
-def bary_locate_whole(spark, d):
-    """bary_locate among the triangles of all points."""
-    return _located(spark, d, _triangles(spark, d, True))
-
-
 def _located(spark, d, triangles):
     rows = points(spark, d).join(triangles, "label")
     corner = [[F.col(f"{n}{j}") for n in "xy"] for j in range(3)]
@@ -130,12 +123,6 @@ def closest_triangle(spark, d):
     return _closest(spark, d, _triangles(spark, d))
 
 
-@query()
-def closest_triangle_whole(spark, d):
-    """closest_triangle among the triangles of all points."""
-    return _closest(spark, d, _triangles(spark, d, True))
-
-
 def _closest(spark, d, triangles):
     rows = points(spark, d).join(triangles, "label")
     dist = E.distance_to_triangle(G.cols(), *([F.col(f"{n}{j}") for n in "xyz"] for j in range(3)))
@@ -143,12 +130,12 @@ def _closest(spark, d, triangles):
     return rounded(rows.groupBy("id").agg(best.alias("b")).select("id", F.col("b.tri").cast("long").alias("tri"), "b.distance"))
 
 
-def _others(spark, d, every=10):
-    return points(spark, d).filter(F.col("id") % every == 0).select("label", F.col("id").alias("other_id"), *(F.col(n).alias(f"o{n}") for n in ("x", "y", "z", "tx", "ty", "tz")))
+def _others(spark, d):
+    return points(spark, d).select("label", F.col("id").alias("other_id"), *(F.col(n).alias(f"o{n}") for n in ("x", "y", "z", "tx", "ty", "tz")))
 
 
 @query(f"""WITH {POINTS}, r AS (SELECT label, 0.18*sqrt(pow(max(x)-min(x),2)+pow(max(y)-min(y),2)+pow(max(z)-min(z),2)) reach FROM p GROUP BY 1),
- q AS (SELECT a.label, a.id, b.tx, b.ty, b.tz, {DIST} dd, b.id oid FROM p a JOIN p b ON a.label=b.label AND b.id%10=0 AND a.id<>b.id),
+ q AS (SELECT a.label, a.id, b.tx, b.ty, b.tz, {DIST} dd, b.id oid FROM p a JOIN p b ON a.label=b.label AND a.id<>b.id),
  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dd, oid) n FROM q QUALIFY n<=7), f AS (SELECT *, first_value(tx) OVER w fx, first_value(ty) OVER w fy, first_value(tz) OVER w fz FROM k WINDOW w AS (PARTITION BY id ORDER BY n)),
  s AS (SELECT label, id, sum(sg*tx/(dd+1e-6)) sx, sum(sg*ty/(dd+1e-6)) sy, sum(sg*tz/(dd+1e-6)) sz, min(dd) nearest, count(*) support FROM (SELECT *, CASE WHEN tx*fx+ty*fy+tz*fz<0 THEN -1 ELSE 1 END sg FROM f) GROUP BY 1,2)
  SELECT id, round(sx/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dx, round(sy/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dy, round(sz/sqrt(sx*sx+sy*sy+sz*sz),4)+0 dz, support, round(nearest,4) nearest, round(least(greatest(1-nearest/greatest(reach,1e-9),0),1),4)+0 confidence FROM s JOIN r USING(label)""")
@@ -156,12 +143,6 @@ def knn_direction(spark, d):
     return _directions(spark, d, _others(spark, d))
 
 
-@query()
-def knn_direction_whole(spark, d):
-    """knn_direction with all points as candidates."""
-    return _directions(spark, d, _others(spark, d, 1))
-
-
 def _directions(spark, d, others):
     pts = points(spark, d)
     reach = pts.groupBy("label").agg((0.18 * F.sqrt(sum((F.max(n) - F.min(n)) ** 2 for n in "xyz"))).alias("reach"))
@@ -169,17 +150,11 @@ def _directions(spark, d, others):
     return rounded(G.direction_field(near, ["label"], F.col("reach")).drop("label"))
 
 
-@query(f"""WITH {POINTS} SELECT a.id, arg_min(b.id,({DIST},b.id)) nearest_id, round(min({DIST}),4) distance FROM p a JOIN p b ON a.label=b.label AND b.id%10=0 AND a.id<>b.id GROUP BY 1""")
+@query(f"""WITH {POINTS} SELECT a.id, arg_min(b.id,({DIST},b.id)) nearest_id, round(min({DIST}),4) distance FROM p a JOIN p b ON a.label=b.label AND a.id<>b.id GROUP BY 1""")
 def nearest_one(spark, d):
     return _nearest(spark, d, _others(spark, d))
 
 
-@query()
-def nearest_one_whole(spark, d):
-    """nearest_one with all points as candidates."""
-    return _nearest(spark, d, _others(spark, d, 1))
-
-
 def _nearest(spark, d, others):
     near = G.nearest_k(points(spark, d).select("label", "id", "x", "y", "z"), others, ["label"], 1)
     return rounded(near.select("id", F.col("other_id").alias("nearest_id"), F.col("d").alias("distance")))
@@ -193,19 +168,13 @@ def medoid_fuse(spark, d):
     return rounded(G.medoid_fused(views, ["label", "view"], 0.25))
 
 
-@query(f"""WITH {POINTS}, q AS (SELECT a.id, exp(-0.5*pow({DIST}/0.1,2)) w, b.tx, b.ty, b.tz FROM p a JOIN p b ON a.label=b.label AND b.id%10=0 WHERE {DIST}<=0.2),
+@query(f"""WITH {POINTS}, q AS (SELECT a.id, exp(-0.5*pow({DIST}/0.1,2)) w, b.tx, b.ty, b.tz FROM p a JOIN p b ON a.label=b.label WHERE {DIST}<=0.2),
  m AS (SELECT id, sum(w*tx)/greatest(sum(w),1e-12) x, sum(w*ty)/greatest(sum(w),1e-12) y, sum(w*tz)/greatest(sum(w),1e-12) z FROM q GROUP BY 1),
  c AS (SELECT *, CASE WHEN sqrt(x*x+y*y+z*z)>0.1 THEN 0.1/sqrt(x*x+y*y+z*z) ELSE 1 END k FROM m) SELECT id, round(x*k,4)+0 dx, round(y*k,4)+0 dy, round(z*k,4)+0 dz FROM c""")
 def gaussian_residual(spark, d):
     return _residuals(spark, d, _others(spark, d))
 
 
-@query()
-def gaussian_residual_whole(spark, d):
-    """gaussian_residual with all points as anchors."""
-    return _residuals(spark, d, _others(spark, d, 1))
-
-
 def _residuals(spark, d, others):
     anchors = others.select("label", "ox", "oy", "oz", *(F.col(f"ot{n}").alias(f"r{n}") for n in "xyz"))
     return rounded(G.residual_field(points(spark, d).select("label", "id", "x", "y", "z"), anchors, ["label"], 0.1, 0.2, 0.1).drop("label"))
@@ -257,16 +226,10 @@ def vertex_tension(spark, d):
     return rounded(G.tension(springs, []))
 
 
-@query("""WITH RECURSIVE e AS (SELECT l_suppkey a, l_suppkey+1+l_partkey%3 b, min(l_quantity) w FROM lineitem GROUP BY ALL), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e),
- r AS (SELECT 0 k, 0::BIGINT v, 0e0 d UNION ALL SELECT k+1, v, min(d) FROM (SELECT k, b v, d+w d FROM r JOIN s ON r.v=s.a WHERE k<8 UNION ALL SELECT k, v, d FROM r WHERE k<8) GROUP BY k, v)
- SELECT v, round(min(d),4) d FROM r WHERE k=8 GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey a, l_suppkey+1+l_partkey%3 b, min(l_quantity) w FROM lineitem GROUP BY ALL), s AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), z AS (SELECT count(DISTINCT a) z FROM s),
+ r AS (SELECT 0 k, 0::BIGINT v, 0e0 d UNION ALL SELECT k+1, v, min(d) FROM (SELECT k, b v, d+w d FROM r JOIN s ON r.v=s.a JOIN z ON k<z UNION ALL SELECT k, v, d FROM r JOIN z ON k<z) GROUP BY k, v)
+ SELECT v, round(min(d),4) d FROM r GROUP BY 1""")
 def surface_path(spark, d):
-    """Least lengths from vertex 0, over at most eight edges, as its SQL has it."""
-    return rounded(G.shortest_paths(*_surface(spark, d), 8))
-
-
-@query()
-def surface_path_whole(spark, d):
     """Least lengths from vertex 0 over any number of edges."""
     return rounded(G.shortest_paths(*_surface(spark, d)))
 
@@ -277,3 +240,6 @@ def _surface(spark, d):
     return e, start
 
 
+#: Names under which queries over all rows were registered beside bounded ones.
+for name in ("bary_locate", "closest_triangle", "knn_direction", "nearest_one", "gaussian_residual", "surface_path"):
+    QUERIES[f"{name}_whole"], SQL[f"{name}_whole"] = QUERIES[name], SQL[name]

@@ -129,7 +129,7 @@ def review_overlay(spark, d):
     rows = read(spark, d, "customer").select(F.when(k % 3 != 0, k * 10).alias("k"), (k * 10 + 1).alias("f"), words.alias("word"), F.col("c_acctbal").alias("bal"))
     items = read(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("f"))
     out = V.overlaid(items, rows, "k", "f", ["word", "bal"])
-    return out.select("o_orderkey", V.decision(F.col("word"), F.col("bal") > 0, F.lit(False)).alias("decision"))
+    return out.select("o_orderkey", V.checked_decision(F.col("word"), F.col("bal") > 0, F.lit(False)).alias("decision"))
 
 
 @query("""SELECT doc_id, arg_min(src,(p,src)) picked FROM (SELECT doc_id, 'manual' src, 0 p FROM labels WHERE quality=1 UNION ALL SELECT doc_id, 'weak', 1 FROM labels UNION ALL SELECT doc_id, 'default', 2 FROM documents WHERE n_chars>100) WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY 1""")

@@ -13,7 +13,7 @@ def obj_parts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of OBJ texts in their order: (key, line, kind, parts), without comments and blanks."""
     lines = df.select(key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("line", "raw"))
     parts = F.filter(F.split(F.trim(F.regexp_replace("raw", "#.*", "")), "\\s+"), lambda s: s != "")
-    return lines.withColumn("p", parts).filter(F.size("p") > 0).select(key, "line", F.element_at("p", 1).alias("kind"), F.slice("p", 2, 1000).alias("parts"))
+    return lines.withColumn("p", parts).filter(F.size("p") > 0).select(key, "line", F.element_at("p", 1).alias("kind"), F.slice("p", 2, F.size("p")).alias("parts"))
 
 
 def obj_vertices(parts: DataFrame, key: str) -> DataFrame:
@@ -36,9 +36,12 @@ def obj_triangles(parts: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
 
 
 def calibration(text: Column) -> Column:
-    """Named numbers of a camera calibration text: lines of a name, a colon or equals sign, and a number."""
-    pairs = F.regexp_extract_all(text, F.lit(r"(?m)^\s*%([A-Za-z]\s*[-+0-9.eE]+)\s*$"), F.lit(1))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring(p, 1, 1), F.trim(F.substring(p, 2, 100)).try_cast("double"))))
+    """The numbers of a camera calibration text by name: lines of a percent sign, one letter, and a number. Of a letter that comes twice the last counts; lines that are no number are left out."""
+    lines = F.transform(F.split(text, "\r?\n"), F.trim)
+    pairs = F.transform(lines, lambda s: F.struct(F.regexp_extract(s, r"^%([A-Za-z])(?:[\s=:]|(?=[-+.0-9]))", 1).alias("k"), F.regexp_replace(s, r"^%[A-Za-z][\s=:]*", "").try_cast("double").alias("v")))
+    pairs = F.filter(pairs, lambda p: (p["k"] != "") & p["v"].isNotNull())
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
 
 
 def records(df: DataFrame, key: str, payload: str) -> DataFrame:
