@@ -185,3 +185,31 @@ def catmull_rom(df: DataFrame, key: str, names: list[str], per_segment: int, ord
         return mid(mid(a1, a2, t[0], t[2]), mid(a2, a3, t[1], t[3]), t[1], t[2])
 
     return rows.select(key, order, F.col("j").cast("long").alias("j"), *(F.when(F.col("more"), curve(c)).otherwise(F.col(c)).alias(c) for c in names))
+
+
+def axial(x: Column, y: Column) -> tuple[Column, Column]:
+    """A direction as an undirected axis: turned around where it points left, or straight down."""
+    sign = F.when((x < 0) | ((F.abs(x) < 1e-6) & (y < 0)), -1.0).otherwise(1.0)
+    return x * sign, y * sign
+
+
+def outward_tangents(df: DataFrame, key: str, ahead: int = 5, order: str = "seq") -> DataFrame:
+    """(key, side, tx, ty): unit directions out of the first and last of each key's points (x, y), from the point ahead places further in, or the farthest there is; (1, 0) where both are one."""
+    w = in_order(key, order)
+    rows = df.withColumns({"at": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(key))})
+    k = F.least(F.lit(ahead), F.col("n") - 1)
+    point = F.struct("x", "y")
+    at = lambda place: F.max(F.when(F.col("at") == place, point))
+    ends = rows.groupBy(key).agg(at(0).alias("a"), at(k).alias("a_in"), at(F.col("n") - 1).alias("b"), at(F.col("n") - 1 - k).alias("b_in"))
+    sides = F.array(*(F.struct(F.lit(name).alias("side"), (F.col(f"{e}.x") - F.col(f"{e}_in.x")).alias("x"), (F.col(f"{e}.y") - F.col(f"{e}_in.y")).alias("y")) for name, e in (("first", "a"), ("last", "b"))))
+    out = ends.select(key, F.explode(sides).alias("s")).select(key, "s.*").withColumn("m", F.hypot("x", "y"))
+    return out.select(key, "side", F.when(F.col("m") < 1e-9, 1.0).otherwise(F.col("x") / F.col("m")).alias("tx"), F.when(F.col("m") < 1e-9, 0.0).otherwise(F.col("y") / F.col("m")).alias("ty"))
+
+
+def ticks(df: DataFrame, key: str, every: int, length: float, order: str = "seq") -> DataFrame:
+    """Ends (ax, ay, bx, by) of the tick across every every-th segment of each key's points (x, y), length to both sides of its first point; order counts from 0. Segments without length have none."""
+    w = in_order(key, order)
+    rows = df.withColumns({"dx": F.lead("x").over(w) - F.col("x"), "dy": F.lead("y").over(w) - F.col("y")}).filter((F.col(order) % every == 0) & F.col("dx").isNotNull())
+    rows = rows.withColumn("m", F.hypot("dx", "dy")).filter("m >= 1e-6")
+    px, py = -F.col("dy") / F.col("m") * length, F.col("dx") / F.col("m") * length
+    return rows.select(key, order, (F.col("x") - px).alias("ax"), (F.col("y") - py).alias("ay"), (F.col("x") + px).alias("bx"), (F.col("y") + py).alias("by"))

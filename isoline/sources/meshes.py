@@ -35,9 +35,36 @@ def obj_triangles(parts: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
     return f.select(key, F.get("ids", F.lit(0)).alias("i0"), F.get("ids", F.col("k")).alias("i1"), F.get("ids", F.col("k") + 1).alias("i2"))
 
 
+def _ply(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Of ASCII PLY texts: (key, body: lines after the header, n_v, n_f, names: of a vertex's numbers in order). Elements are vertices, then faces; others after these are left out, as are texts in another format."""
+    lines = df.select(key, F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s)).alias("lines")).withColumn("end", F.array_position("lines", F.lit("end_header")))
+    lines = lines.filter((F.col("end") > 0) & F.startswith(F.get("lines", F.lit(0)), F.lit("ply")) & F.exists("lines", lambda s: s.rlike("^format\\s+ascii")))
+    head = F.slice("lines", F.lit(1), F.col("end"))
+    n = lambda what: F.coalesce(F.try_element_at(F.filter(F.transform(F.col("head"), lambda s: F.regexp_extract(s, rf"^element\s+{what}\s+(\d+)$", 1)), lambda s: s != ""), F.lit(1)).cast("int"), F.lit(0))
+    own = F.filter(F.transform("head", lambda s, i: F.when(s.rlike("^property") & (F.size(F.filter(F.slice(F.col("head"), F.lit(1), i), lambda e: e.rlike("^element"))) == 1), F.regexp_extract(s, r"(\S+)$", 1))), lambda s: s.isNotNull())
+    return lines.withColumn("head", head).select(key, F.slice("lines", F.col("end").cast("int") + 1, F.size("lines")).alias("body"), n("vertex").alias("n_v"), n("face").alias("n_f"), own.alias("names"))
+
+
+def ply_vertices(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, vid, x, y, z) of ASCII PLY texts, counted from 0."""
+    rows = _ply(df, key, text).select(key, "names", F.posexplode(F.slice("body", F.lit(1), F.col("n_v"))).alias("vid", "line"))
+    numbers = F.split("line", "\\s+")
+    return rows.select(key, "vid", *(F.get(numbers, F.array_position("names", F.lit(n)).cast("int") - 1).try_cast("double").alias(n) for n in "xyz"))
+
+
+def ply_triangles(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, i0, i1, i2) of ASCII PLY texts: polygons fanned from their first vertex; faces with an index out of range go."""
+    rows = _ply(df, key, text).select(key, "n_v", F.explode(F.slice("body", F.col("n_v") + 1, F.col("n_f"))).alias("line"))
+    numbers = F.transform(F.split("line", "\\s+"), lambda s: s.try_cast("int"))
+    rows = rows.withColumn("all", numbers).withColumn("ids", F.slice("all", F.lit(2), F.greatest(F.coalesce(F.get("all", F.lit(0)), F.lit(0)), F.lit(0))))
+    rows = rows.filter((F.size("ids") >= 3) & F.forall("ids", lambda i: i.isNotNull() & (i >= 0) & (i < F.col("n_v"))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ids") - 2)))
+    return rows.select(key, F.get("ids", F.lit(0)).alias("i0"), F.get("ids", F.col("k")).alias("i1"), F.get("ids", F.col("k") + 1).alias("i2"))
+
+
 def calibration(text: Column) -> Column:
     """The numbers of a camera calibration text by name: lines of a percent sign, one letter, and a number. Of a letter that comes twice the last counts; lines that are no number are left out."""
-    lines = F.transform(F.split(text, "\r?\n"), F.trim)
+    lines = F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s))
     pairs = F.transform(lines, lambda s: F.struct(F.regexp_extract(s, r"^%([A-Za-z])(?:[\s=:]|(?=[-+.0-9]))", 1).alias("k"), F.regexp_replace(s, r"^%[A-Za-z][\s=:]*", "").try_cast("double").alias("v")))
     pairs = F.filter(pairs, lambda p: (p["k"] != "") & p["v"].isNotNull())
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isoline.functions import exprs as E
 from isoline.operators import frames as K
 from isoline.operators import geometry as G
+from isoline.operators import payloads as A
 from isoline.operators import review as V
 from isoline.operators import rules as R
 from isoline.operators import sequence as Q
@@ -196,3 +197,46 @@ def test_labels_that_have_not_settled_raise(spark):
     with pytest.raises(RuntimeError):
         K.least_labels(chain, 2)
     assert {r.label for r in K.least_labels(chain).collect()} == {0}
+
+
+def test_faces_of_many_corners_and_calibration_texts(spark):
+    n = 1500
+    text = "\n".join(["v 0 0 0"] * n + ["f " + " ".join(str(i + 1) for i in range(n))])
+    parts = M.obj_parts(spark.createDataFrame([("m", text)], "m string, text string"), "m", "text")
+    assert M.obj_triangles(parts, M.obj_vertices(parts, "m"), "m").count() == n - 2
+    said = "%F 1200.5\r\n %X -3e2\n%x 7\n# note\n%F 1300\nF 9\n%Y none\n%Z12"
+    assert spark.createDataFrame([(said,)], "t string").select(M.calibration(F.col("t"))).first()[0] == {"X": -300.0, "x": 7.0, "F": 1300.0, "Z": 12.0}
+
+
+def test_ply_reader(spark):
+    text = "ply\r\nformat ascii 1.0\r\nelement vertex 4\r\nproperty float z\r\nproperty float x\r\nproperty float y\r\nelement face 3\r\nproperty list uchar int vertex_indices\r\nend_header\r\n9 0 0\r\n9 1 0\r\n9 1 1\r\n9 0 1\r\n4 0 1 2 3\r\n3 0 1 7\r\n3 3 2 1\r\n"
+    df = spark.createDataFrame([("m", text), ("b", "ply\nformat binary_little_endian 1.0\nelement vertex 1\nend_header\nx"), ("n", None)], "m string, text string")
+    assert sorted(map(tuple, M.ply_vertices(df, "m", "text").collect())) == [("m", 0, 0.0, 0.0, 9.0), ("m", 1, 1.0, 0.0, 9.0), ("m", 2, 1.0, 1.0, 9.0), ("m", 3, 0.0, 1.0, 9.0)]
+    assert sorted(map(tuple, M.ply_triangles(df, "m", "text").collect())) == [("m", 0, 1, 2), ("m", 0, 2, 3), ("m", 3, 2, 1)]
+
+
+def test_payload_leaves_of_any_depth(spark):
+    deep = "1"
+    for _ in range(30):
+        deep = f'{{"a":[{deep}]}}'
+    media = "R0lGODlh" * 40
+    rows = [(1, deep), (2, "not json"), (3, None), (4, '{"A_Token":" REDACTED ","b":{"token":5,"mrn":"7","video":"%s"},"c":null,"d":"call +49 170 1234567"}' % media), (5, "[]"), (6, '"x@example.com"')]
+    df = spark.createDataFrame(rows, "id long, js string")
+    leaves = A.json_leaves(df, "id", "js")
+    got = {(r.id, ".".join(r.path)): (r.kind, r.value) for r in leaves.collect()}
+    assert got[1, ".".join(["a", "0"] * 30)][1] == "1" and {i for i, _ in got} == {1, 4, 6}
+    assert sorted((r.id, ".".join(r.path), r.code) for r in A.payload_violations(leaves).collect()) == [
+        (4, "b.mrn", "pii_field_present"), (4, "b.video", "embedded_media_payload"), (4, "d", "pii_pattern_present"), (6, "", "pii_pattern_present"),
+    ]
+
+
+def test_unknown_review_words_stop(spark):
+    df = spark.createDataFrame([("huh",)], "w string").select(V.checked_decision(F.col("w"), F.lit(True), F.lit(False)))
+    with pytest.raises(Exception, match="unknown review decision: huh"):
+        df.collect()
+
+
+def test_scans_are_linear_and_skip_nulls(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("k"), F.col("id"), F.when(F.col("id") != 7, F.lit(1.0)).alias("x"))
+    got = Q.ema(df, "k", "x", ["id"]).orderBy("id").collect()
+    assert len(got) == 40_000 and got[7].ema is None and got[8].ema == pytest.approx(1 + 29 * 0.9**8)
