@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 from heapq import heapify, heappop, heappush
 
@@ -273,10 +274,11 @@ def _settled_paths(edge_table: DataFrame, sources: DataFrame, block: int) -> Dat
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the cluster's shared folder, or in a fresh one where none is set."""
-    import tempfile
-
+    """df cut from its lineage in the cluster's shared folder. Where none is set, in a fresh one on a local master, as in tests; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -29,13 +29,15 @@ def _candidates(spark, d):
         (c("l_quantity") + 5).alias("candidate_mm"), (c("l_tax") * 400).alias("deviation"), F.when(c("l_linestatus") == "O", "noted").otherwise("").alias("override_reason"))
 
 
-def _threshold_sql(name: str, fall: bool = True) -> str:
-    out = " ".join(f"WHEN {name}='{k}' THEN {v}" for k, v in R.DISTANCE_MM.items()) + " " + " ".join(f"WHEN contains({name},'{k}') THEN {v}" for k, v in R.DISTANCE_MM.items() if k != "default")
-    return f"CASE {out} ELSE 18 END" if fall else f"CASE {out} END"
+def _threshold_sql(n: str, fall: bool = True) -> str:
+    """The distances once more, so that the SQL doesn't share the operator's table."""
+    whole = f"WHEN {n}='default' THEN 18 WHEN {n} IN ('lower_eyelid','lower_eyelid_margin') THEN 16 WHEN {n} IN ('lip_vermilion','lip_vermilion_margin','oral_commissure','inner_canthus') THEN 14 WHEN {n} IN ('nasal_ala','nasal_ala_margin') THEN 12 WHEN {n}='nasal_tip' THEN 10"
+    part = f"WHEN contains({n},'lower_eyelid') THEN 16 WHEN contains({n},'lip_vermilion') OR contains({n},'oral_commissure') THEN 14 WHEN contains({n},'nasal_ala') THEN 12 WHEN contains({n},'nasal_tip') THEN 10 WHEN contains({n},'inner_canthus') THEN 14"
+    return f"CASE {whole} {part} ELSE 18 END" if fall else f"CASE {whole} {part} END"
 
 
 CODES = f"""w AS (SELECT *, {_threshold_sql("nearest")} thr FROM c), k AS (SELECT *, [CASE WHEN direction_confidence<0.35 THEN 'low_rstl_confidence:medium' END, CASE WHEN region_confidence<0.45 THEN 'low_region_confidence:medium' END,
- CASE WHEN region IN {R.SENSITIVE!r} THEN 'sensitive_region_'||region||':high' END, CASE WHEN margin_mm<=thr THEN 'near_sensitive_free_margin:high' END, CASE WHEN type='linear' AND diameter_deficit>1e-6 THEN 'linear_diameter_coverage_deficit:high' END,
+ CASE WHEN region IN ('lower_eyelid','lip_vermilion','nasal_ala','nasal_tip','oral_commissure') THEN 'sensitive_region_'||region||':high' END, CASE WHEN margin_mm<=thr THEN 'near_sensitive_free_margin:high' END, CASE WHEN type='linear' AND diameter_deficit>1e-6 THEN 'linear_diameter_coverage_deficit:high' END,
  CASE WHEN type='fusiform' AND pts>0 AND pts<6 THEN 'cutaneous_boundary_too_few_points:medium' END, CASE WHEN type='fusiform' AND crosses THEN 'cutaneous_boundary_self_intersection:high' END, CASE WHEN type='fusiform' AND area_ratio<0.08 THEN 'cutaneous_boundary_degenerate_area:high' END,
  CASE WHEN type='fusiform' AND shift>diameter THEN 'cutaneous_boundary_center_shift:high' END, CASE WHEN type='fusiform' AND ocrosses THEN 'fusiform_outline_self_intersection:high' END, CASE WHEN type='fusiform' AND NOT tapers THEN 'fusiform_outline_not_smoothly_tapered:high' END,
  CASE WHEN type='fusiform' AND outside>0 THEN 'fusiform_boundary_outside_envelope:high' END, CASE WHEN type='fusiform' AND axis_deficit>1e-6 THEN 'fusiform_axis_coverage_deficit:high' END, CASE WHEN candidate_mm<=thr THEN 'candidate_near_sensitive_free_margin:high' END,
@@ -56,7 +58,7 @@ def guardrail_warnings(spark, d):
 def rank_candidates(spark, d):
     """Each order's candidates ranked; one shuffle by order serves the ranks."""
     rows = _candidates(spark, d).withColumn("w", R.warnings())
-    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", *(R.severity_count("w", s).alias(s) for s in ("high", "medium", "low")), "deviation", "diameter_deficit", "axis_deficit", (F.col("l_partkey") % 4).cast("double").alias("tip_error"), "margin_mm", R.threshold_of(F.array("nearest_margin"), F.lit("unknown")).alias("margin_threshold"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", *(R.severity_count("w", s).alias(s) for s in ("high", "medium", "low")), "deviation", "diameter_deficit", "axis_deficit", (F.col("l_partkey") % 4).cast("double").alias("tip_error"), "margin_mm", R.threshold_near(F.col("nearest_margin"), F.lit("unknown")).alias("margin_threshold"))
     rows = rows.join(read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "P").alias("rejected")), "l_orderkey")
     rows = rows.withColumn("at", F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey"))
     return R.ranked(rows, ["l_orderkey"], "at").select("l_orderkey", "l_linenumber", "l_partkey", "score", F.col("rank").cast("long").alias("rank"))
