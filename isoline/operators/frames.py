@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isoline.functions import exprs as E
 from isoline.operators.geometry import checkpointed
 from isoline.operators.sequence import arc_length
 
@@ -83,24 +84,65 @@ def spring_step(vertices: DataFrame, springs: DataFrame, by: list[str], dt: floa
     return out.select(*by, "v", *((F.col(n) + speed[n] * dt).alias(n) for n in "xyz"), *(speed[n].alias(f"v{n}") for n in "xyz"), "anchored")
 
 
-def hull(df: DataFrame, by: str) -> DataFrame:
-    """The convex hull of each small group's points (x, y), counter-clockwise: (by, hull: array of (x, y))."""
+def hull(df: DataFrame, by: str, most: int = 1 << 16) -> DataFrame:
+    """The convex hull of each group's points (x, y), counter-clockwise: (by, hull: array of (x, y)). Tasks send on only the hulls of what they hold, so that one group's task meets few points; a task holds at most about most of them. A group without a point has no hull."""
 
-    def chain(g: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(g["x"], g["y"], strict=True)))
+    def ring(xy: np.ndarray) -> np.ndarray:
+        """Corners of the hull, by splitting each side at the point farthest outside of it."""
+        xy = np.unique(xy[np.isfinite(xy).all(axis=1)], axis=0)
+        if len(xy) < 3:
+            return xy
+        out, todo = [], [(xy[0], xy[-1], xy), (xy[-1], xy[0], xy)]
+        while todo:
+            a, b, p = todo.pop(0)
+            out_by = (p[:, 0] - a[0]) * (b[1] - a[1]) - (p[:, 1] - a[1]) * (b[0] - a[0])
+            p, out_by = p[out_by > 0], out_by[out_by > 0]
+            if len(p):
+                far = p[out_by.argmax()]
+                todo[:0] = [(a, far, p), (far, b, p)]
+            else:
+                out.append(a)
+        return np.array(out)
 
-        def half(ps):
-            out = []
-            for p in ps:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out[:-1]
+    def partial(batches):
+        held: dict[object, np.ndarray] = {}
+        for g in batches:
+            for k, rows in g.groupby(by, dropna=False):
+                xy = rows[["x", "y"]].to_numpy(dtype=float)
+                held[k] = ring(np.vstack([held[k], xy]) if k in held else xy)
+            if sum(map(len, held.values())) > most:
+                yield sent(held)
+                held = {}
+        yield sent(held)
 
-        ring = half(pts) + half(pts[::-1]) if len(pts) > 2 else pts
-        return pd.DataFrame({by: g[by].iloc[:1], "hull": [[{"x": x, "y": y} for x, y in ring]]})
+    def sent(held):
+        xy = np.vstack([np.empty((0, 2)), *held.values()])
+        return pd.DataFrame({by: pd.Series([k for k, v in held.items() for _ in v], dtype=object), "x": xy[:, 0], "y": xy[:, 1]})
 
-    return df.groupBy(by).applyInPandas(chain, f"{by} {dict(df.dtypes)[by]}, hull array<struct<x:double,y:double>>")
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: g[by].iloc[:1].astype(object).tolist(), "hull": [[{"x": x, "y": y} for x, y in ring(g[["x", "y"]].to_numpy(dtype=float))]]})
+
+    kind = dict(df.dtypes)[by]
+    few = df.filter(F.col(by).isNotNull()).select(by, "x", "y").mapInPandas(partial, f"{by} {kind}, x double, y double")
+    return few.groupBy(by).applyInPandas(whole, f"{by} {kind}, hull array<struct<x:double,y:double>>")
+
+
+def expanded(ring: Column, margin: float) -> Column:
+    """A ring with each corner moved by margin away from the corners' mean, or towards it, but not beyond, where margin is negative."""
+    mean = lambda n: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[n]) / F.size(ring)
+    centre = F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+    def moved(p: Column) -> Column:
+        dx, dy = p["x"] - centre["x"], p["y"] - centre["y"]
+        d = F.hypot(dx, dy)
+        return F.struct(*((p[n] + F.when(d > 0, F.greatest(F.lit(margin), -d) * c / d).otherwise(0.0)).alias(n) for n, c in (("x", dx), ("y", dy))))
+
+    return F.when(F.size(ring) > 2, F.transform(ring, moved)).otherwise(ring)
+
+
+def in_capsule(x: Column, y: Column, a: list[Column], b: list[Column], radius: Column | float) -> Column:
+    """Whether a point is within radius of the segment from a to b."""
+    return E.closest_on_segment([x, y], a, b) <= radius
 
 
 def inside_hull(ring: Column, x: Column, y: Column) -> Column:
@@ -138,6 +180,14 @@ def spline_fitted(controls: DataFrame, points: DataFrame, by: str, smoothing: fl
     return out.select(by, "id", *(F.col(f"moved_{n}").alias(n) for n in "xyz"))
 
 
+def gridded_controls(df: DataFrame, by: str, cells: int = 4) -> DataFrame:
+    """Controls of spline_fitted() that stand for all points (by, x..z, qx..qz) of a group: their means in cells cells a side of its box, cells ** 3 at most, whatever the group's size."""
+    box = df.groupBy(by).agg(*(f(n).alias(f"{p}_{n}") for n in "xyz" for p, f in (("lo", F.min), ("hi", F.max))))
+    at = lambda n: F.least(F.floor(cells * (F.col(n) - F.col(f"lo_{n}")) / F.greatest(F.col(f"hi_{n}") - F.col(f"lo_{n}"), F.lit(1e-12))), F.lit(cells - 1))
+    placed = df.join(box, by).withColumns({f"c_{n}": at(n) for n in "xyz"})
+    return placed.groupBy(by, "c_x", "c_y", "c_z").agg(*(F.avg(n).alias(n) for n in ("x", "y", "z", "qx", "qy", "qz"))).drop("c_x", "c_y", "c_z")
+
+
 def centreline(df: DataFrame, by: str, step: float) -> DataFrame:
     """Medians of x and y in each step-wide bin along x."""
     return df.groupBy(by, F.floor(F.col("x") / step).alias("bin")).agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count("*").alias("n"))

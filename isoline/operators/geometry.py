@@ -79,8 +79,8 @@ def normalised(v: Column, low: Column, high: Column) -> Column:
     return E.clamp((v - low) / F.greatest(high - low, F.lit(1e-9)), 0.0, 1.0)
 
 
-def nearest_k(points: DataFrame, others: DataFrame, by: list[str], k: int) -> DataFrame:
-    """The k others nearest each point of the same by columns, with d and rank n; ties by other_id. points: id, x..z; others: other_id, ox..oz.
+def nearest_k(points: DataFrame, others: DataFrame, by: list[str], k: int, itself: bool = False) -> DataFrame:
+    """The k others nearest each point of the same by columns, with d and rank n; ties by other_id. points: id, x..z; others: other_id, ox..oz. An other of the point's own id counts only with itself.
 
     Points ask the grid cells around them; those that don't find k others within
     the radius ask again with twice of it, and the few left when it spans the
@@ -90,7 +90,7 @@ def nearest_k(points: DataFrame, others: DataFrame, by: list[str], k: int) -> Da
     same = W.partitionBy(*by, *cols("o")).orderBy("other_id")
     others = checkpointed(others.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"))
     rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("d", "other_id"))
-    ranked = lambda pairs: pairs.filter("id <> other_id").withColumn("n", rank).filter(F.col("n") <= k)
+    ranked = lambda pairs: (pairs if itself else pairs.filter("id <> other_id")).withColumn("n", rank).filter(F.col("n") <= k)
     spans = [F.max(f"o{n}") - F.min(f"o{n}") for n in XYZ]
     groups = others.groupBy(*by).agg(F.count("*").alias("m"), F.greatest(*spans).alias("span"))
     m, span = groups.agg(F.max("m"), F.max("span")).first()

@@ -71,23 +71,20 @@ def soft_body_step(spark, d):
 
 @query()
 def hull_occlusion(spark, d):
-    """Points not covered by the hull of their label's first thirty: the hull is of a bounded group, containment is an expression."""
-    from pyspark.sql import Window as W
-
+    """Points seen past an occluder: the hull of all points of the label before theirs, drawn in by a fifth of a unit, and a capsule along the middle. Labels without one before them are seen."""
     pts = points(spark, d).select("id", "label", "x", "y")
-    first = pts.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("id"))).filter("r <= 30")
-    rows = pts.join(K.hull(first.select("label", "x", "y"), "label"), "label")
-    return rows.filter(~K.inside_hull(F.col("hull"), F.col("x"), F.col("y"))).select("id", "label")
+    hulls = K.hull(pts, "label").select((F.col("label") + 1).alias("label"), K.expanded(F.col("hull"), -0.2).alias("hull"))
+    rows = pts.join(hulls, "label", "left")
+    capsule = K.in_capsule(F.col("x"), F.col("y"), [F.lit(-0.1), F.lit(0.0)], [F.lit(0.1), F.lit(0.0)], 0.05)
+    hidden = F.coalesce(K.inside_hull(F.col("hull"), F.col("x"), F.col("y")), F.lit(False)) | capsule
+    return rows.filter(~hidden).select("id", "label")
 
 
 @query()
 def spline_map(spark, d):
-    """Points moved by the spline through their label's first forty controls."""
-    from pyspark.sql import Window as W
-
+    """Points moved by the spline through controls that stand for all points of their label."""
     pts = points(spark, d)
-    controls = pts.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy("id"))).filter("r <= 40").select("label", "x", "y", "z", "qx", "qy", "qz")
-    return rounded(K.spline_fitted(controls, pts.select("label", "id", "x", "y", "z"), "label"), 6)
+    return rounded(K.spline_fitted(K.gridded_controls(pts, "label"), pts.select("label", "id", "x", "y", "z"), "label"), 6)
 
 
 @query("SELECT l_returnflag, CAST(floor(l_quantity/2) AS BIGINT) bin, round(median(l_quantity),4) x, round(median(l_extendedprice),4) y, count(*) n FROM lineitem GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
 from isoline.operators import geometry as G
+from isoline.operators import surface as U
 from isoline.plans.registry import QUERIES, SQL, query, rounded
 from isoline.sources.tables import LANDMARKS, frames, points, read, triangle_corners
 
@@ -95,17 +96,7 @@ def _triangles(spark, d):
  SELECT id, CAST(arg_min(tri,(CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN 0 ELSE 1 END, CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN -round((z0+z1+z2)/3,9) ELSE -round(least(v,w,1-v-w),9) END, tri)) AS BIGINT) tri, bool_or(v>=0 AND w>=0 AND 1-v-w>=0) inside FROM q GROUP BY 1""")
 def bary_locate(spark, d):
     """The triangle of its label that each point lies in; of several the one with the greatest mean z, of none the one missed least."""
-    return _located(spark, d, _triangles(spark, d))
-
-
-def _located(spark, d, triangles):
-    rows = points(spark, d).join(triangles, "label")
-    corner = [[F.col(f"{n}{j}") for n in "xy"] for j in range(3)]
-    u, v, w = E.barycentric_coordinates([F.col("x"), F.col("y")], *corner)
-    inside, least = (u >= 0) & (v >= 0) & (w >= 0), F.least(u, v, w)
-    depth = F.when(inside, F.round((F.col("z0") + F.col("z1") + F.col("z2")) / 3, 9)).otherwise(F.round(least, 9))
-    rows = rows.select("id", "tri", inside.alias("inside"), depth.alias("depth"))
-    return rows.groupBy("id").agg(F.min(F.struct(F.when(F.col("inside"), 0).otherwise(1), -F.col("depth"), "tri"))["tri"].cast("long").alias("tri"), F.bool_or("inside").alias("inside"))
+    return U.located(points(spark, d), _triangles(spark, d), ["label"]).select("id", F.col("tri").cast("long").alias("tri"), "inside")
 
 
 def _edge_sql(a, b):
@@ -120,14 +111,7 @@ def _edge_sql(a, b):
  r AS (SELECT id, tri, round(CASE WHEN v>=0 AND w>=0 AND 1-v-w>=0 THEN sqrt({"+".join(f"pow({n}-((1-v-w)*{n}0+v*{n}1+w*{n}2),2)" for n in "xyz")}) ELSE least(g1,g2,g3) END,9) dist FROM q)
  SELECT id, CAST(arg_min(tri,(dist,tri)) AS BIGINT) tri, round(min(dist),4) distance FROM r GROUP BY 1""")
 def closest_triangle(spark, d):
-    return _closest(spark, d, _triangles(spark, d))
-
-
-def _closest(spark, d, triangles):
-    rows = points(spark, d).join(triangles, "label")
-    dist = E.distance_to_triangle(G.cols(), *([F.col(f"{n}{j}") for n in "xyz"] for j in range(3)))
-    best = F.min(F.struct(F.round(dist, 9).alias("distance"), F.col("tri")))
-    return rounded(rows.groupBy("id").agg(best.alias("b")).select("id", F.col("b.tri").cast("long").alias("tri"), "b.distance"))
+    return rounded(U.closest(points(spark, d), _triangles(spark, d), ["label"]).select("id", F.col("tri").cast("long").alias("tri"), "distance"))
 
 
 def _others(spark, d):
