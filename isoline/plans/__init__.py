@@ -1,6 +1,6 @@
 """All registered queries: importing this package fills the registry."""
 
-from isoline.plans import frames, geometry, payloads, planning, rules, sequence, stats
+from isoline.plans import contracts, frames, geometry, payloads, planning, rules, sequence, stats
 from isoline.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "frames", "geometry", "payloads", "planning", "rules", "sequence", "stats"]
+__all__ = ["QUERIES", "SQL", "contracts", "frames", "geometry", "payloads", "planning", "rules", "sequence", "stats"]
