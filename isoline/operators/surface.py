@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
-from isoline.operators.geometry import XYZ, cols, nearest_k
+from isoline.operators.geometry import XYZ, cols
 
 CORNERS = (0, 1, 2)
 
@@ -72,12 +72,34 @@ def located(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame
     return found.unionByName(missed)
 
 
+def corner_bound(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame:
+    """For each point (by, id, x..z) the distance to some corner near it (bound), which its closest triangle can't exceed.
+
+    One corner stands for each cell of a grid at each of its levels; a point
+    measures those of its own cells, the widest of which holds the whole mesh.
+    """
+    corner = F.explode(F.array(*(F.struct(*(F.col(f"{n}{j}").alias(f"o{n}") for n in XYZ)) for j in CORNERS)))
+    corners = triangles.select(*by, corner.alias("c")).select(*by, "c.*")
+    mesh = corners.groupBy(*by).agg(F.count("*").alias("n"), *(F.min(f"o{n}").alias(f"at_{n}") for n in XYZ), *(F.max(f"o{n}").alias(f"to_{n}") for n in XYZ))
+    span = F.greatest(*(F.col(f"to_{n}") - F.col(f"at_{n}") for n in XYZ))
+    mesh = mesh.withColumns({"top": F.ceil(F.log2("n") / 3).cast("int") + 1, "span": F.when(span > 0, span).otherwise(1.0)})
+
+    def celled(df: DataFrame, prefix: str) -> DataFrame:
+        df = df.join(mesh, by).withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
+        parts = F.pow(F.lit(2.0), "level")
+        inside = lambda n: F.least(F.greatest(F.col(f"{prefix}{n}"), F.col(f"at_{n}")), F.col(f"to_{n}")) - F.col(f"at_{n}")
+        return df.withColumns({f"c_{n}": F.least(F.floor(inside(n) / F.col("span") * parts), parts - 1) for n in XYZ}).drop("n", "top", "span", *(f"{p}_{n}" for p in ("at", "to") for n in XYZ))
+
+    cell = [*by, "level", *(f"c_{n}" for n in XYZ)]
+    stands = celled(corners, "o").groupBy(*cell).agg(F.min(F.struct(*cols("o"))).alias("o")).select(*cell, "o.*")
+    near = celled(points, "").join(stands, cell).withColumn("d", E.distance(cols(), cols("o")))
+    return near.groupBy(*by, "id").agg(F.min("d").alias("bound"))
+
+
 def closest(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame:
-    """For each point (id, x..z) the triangle (tri, x0..z2) of its by columns that is nearest, and its distance; ties to the smaller tri. The nearest corner bounds how far to look, cells find what is within that bound, and only those are measured."""
+    """For each point (id, x..z) the triangle (tri, x0..z2) of its by columns that is nearest, and its distance; ties to the smaller tri. The distance to a corner near by bounds how far to look, cells find what is within that bound, and only those are measured."""
     points = points.select(*by, "id", *XYZ)
-    corner = F.explode(F.array(*(F.struct((F.col("tri") * 3 + j).alias("other_id"), *(F.col(f"{n}{j}").alias(f"o{n}") for n in XYZ)) for j in CORNERS)))
-    corners = triangles.select(*by, corner.alias("c")).select(*by, "c.*")
-    bound = nearest_k(points, corners, by, 1, itself=True).select(*by, "id", F.col("d").alias("bound"))
+    bound = corner_bound(points, triangles, by)
     pairs = met(points.join(bound, [*by, "id"]), triangles, by, XYZ, F.col("bound") * (1 + 1e-9) + 1e-9)
     distance = E.distance_to_triangle(cols(), *([F.col(f"{n}{j}") for n in XYZ] for j in CORNERS))
     best = pairs.groupBy(*by, "id").agg(F.min(F.struct(F.round(distance, 9).alias("distance"), "tri")).alias("b"))
