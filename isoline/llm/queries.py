@@ -16,8 +16,9 @@ from .mpegts import op6_mpeg_ts
 from .secrets import op3_secret_scan
 from .simhash import op4_simhash
 from .toxicity import op10_toxicity
+from .trie import OP11_SQL, op11_conversation_trie
 
-ALL = (op1_mixing, op2_ann, op3_secret_scan, op4_simhash, op5_bpe, op6_mpeg_ts, op7_html_extract, op8_chat_format, op9_language_id, op10_toxicity)
+ALL = (op1_mixing, op2_ann, op3_secret_scan, op4_simhash, op5_bpe, op6_mpeg_ts, op7_html_extract, op8_chat_format, op9_language_id, op10_toxicity, op11_conversation_trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op8_chat_format": OP8_SQL, "op11_conversation_trie": OP11_SQL}
