@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = "struct<id:string,review_status:string,candidate:struct<type:string,length_mm:double>,guardrails:struct<passed:boolean,warnings:array<struct<code:string,severity:string>>>>"
@@ -62,6 +66,135 @@ def ply_triangles(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.get("ids", F.lit(0)).alias("i0"), F.get("ids", F.col("k")).alias("i1"), F.get("ids", F.col("k") + 1).alias("i2"))
 
 
+#: The scalar types of PLY and how many bytes they have.
+PLY_SCALARS = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+PLY_FACES = ("vertex_indices", "vertex_index", "vertices", "verts")
+PLY_PARTS = "vid long, x double, y double, z double, i0 long, i1 long, i2 long, error string"
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files at a path, each read whole by one task."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _ply_header(content: bytes) -> tuple[str, list[tuple[str, int, list[tuple[str, ...]]]], int]:
+    """A PLY header's format, its elements as (name, count, properties), and where the data begin."""
+    end = content.find(b"end_header")
+    line = content.find(b"\n", end)
+    if not content.startswith(b"ply") or end < 0 or line < 0:
+        raise ValueError("no PLY header")
+    kind, elements = "", []
+    for words in (x.split() for x in content[:end].decode("ascii", "replace").splitlines()):
+        if words[:1] == ["format"]:
+            kind = words[1]
+        elif words[:1] == ["element"]:
+            elements.append((words[1], int(words[2]), []))
+        elif words[:1] == ["property"] and elements:
+            elements[-1][2].append(tuple(words[1:]))
+    return kind, elements, line + 1
+
+
+def _ply_element(data: memoryview, at: int, count: int, properties: list[tuple[str, ...]], order: str) -> tuple[dict[str, object], int]:
+    """An element's columns by name, and where the next begins. Records of equal list lengths are decoded at once, others one by one."""
+    kind = lambda t: np.dtype(order + PLY_SCALARS[t])
+    sizes, here = {}, at
+    for p in properties if count else ():  # lengths of the first record's lists
+        if p[0] == "list":
+            sizes[p[3]] = int(np.frombuffer(data, kind(p[1]), 1, here)[0])
+            here += kind(p[1]).itemsize + sizes[p[3]] * kind(p[2]).itemsize
+        else:
+            here += kind(p[0]).itemsize
+    record = np.dtype([f for p in properties for f in ([(f"#{p[3]}", kind(p[1])), (p[3], kind(p[2]), (sizes.get(p[3], 0),))] if p[0] == "list" else [(p[1], kind(p[0]))])])
+    if at + record.itemsize * count <= len(data):
+        rows = np.frombuffer(data, record, count, at)
+        if all((rows[f"#{n}"] == size).all() for n, size in sizes.items()):
+            return {n: rows[n] for n in record.names if n[0] != "#"}, at + record.itemsize * count
+    out: dict[str, list] = {p[-1]: [] for p in properties}
+    for _ in range(count):
+        for p in properties:
+            n, t = 1, kind(p[0]) if p[0] != "list" else kind(p[2])
+            if p[0] == "list":
+                n = int(np.frombuffer(data, kind(p[1]), 1, at)[0])
+                at += kind(p[1]).itemsize
+            value = np.frombuffer(data, t, n, at)
+            at += t.itemsize * n
+            out[p[-1]].append(value if p[0] == "list" else value[0])
+    return out, at
+
+
+def ply_mesh(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (n, 3) and triangles (m, 3) of a PLY file, binary of either byte order or ASCII. Polygons are fanned from their first vertex; those with an index out of range go. A file that is cut short, or is no PLY, is an error."""
+    kind, elements, at = _ply_header(content)
+    if kind == "ascii":
+        order, numbers = "<", iter(content[at:].split())
+        binary = bytearray()
+        for _, count, properties in elements:
+            for _ in range(count):
+                for p in properties:
+                    n, t = 1, p[0]
+                    if p[0] == "list":
+                        n, t = int(next(numbers, b"")), p[2]
+                        binary += np.array([n], order + PLY_SCALARS[p[1]]).tobytes()
+                    binary += np.array([float(next(numbers, b"")) for _ in range(n)]).astype(order + PLY_SCALARS[t]).tobytes()
+        data, at = memoryview(bytes(binary)), 0
+    elif kind in ("binary_little_endian", "binary_big_endian"):
+        order, data = "<" if kind == "binary_little_endian" else ">", memoryview(content)
+    else:
+        raise ValueError(f"unknown PLY format {kind!r}")
+    vertices, triangles = np.empty((0, 3)), []
+    for name, count, properties in elements:
+        found, at = _ply_element(data, at, count, properties, order)
+        if name == "vertex":
+            vertices = np.stack([np.asarray(found[n], dtype=float) for n in "xyz"], axis=1) if count else vertices
+        elif name == "face" and count:
+            lists = [p[3] for p in properties if p[0] == "list"]
+            own = next((n for n in lists if n in PLY_FACES), lists[0] if lists else None)
+            for ids in found[own] if own else ():
+                ids = np.asarray(ids, dtype=np.int64)
+                triangles.append(np.stack([np.full(max(0, len(ids) - 2), ids[0] if len(ids) else 0), ids[1:-1], ids[2:]], axis=1) if len(ids) > 2 else np.empty((0, 3), np.int64))
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(vertices)):
+                    triangles.pop()
+    return vertices, np.concatenate([np.empty((0, 3), np.int64), *triangles])
+
+
+def ply_parts(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, vid, x, y, z, i0, i1, i2, error): a row for each vertex and each triangle of PLY contents; one with what is wrong where a file can't be read, or is null. Files are one row each, so one task's."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PLY_PARTS.split(", ")]
+        for b in batches:
+            for k, data in zip(b[key], b[content], strict=True):
+                try:
+                    v, t = ply_mesh(bytes(data) if data is not None else b"")
+                except (ValueError, KeyError, IndexError, TypeError) as e:
+                    yield pd.DataFrame([(k, *[None] * 7, str(e) or type(e).__name__)], columns=[key, *names]).astype({c: "Int64" for c in ("vid", "i0", "i1", "i2")})
+                    continue
+                corners = pd.DataFrame({"vid": range(len(v)), "x": v[:, 0], "y": v[:, 1], "z": v[:, 2]})
+                whole = pd.concat([corners, pd.DataFrame(t, columns=["i0", "i1", "i2"])], ignore_index=True).reindex(columns=names).astype({c: "Int64" for c in ("vid", "i0", "i1", "i2")} | {"error": object})
+                whole.insert(0, key, k)
+                whole["error"] = None
+                yield whole
+
+    return df.select(key, content).mapInPandas(decode, f"{key} {dict(df.dtypes)[key]}, {PLY_PARTS}")
+
+
+def ply_encoded(df: DataFrame, key: str, points: str, faces: str, big: str) -> DataFrame:
+    """(key, content): meshes of points (arrays of three numbers) and faces (arrays of indices) as binary PLY, with the greatest byte first where big is true."""
+
+    @F.pandas_udf("binary")
+    def encode(p: pd.Series, f: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for ps, fs, is_big in zip(p, f, b, strict=True):
+            order = ">" if is_big else "<"
+            head = f"ply\nformat binary_{'big' if is_big else 'little'}_endian 1.0\nelement vertex {len(ps)}\nproperty float x\nproperty float y\nproperty float z\nelement face {len(fs)}\nproperty list int int vertex_indices\nend_header\n"
+            body = [np.stack(ps).astype(order + "f4").tobytes()] if len(ps) else []
+            body += [np.array([len(x), *x], dtype=order + "i4").tobytes() for x in fs]
+            out.append(head.encode() + b"".join(body))
+        return pd.Series(out)
+
+    return df.select(key, encode(points, faces, big).alias("content"))
+
+
 def calibration(text: Column) -> Column:
     """The numbers of a camera calibration text by name: lines of a percent sign, one letter, and a number. Of a letter that comes twice the last counts; lines that are no number are left out."""
     lines = F.transform(F.split(text, "\r?\n"), lambda s: F.trim(s))

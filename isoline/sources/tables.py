@@ -38,3 +38,23 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triangle_corners(vector, t) -> list[list]:
     """The three landmarks of triangle t of a frame's vector, in pixels."""
     return [[F.get(vector, (t + k) * 3 + i).cast("double") * PIXELS for i in range(3)] for k in range(3)]
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A surface for each label: its vectors are the rows of a height field, their first 21 numbers the columns. Vertices (label, v, x, y, z) and faces (label, tri, i0, i1, i2), two to a cell; v counts along the rows."""
+    from pyspark.sql import Window as W
+
+    rows = read(spark, sf_dir, "embeddings").withColumns({"r": F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1, "rows": F.count("*").over(W.partitionBy("label"))})
+    cells = rows.select("label", "r", "rows", F.posexplode(F.slice("embedding", 1, LANDMARKS)).alias("c", "z"))
+    v = F.col("r") * LANDMARKS + F.col("c")
+    vertices = cells.select("label", v.alias("v"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
+    square = F.array(*(F.struct((((F.col("r") * (LANDMARKS - 1) + F.col("c")) * 2) + h).cast("long").alias("tri"), *(i.alias(f"i{j}") for j, i in enumerate(corners))) for h, corners in enumerate(((v, v + 1, v + LANDMARKS), (v + LANDMARKS + 1, v + LANDMARKS, v + 1)))))
+    faces = cells.filter((F.col("r") < F.col("rows") - 1) & (F.col("c") < LANDMARKS - 1)).select("label", F.explode(square).alias("t")).select("label", "t.*")
+    return vertices, faces
+
+
+def cornered(faces: DataFrame, vertices: DataFrame, by: list[str]) -> DataFrame:
+    """faces (tri, i0, i1, i2) as triangles (by, tri, x0..z2)."""
+    for j in range(3):
+        faces = faces.join(vertices.select(*by, F.col("v").alias(f"i{j}"), *(F.col(n).alias(f"{n}{j}") for n in "xyz")), [*by, f"i{j}"])
+    return faces.select(*by, "tri", *(f"{n}{j}" for j in range(3) for n in "xyz"))
