@@ -111,15 +111,19 @@ def sets(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen, cells = _Words(), set(), np.zeros(1 << CELLS, dtype=np.uint32)
         for b in batches:
-            rows = []
+            rows, met = [], [np.empty(0, np.uint64)]
             for doc, key, text in zip(b["doc_id"], b["key"], b["text"], strict=True):
                 tokens = shingles(text, hashes)
                 sid, bits = digest(tokens), None
                 if len(tokens) and sid not in seen:
                     seen.add(sid)
                     bits = parity(tokens)
-                    np.add.at(cells, (tokens >> np.uint64(64 - CELLS)).astype(np.int64), 1)
+                    met.append(tokens)
+                    if len(met) == 1024 or len(tokens) > 1 << 20:
+                        cells += np.bincount((np.concatenate(met) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
+                        met = [np.empty(0, np.uint64)]
                 rows.append((None if pd.isna(doc) else int(doc), key, sid, len(tokens), bits, None, None))
+            cells += np.bincount((np.concatenate(met) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SETS.split(", ")]).astype({"doc_id": "Int64", "piece": "Int32"})
         pieces = [(i // PIECE, cells[i : i + PIECE].tobytes()) for i in range(0, 1 << CELLS, PIECE)]
         yield pd.DataFrame({c.split()[0]: [None] * len(pieces) for c in SETS.split(", ")[:5]} | {"piece": [p for p, _ in pieces], "cells": [c for _, c in pieces]}).astype({c: "Int64" for c in ("doc_id", "key", "sid", "n")} | {"piece": "Int32"})
@@ -157,7 +161,7 @@ def entries(docs: DataFrame, counts) -> DataFrame:
     """(token, sid, n, pos): the prefix of each set, in the order of counts (a broadcast count-min row)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, seen, often = _Words(), set(), counts.value
+        hashes, seen, often = _Words(), set(), np.minimum(counts.value, np.uint32(0xFFFFFF)).astype(np.uint64)
         held: list[tuple[np.ndarray, int, int]] = []
         rows = 0
 
@@ -177,8 +181,9 @@ def entries(docs: DataFrame, counts) -> DataFrame:
                 seen.add(sid)
                 n = len(tokens)
                 p = prefix(n)
-                cell = often[(tokens >> np.uint64(64 - CELLS)).astype(np.int64)]
-                held.append((tokens[np.lexsort((tokens, cell))[:p]], sid, n))
+                # Tokens ascend, and a stable sort keeps them so where counts and upper bits are alike.
+                order = often[(tokens >> np.uint64(64 - CELLS)).astype(np.int64)] << np.uint64(40) | tokens >> np.uint64(24)
+                held.append((tokens[np.argsort(order, kind="stable")[:p]], sid, n))
                 rows += p
                 if rows > 1 << 18:
                     yield out()
@@ -236,10 +241,10 @@ def first_pairs(lists: DataFrame) -> DataFrame:
     return _ordered(pairs.select(F.col("first_sid").alias("a"), F.col("first_n").alias("an"), F.col("sid").alias("b"), F.col("n").alias("bn")))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame, *more: str) -> DataFrame:
     """Each pair once, the lesser name first."""
     swap = F.col("a") > F.col("b")
-    return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an")))).distinct()
+    return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an"))), *more).distinct()
 
 
 def skipped(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, sid: np.ndarray, first: np.ndarray, own: np.ndarray | None = None, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -263,33 +268,63 @@ def skipped(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, sid: np.ndarray, f
                 yield at[0] + s, at[1] + t
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by group, n and pos: pairs (a, an, b, bn) of each group."""
-    held: list[pd.DataFrame] = []
+def most_overlaps(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """most_overlap() of pairs of rows."""
+    width = np.array([len(x) // 8 for x in bits])
+    w, differ = np.minimum(width[i], width[j]), np.empty(len(i), np.int64)
+    for c in np.unique(w).tolist():
+        at = np.flatnonzero(w == c)
+        step = max(1, (1 << 20) // c)
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            rows, back = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+            m = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, c), axis=0) for r in rows.tolist()])
+            differ[some] = np.bitwise_count(m[back[: len(some)]] ^ m[back[len(some) :]]).sum(1)
+    return (n[i] + n[j] - differ) // 2
+
+
+def _pairs(rows: pd.DataFrame, few: int = 32) -> Iterator[pd.DataFrame]:
+    """Pairs (a, an, b, bn, most) within groups of rows, sorted by group, n and pos: small groups all at once, row against the row k below, others by blocks."""
+    g, n, pos, comp, sid, first, own, cross = (rows[c].to_numpy() for c in ("g", "n", "pos", "comp", "sid", "first_sid", "own", "cross"))
+    bits, left = rows["bits"].tolist(), n - pos
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    sizes = np.diff(np.r_[starts, len(g)])
+
+    def out(i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
+        if len(i):
+            most = most_overlaps(bits, n, i, j)
+            ok = most >= least_overlap(n[i], n[j])
+            i, j = i[ok], j[ok]
+            yield pd.DataFrame({"a": sid[i], "an": n[i], "b": sid[j], "bn": n[j], "most": most[ok]})
+
+    small = np.flatnonzero(np.repeat(sizes <= few, sizes))
+    for k in range(1, int(sizes[sizes <= few].max(initial=1))):
+        i, j = small[:-k], small[k:]
+        ok = (g[i] == g[j]) & (5 * n[i] >= 4 * n[j]) & (np.minimum(left[i], left[j]) >= least_overlap(n[i], n[j])) & (comp[i] != comp[j]) & (first[j] != sid[i]) & ~(cross[i] & (own[i] == own[j]))
+        yield from out(i[ok], j[ok])
+    for s, m in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
+        part = slice(s, s + m)
+        for i, j in skipped(n[part], pos[part], comp[part], sid[part], first[part], own[part] if cross[s] else None):
+            yield from out(i + s, j + s)
 
-    def out() -> Iterator[pd.DataFrame]:
-        g = pd.concat(held)
-        own = g["own"].to_numpy() if g["cross"].iloc[0] else None
-        sid, n = g["sid"].to_numpy(), g["n"].to_numpy()
-        for i, j in skipped(n, g["pos"].to_numpy(), g["comp"].to_numpy(), sid, g["first_sid"].to_numpy(), own):
-            yield pd.DataFrame({"a": sid[i], "an": n[i], "b": sid[j], "bn": n[j]})
 
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_pairs() of rows as they come; the last group waits for the rest of it."""
+    rest = None
     for b in batches:
-        if not len(b):
-            continue
-        g = b["g"].to_numpy()
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1), len(g)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if held and held[-1]["g"].iloc[-1] != g[i]:
-                yield from out()
-                held.clear()
-            held.append(b.iloc[i:j])
-    if held:
-        yield from out()
-
-
-def later_pairs(lists: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, an, b, bn): pairs of lists that hold more than one component of comps (node, root), across these."""
+        rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        if len(rows):
+            g = rows["g"].to_numpy()
+            last = len(g) - int(np.argmax(g[::-1] != g[-1])) if (g != g[-1]).any() else 0
+            if last:
+                yield from _pairs(rows.iloc[:last])
+            rest = rows.iloc[last:]
+    if rest is not None:
+        yield from _pairs(rest)
+
+
+def later_pairs(lists: DataFrame, comps: DataFrame, reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, an, b, bn, most): pairs of lists that hold more than one component of comps (node, root), across these, whose bitmaps allow a link."""
     rows = lists.select("token", "sid", "n", "pos", "first_sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("token", F.ceil(F.col("m") / chunk).cast("int").alias("parts"))
     rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts")).cast("int"))
@@ -297,8 +332,8 @@ def later_pairs(lists: DataFrame, comps: DataFrame, chunk: int = CHUNK) -> DataF
     group = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
     # A chunk has a group of its own and one with each other chunk, in which only pairs across the two count.
     cross = F.col("own") != F.col("other")
-    rows = rows.select(group.alias("g"), cross.alias("cross"), "own", "sid", "n", "pos", "comp", "first_sid")
-    return _ordered(rows.repartition("g").sortWithinPartitions("g", "n", "pos", "sid").mapInPandas(_across, "a long, an long, b long, bn long"))
+    rows = rows.select(group.alias("g"), cross.alias("cross"), "own", "sid", "n", "pos", "comp", "first_sid").join(reps.select("sid", "bits"), "sid")
+    return _ordered(rows.repartition("g").sortWithinPartitions("g", "n", "pos", "sid").mapInPandas(_across, "a long, an long, b long, bn long, most long"), "most")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -365,10 +400,10 @@ def links(docs: DataFrame, reps: DataFrame, counts: np.ndarray) -> DataFrame:
     checked = written(verified(known.filter(linking("most")), held), "first_overlaps")
     forget(held)
     edges = checked.filter(linking("overlap")).select("a", "b")
-    pairs = later_pairs(lists, written(components(edges), "first_components"))
+    pairs = written(later_pairs(lists, written(components(edges), "first_components"), reps), "later_pairs")
     answers = checked.withColumn("exact", F.lit(True)).unionByName(known.filter(~linking("most")).select("a", "an", "b", "bn", F.col("most").alias("overlap"), F.lit(False).alias("exact")))
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(bounded(derived(pairs, answers), reps).filter(linking("most")), "later_bounds")
+    more = written(derived(pairs, answers), "later_pairs")
     if not more.isEmpty():
         edges = edges.unionByName(verified(more, whole_sets(docs, reps, more)).filter(linking("overlap")).select("a", "b"))
     return edges
