@@ -11,9 +11,10 @@ position. Two relations keep it from being expanded into pairs:
   where both hold one component.
 * Answers: the first set of each stretch of a list answers for it. Its overlaps
   with the others are computed first; what links to it needs no further links to
-  each other, so only pairs across components are left. Of these, a pair of a set
-  and another is settled without a look at either where a very similar set's
-  answer is too far off for it: distances of sets obey the triangle inequality.
+  each other, so only pairs across components are left: first as many as would
+  join them, then those that this leaves apart. Of these, a pair of a set and
+  another is settled without a look at either where a very similar set's answer
+  is too far off for it: distances of sets obey the triangle inequality.
 
 A parity bitmap of each set bounds an overlap from above; what passes is verified
 on the whole sets, which are made again from their texts. Lists longer than
@@ -23,6 +24,7 @@ on the whole sets, which are made again from their texts. Lists longer than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -283,10 +285,28 @@ def most_overlaps(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray
     return (n[i] + n[j] - differ) // 2
 
 
-def _pairs(rows: pd.DataFrame, few: int = 32) -> Iterator[pd.DataFrame]:
-    """Pairs (a, an, b, bn, most) within groups of rows, sorted by group, n and pos: small groups all at once, row against the row k below, others by blocks."""
+def _joining(g: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, joined: dict[tuple[int, int], tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (i, j) of rows join components of their group that no pair before has joined; joined remembers."""
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = joined.get(up, up)
+            x = up
+        return x
+
+    out = np.zeros(len(i), dtype=bool)
+    for k, (group, a, b) in enumerate(zip(g[i].tolist(), comp[i].tolist(), comp[j].tolist(), strict=True)):
+        x, y = root((group, a)), root((group, b))
+        if x != y:
+            joined[x] = y
+            out[k] = True
+    return out
+
+
+def _pairs(rows: pd.DataFrame, forest: bool, few: int = 32) -> Iterator[pd.DataFrame]:
+    """Pairs (a, an, b, bn, most) within groups of rows, sorted by group, n and pos: small groups all at once, row against the row k below, others by blocks. With forest, only as many as join a group's components if they all link."""
     g, n, pos, comp, sid, first, own, cross = (rows[c].to_numpy() for c in ("g", "n", "pos", "comp", "sid", "first_sid", "own", "cross"))
-    bits, left = rows["bits"].tolist(), n - pos
+    bits, left, joined = rows["bits"].tolist(), n - pos, {}
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     sizes = np.diff(np.r_[starts, len(g)])
 
@@ -294,6 +314,8 @@ def _pairs(rows: pd.DataFrame, few: int = 32) -> Iterator[pd.DataFrame]:
         if len(i):
             most = most_overlaps(bits, n, i, j)
             ok = most >= least_overlap(n[i], n[j])
+            if forest:
+                ok[ok] = _joining(g, comp, i[ok], j[ok], joined)
             i, j = i[ok], j[ok]
             yield pd.DataFrame({"a": sid[i], "an": n[i], "b": sid[j], "bn": n[j], "most": most[ok]})
 
@@ -308,7 +330,7 @@ def _pairs(rows: pd.DataFrame, few: int = 32) -> Iterator[pd.DataFrame]:
             yield from out(i + s, j + s)
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _across(batches: Iterator[pd.DataFrame], forest: bool) -> Iterator[pd.DataFrame]:
     """_pairs() of rows as they come; the last group waits for the rest of it."""
     rest = None
     for b in batches:
@@ -317,14 +339,14 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g = rows["g"].to_numpy()
             last = len(g) - int(np.argmax(g[::-1] != g[-1])) if (g != g[-1]).any() else 0
             if last:
-                yield from _pairs(rows.iloc[:last])
+                yield from _pairs(rows.iloc[:last], forest)
             rest = rows.iloc[last:]
     if rest is not None:
-        yield from _pairs(rest)
+        yield from _pairs(rest, forest)
 
 
-def later_pairs(lists: DataFrame, comps: DataFrame, reps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, an, b, bn, most): pairs of lists that hold more than one component of comps (node, root), across these, whose bitmaps allow a link."""
+def later_pairs(lists: DataFrame, comps: DataFrame, reps: DataFrame, forest: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(a, an, b, bn, most): pairs of lists that hold more than one component of comps (node, root), across these, whose bitmaps allow a link: all of them, or with forest as many as join each list's components if they all link."""
     rows = lists.select("token", "sid", "n", "pos", "first_sid").join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("token", F.ceil(F.col("m") / chunk).cast("int").alias("parts"))
     rows = rows.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts")).cast("int"))
@@ -333,7 +355,7 @@ def later_pairs(lists: DataFrame, comps: DataFrame, reps: DataFrame, chunk: int
     # A chunk has a group of its own and one with each other chunk, in which only pairs across the two count.
     cross = F.col("own") != F.col("other")
     rows = rows.select(group.alias("g"), cross.alias("cross"), "own", "sid", "n", "pos", "comp", "first_sid").join(reps.select("sid", "bits"), "sid")
-    return _ordered(rows.repartition("g").sortWithinPartitions("g", "n", "pos", "sid").mapInPandas(_across, "a long, an long, b long, bn long, most long"), "most")
+    return _ordered(rows.repartition("g").sortWithinPartitions("g", "n", "pos", "sid").mapInPandas(partial(_across, forest=forest), "a long, an long, b long, bn long, most long"), "most")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -399,13 +421,16 @@ def links(docs: DataFrame, reps: DataFrame, counts: np.ndarray) -> DataFrame:
     held = written(whole_sets(docs, reps, known.filter(linking("most"))), "first_sets")
     checked = written(verified(known.filter(linking("most")), held), "first_overlaps")
     forget(held)
-    edges = checked.filter(linking("overlap")).select("a", "b")
-    pairs = written(later_pairs(lists, written(components(edges), "first_components"), reps), "later_pairs")
     answers = checked.withColumn("exact", F.lit(True)).unionByName(known.filter(~linking("most")).select("a", "an", "b", "bn", F.col("most").alias("overlap"), F.lit(False).alias("exact")))
-    pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(derived(pairs, answers), "later_pairs")
-    if not more.isEmpty():
-        edges = edges.unionByName(verified(more, whole_sets(docs, reps, more)).filter(linking("overlap")).select("a", "b"))
+    edges = checked.filter(linking("overlap")).select("a", "b")
+    for forest in (True, False):
+        # What may link to several of a component is tried with one of them first, and with the others only where that fails.
+        pairs = written(later_pairs(lists, written(components(edges), "components"), reps, forest), "later_pairs")
+        more = written(derived(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), answers), "later_pairs")
+        if not more.isEmpty():
+            checked = written(verified(more, whole_sets(docs, reps, more)), "later_overlaps")
+            answers = answers.unionByName(checked.withColumn("exact", F.lit(True)))
+            edges = edges.unionByName(checked.filter(linking("overlap")).select("a", "b"))
     return edges
 
 

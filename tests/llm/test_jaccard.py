@@ -76,7 +76,7 @@ def corpus(rng):
 def test_against_all_pairs(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J.skipped, "__defaults__", (None, block))
-    monkeypatch.setattr(J.later_pairs, "__defaults__", (chunk,))
+    monkeypatch.setattr(J.later_pairs, "__defaults__", (False, chunk))
     rows = list(enumerate(corpus(random.Random(block))))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert got(J.linked(docs)) == plain(rows)
@@ -137,6 +137,14 @@ def test_answers_settle_pairs_of_similar_sets(spark):
     assert sorted(r.b for r in J.derived(pairs, answers).collect()) == [4, 6]
 
 
+def test_a_forest_joins_what_all_pairs_join():
+    """Of the pairs of a group only as many are left as join its components."""
+    g, comp = np.array([1, 1, 1, 1, 2, 2]), np.array([5, 6, 7, 5, 6, 8])
+    i, j, joined = np.array([0, 0, 1, 2, 4]), np.array([1, 2, 2, 3, 5]), {}
+    assert J._joining(g, comp, i, j, joined).tolist() == [True, True, False, False, True]
+    assert not J._joining(g, comp, i, j, joined).any()
+
+
 def test_lists_over_batches(spark):
     """Lists, copies and the first sets of stretches are found alike however rows come in batches."""
     import pandas as pd
