@@ -5,14 +5,21 @@ each block from the share of its words that are stop words, its length and its
 link density; short blocks and near-misses stay open. The second pass gives
 open blocks the label of the nearest decided neighbours: the same on both sides
 decides, and where they differ the nearer one does. On a page in a language that
-the lists don't know, its own most frequent short words stand for stop words.
-
-Blocks that a page marks as navigation, headers, footers, asides, forms, notices, adverts and comments count
-as decided. An article or main element is evidence, not a verdict: inside it,
-fewer blocks are decided as boilerplate at once, marked ones say nothing about
-their neighbours, and its edges count as content. Labels don't cross its edges.
-An article without decided content on a page that has such elsewhere is a teaser
-and judged like the rest of the page.
+the lists don't know, its own most frequent short words stand for stop words;
+of scripts without spaces each letter is a word.
+
+Markup moves the thresholds. Inside an article or main element less is asked of a
+block. Under a class name of what often isn't the article (tags, related, social,
+legal and so on) only dense running text is content. Under the marks of what never
+is (navigation, headers, footers, asides, forms, notices, adverts, comments, hidden
+parts) a block of any length to judge is none, as an advert or a comment reads like
+the article does. Labels don't cross the edges of articles and of marked
+containers: a short line in a container inherits only from that container's own
+text. The edges of an article in which the first pass found content count as
+content. A page without content is judged again with fewer stop words asked for, as
+tables and lists of names have few. An article without content is judged like the
+rest of the page, unless no block of the page is content and the article has so few
+words of running text that it may lack stop words by chance.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,48 +60,68 @@ ENDS_P = BLOCKS - frozenset("body head html link meta template noscript object i
 #: Open elements that the start of another ends, within their list or table.
 SIBLINGS = {"li": ("li",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
 
+#: What the contract of the article leaves out, and what often isn't the article, in class names and ids.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
-    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|footer\w*|copyright|legal|disclaimer"
-    r"|comments?|commentlist|reply|replies|disqus|respond|social|share|sharing|related|recommended|trending|popular|tags?|toolbar|search)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*|signup|login"
+    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|aside|footer\w*|copyright|comments?|commentlist|reply|replies|disqus|respond)(?:$|[\s_-])",
     re.I,
 )
+DOUBTED = re.compile(r"(?:^|[\s_-])(?:alert|overlay|side|rail|widget\w*|legal|disclaimer|social|share|sharing|related|recommended|trending|popular|tags?|toolbar|search)(?:$|[\s_-])", re.I)
 #: Heads of a site; inside an article they hold its title.
 HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: A quote begins a value only after an equals sign; an open one runs to the end.
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|))*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without spaces between words are words by themselves.
+WORD = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]|[^\W\d_]+")
 SPACE = re.compile(r"\s+")
 
-LOW_STOP, HIGH_STOP, SHORT, LONG, MOST_LINKS = 0.10, 0.22, 70, 200, 0.4
+LOW_STOP, HIGH_STOP, LINE, SHORT, LONG, MOST_LINKS = 0.10, 0.22, 30, 70, 200, 0.4
 #: Of a page whose words the lists hardly know: the share under which that is so, and how many of its own words of at most so many letters, seen so often, are its stop words.
 UNKNOWN, OWN, LETTERS, SEEN = 0.04, 12, 4, 3
+#: What is left of the stop words asked for where a page would have no content, and of how many words of running text an article may lack them by chance.
+EASE, FEW = 0.1, 200
 
 
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether attributes mark what isn't the article; inside one, heads don't."""
+def _marked(attributes: str, inside: bool) -> int:
+    """2 where attributes mark what isn't the article, 1 where they mark what often isn't, else 0; inside one, heads don't."""
     if not attributes.strip():
-        return False
+        return 0
+    mark = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and (MARKED.search(value) or not inside and HEADS.search(value)) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes)))
+            return 2
+        if name in ("class", "id") and DOUBTED.search(value):
+            mark = 1
+    hidden = re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(lambda m: m[0] if m[1].lower() == "hidden" else " ", attributes))
+    return 2 if hidden else mark
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """The blocks of a page in order: text, code points of it in links, whether outside the article by its markup, number of the outermost article that it is in (0: none). The time is linear in the page."""
-    out: list[tuple[str, int, bool, int]] = []
-    #: Open elements: name, whether outside by markup, whether an article.
-    open_: list[tuple[str, bool, bool]] = []
+class Block(NamedTuple):
+    """A block: its text, the code points of it in links, the strongest mark over it (0 to 2), the number of the outermost article that it is in and of the outermost marked container (0: none)."""
+
+    text: str
+    linked: int
+    mark: int = 0
+    article: int = 0
+    container: int = 0
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of a page in order. The time is linear in the page."""
+    out: list[Block] = []
+    #: Open elements: name, mark, whether an article.
+    open_: list[tuple[str, int, bool]] = []
     #: Places in open_ by name, and silent elements that nothing ends from here on.
     places: dict[str, list[int]] = defaultdict(list)
     endless: set[str] = set()
     said: list[str] = []
     linked = 0
-    n_out = n_in = n_links = articles = 0
+    n_in = n_links = articles = containers = 0
+    #: Open elements by their mark.
+    under = [0, 0, 0]
 
     def end_block() -> None:
         nonlocal linked
@@ -101,17 +129,18 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
             text = SPACE.sub(" ", "".join(said)).strip()
             said.clear()
             if text:
-                out.append((text, linked, n_out > 0, articles if n_in else 0))
+                mark = 2 if under[2] else min(under[1], 1)
+                out.append(Block(text, linked, mark, articles if n_in else 0, containers if mark else 0))
         linked = 0
 
     def last(*names: str) -> int:
         return max((places[n][-1] for n in names if places[n]), default=-1)
 
     def close(k: int) -> None:
-        nonlocal n_out, n_in, n_links
-        for name, outside, article in open_[k:]:
+        nonlocal n_in, n_links
+        for name, mark, article in open_[k:]:
             places[name].pop()
-            n_out -= outside
+            under[mark] -= 1
             n_in -= article
             n_links -= name == "a"
         del open_[k:]
@@ -164,12 +193,16 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
         if name in VOID or attributes.endswith("/"):
             continue
         article = name in ("article", "main") or 'articleBody"' in attributes or 'role="main"' in attributes
-        marked = name not in ("body", "html", "main") and _marked(attributes, n_in > 0 or article)
-        article = article and not marked
-        outside = (name in OUTSIDE and not (name == "header" and n_in)) or marked
+        mark = _marked(attributes, n_in > 0 or article) if name not in ("body", "html", "main") else 0
+        article = article and mark < 2
+        if name in OUTSIDE and not (name == "header" and n_in):
+            mark = 2
+        if article:
+            mark = 0
+        containers += mark > 0 and not under[1] and not under[2]
         places[name].append(len(open_))
-        open_.append((name, outside, article))
-        n_out += outside
+        open_.append((name, mark, article))
+        under[mark] += 1
         articles += article and not n_in
         n_in += article
         n_links += name == "a"
@@ -177,7 +210,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def stop_words(blocks: list[tuple[str, int, bool, int]]) -> frozenset[str]:
+def stop_words(blocks: list[Block]) -> frozenset[str]:
     """The stop words that a page is judged by: the lists', or its own where its text outside links hardly has any of these."""
     words = [w for text, linked, *_ in blocks if not linked for w in WORD.findall(text.lower())]
     if not words or sum(w in STOP for w in words) >= UNKNOWN * len(words):
@@ -186,40 +219,58 @@ def stop_words(blocks: list[tuple[str, int, bool, int]]) -> frozenset[str]:
     return frozenset(w for w, n in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:OWN] if n >= SEEN)
 
 
-def _decided(text: str, linked: int, outside: bool, article: int, stops: frozenset[str] = STOP) -> bool | None:
-    """The first pass: whether a block is content, None where its neighbours decide."""
+def _running(text: str) -> bool:
+    """Whether a text is running text: at most a fifth of its tokens have no letter. Rows of tables and figures aren't, and stop words say nothing of them."""
+    tokens = text.split()
+    return 5 * sum(WORD.search(t) is None for t in tokens) <= len(tokens)
+
+
+def _decided(block: Block, stops: frozenset[str], ease: float = 1.0) -> bool | None:
+    """The first pass: whether a block is content, None where its neighbours decide. Ease multiplies the stop words asked for."""
+    text, linked, mark, article, _ = block
+    low, high = LOW_STOP * ease, HIGH_STOP * ease
     words = WORD.findall(text.lower())
     stop = sum(w in stops for w in words) / len(words) if words else 0.0
-    if outside:
-        return False
+    article = article and not mark
     if linked / len(text) > MOST_LINKS:
-        return None if article and stop >= LOW_STOP and len(text) >= SHORT else False
+        return None if article and stop >= low and len(text) >= SHORT else False
     if len(text) < SHORT:
-        return None
-    if stop >= HIGH_STOP or stop >= LOW_STOP and (article or len(text) >= LONG):
+        return True if article and stop >= high and len(text) >= LINE else None
+    if mark:
+        return mark == 1 and stop >= high
+    if stop >= high or stop >= low and (article or len(text) >= LONG):
         return True
-    return None if article or stop >= LOW_STOP or len(text) >= LONG else False
+    return None if article or stop >= low or len(text) >= LONG else False
 
 
-def labels_of(blocks: list[tuple[str, int, bool, int]]) -> list[bool]:
+def labels_of(blocks: list[Block]) -> list[bool]:
     """Which blocks are content."""
     stops = stop_words(blocks)
-    first = [_decided(*b, stops) for b in blocks]
-    real = {b[3] for b, x in zip(blocks, first, strict=True) if x and b[3]}
+    ease = 1.0 if any(_decided(b, stops) for b in blocks) else EASE
+    first = [_decided(b, stops, ease) for b in blocks]
+    articles = {b.article for b in blocks if b.article}
+    real = {b.article for b, x in zip(blocks, first, strict=True) if x and b.article and not b.mark}
     if not any(first):
-        real = {b[3] for b in blocks if b[3]}
-    elif len(real) < len({b[3] for b in blocks if b[3]}):  # a teaser is judged again, without its markup's word
-        first = [x if not b[3] or b[3] in real else _decided(*b[:3], 0, stops) for b, x in zip(blocks, first, strict=True)]
-    out: list[bool] = []
-    while len(out) < len(blocks):
-        a = len(out)
-        article = blocks[a][3] if blocks[a][3] in real else 0
-        b = next((k for k in range(a, len(blocks)) if (blocks[k][3] if blocks[k][3] in real else 0) != article), len(blocks))
-        if article:
-            out += _inherited([None if x[2] else y for x, y in zip(blocks[a:b], first[a:b], strict=True)], True)
-            out[a:b] = [y and not x[2] for x, y in zip(blocks[a:b], out[a:b], strict=True)]
-        else:
-            out += _inherited(first[a:b], False)
+        words = Counter()
+        for b in blocks:
+            if b.article and not b.mark:
+                words[b.article] += len(WORD.findall(b.text)) if _running(b.text) else 0
+        real = {a for a, n in words.items() if n <= FEW}
+    if len(real) < len(articles):  # a teaser is judged again, without its markup's word
+        first = [_decided(b._replace(article=0), stops, ease) if b.article and b.article not in real else x for b, x in zip(blocks, first, strict=True)]
+    #: Blocks that may inherit from each other: of one container, of one article, or between two articles.
+    parts: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+    between = before = 0
+    for i, b in enumerate(blocks):
+        article = b.article if b.article in real else 0
+        if not b.mark:
+            between += article != before
+            before = article
+        parts[(b.container, 0, 0) if b.mark else (0, article, 0 if article else between)].append(i)
+    out = [False] * len(blocks)
+    for (_, article, _), at in parts.items():
+        for i, x in zip(at, _inherited([first[i] for i in at], article > 0), strict=True):
+            out[i] = x
     return out
 
 

@@ -29,7 +29,7 @@ def test_pages_without_an_article():
     page = f"""<html><head><title>t</title></head><body><div class="menu"><a href=a>Home</a> <a href=b>About</a></div><header>Site name and the words of it are here</header>
     <h1>Heading</h1><div>{PROSE}</div><p>Short.</p><div><p>{PROSE}<div class="cookie-notice">{PROSE}</div><form>{PROSE}<input></form>
     <p>See <a href=x>the linked words that make up most of what this block has to say</a></p><aside>{PROSE}</aside><section id="comments"><p>{PROSE}</p></section><footer>&copy; all of us</footer></body></html>"""
-    assert main_text(page) == "\n\n".join(["Short." if x == "s" else PROSE for x in "psp"])
+    assert main_text(page) == "\n\n".join({"h": "Heading", "s": "Short.", "p": PROSE}[x] for x in "hpsp")
 
 
 def test_odd_pages():
@@ -59,36 +59,57 @@ def test_an_article_is_evidence_not_a_verdict():
 
 
 def test_given_pages_without_their_article_tags(spark, sf):
-    """Measured for 2,500 pages: the rules alone keep 78 % of the blocks; 0.9 % of what they keep isn't of the article."""
+    """Measured for 2,500 pages: the rules alone keep 95.6 % of the blocks; 0.4 % of what they keep isn't of the article."""
     kept = right = want = 0
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         got, of = main_text(re.sub("</?article>", "", r.html)).split("\n\n"), plain(r.html).split("\n\n")
         kept, right, want = kept + len(got), right + sum(x in of for x in got), want + len(of)
-    assert right > 0.7 * want and right > 0.97 * kept
+    assert right > 0.9 * want and right > 0.98 * kept
 
 
 def two_pass(blocks):
-    """The two passes written out for pages without articles: labels by the rules, then each open block by looking left and right."""
-    stops, first = H.stop_words(blocks), []
-    for text, linked, outside, _ in blocks:
-        words = re.findall(r"[^\W\d_]+", text.lower())
+    """The two passes written out plainly: every block is judged and looks left and right for itself."""
+    stops = H.stop_words(blocks)
+
+    def judge(block, article, ease):
+        words = H.WORD.findall(block.text.lower())
         density = len([w for w in words if w in stops]) / max(1, len(words))
-        if outside or linked / len(text) > 0.4:
-            first.append(False)
-        elif len(text) < 70:
-            first.append(None)
-        elif density >= 0.22 or (density >= 0.1 and len(text) >= 200):
-            first.append(True)
-        elif density >= 0.1 or len(text) >= 200:
-            first.append(None)
-        else:
-            first.append(False)
+        size, article = len(block.text), article and block.mark == 0
+        if block.linked / size > 0.4:
+            return None if article and density >= 0.1 * ease and size >= 70 else False
+        if size < 70:
+            return True if article and size >= 30 and density >= 0.22 * ease else None
+        if block.mark:
+            return block.mark == 1 and density >= 0.22 * ease
+        if density >= 0.22 * ease or (density >= 0.1 * ease and (size >= 200 or article)):
+            return True
+        return None if density >= 0.1 * ease or size >= 200 or article else False
+
+    ease = 1 if True in [judge(b, b.article, 1) for b in blocks] else 0.1
+    first = [judge(b, b.article, ease) for b in blocks]
+    good = set()
+    for k in {b.article for b in blocks} - {0}:
+        own = [i for i, b in enumerate(blocks) if b.article == k and b.mark == 0]
+        words = sum(len(H.WORD.findall(blocks[i].text)) for i in own if H._running(blocks[i].text))
+        if any(first[i] for i in own) or (own and not any(first) and words <= 200):
+            good.add(k)
+    home = [b.article if b.article in good else 0 for b in blocks]
+    first = [x if not b.article or b.article in good else judge(b, 0, ease) for b, x in zip(blocks, first, strict=True)]
+
+    def together(i, k):
+        if blocks[i].mark or blocks[k].mark:
+            return blocks[i].container == blocks[k].container
+        return home[i] == home[k] and (home[i] or not any(home[j] for j in range(min(i, k), max(i, k)) if not blocks[j].mark))
+
     out = []
     for i, label in enumerate(first):
         if label is None:
-            left = next(((i - k, first[k]) for k in range(i - 1, -1, -1) if first[k] is not None), (10**9, False))
-            right = next(((k - i, first[k]) for k in range(i + 1, len(first)) if first[k] is not None), (10**9, False))
-            label = left[1] if left[0] < right[0] else right[1] if right[0] < left[0] else left[1] and right[1]
+            part = [k for k in range(len(blocks)) if together(i, k)]
+            at, edge = part.index(i), home[i] > 0 and blocks[i].mark == 0
+            far = 0 if edge else 10**9
+            left = next(((at - n, first[part[n]]) for n in range(at - 1, -1, -1) if first[part[n]] is not None), (at + 1 + far, edge))
+            right = next(((n - at, first[part[n]]) for n in range(at + 1, len(part)) if first[part[n]] is not None), (len(part) - at + far, edge))
+            label = left[1] if left[1] == right[1] else left[1] if left[0] < right[0] else right[1] if right[0] < left[0] else edge
         out.append(label)
     return out
 
@@ -97,27 +118,51 @@ def test_two_passes_by_hand():
     rng = random.Random(6)
     parts = [PROSE, PROSE[:90], "Short.", "Another short one", "<a href=x>linked words and</a> few", "Xylo qanto brimf " * 6, "Xylo qanto the brimf of it " * 9, "and so " * 5]
     for _ in range(300):
-        page = "".join(f"<{t}>{rng.choice(parts)}</{t}>" for t in rng.choices(["p", "div", "li", "footer", "h2"], k=rng.randint(1, 25)))
+        tags = rng.choices(["p", "div", "li", "footer", "h2", "div class=related", "div class=ad", "article", "/article", "/div", "section class=tags", "/section"], k=rng.randint(1, 25))
+        page = "".join(f"<{t}>{rng.choice(parts)}" + ("" if t[0] == "/" or t in ("article", "div class=related", "section class=tags") else f"</{t.split()[0]}>") for t in tags)
         blocks = H.blocks_of(page)
         assert H.labels_of(blocks) == two_pass(blocks)
 
 
-def test_stop_words_decide(spark, sf, monkeypatch):
-    """With their article tags taken off, almost no given page comes out alike once there are no stop words."""
-    pages = [re.sub("</?article>", "", r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+def test_both_passes_decide_the_given_pages(spark, sf, monkeypatch):
+    """Without stop words, or with one answer of the second pass for all, most given pages come out otherwise, articles and all."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     before = [main_text(p) for p in pages]
+
+    def changed():
+        return sum(main_text(p) != b for p, b in zip(pages, before, strict=True)) / len(pages)
+
+    for label in (True, False):
+        with monkeypatch.context() as m:
+            m.setattr(H, "_inherited", lambda first, edge, label=label: [label if x is None else x for x in first])
+            assert changed() > 0.5
     monkeypatch.setattr(H, "STOP", frozenset())
     monkeypatch.setattr(H, "OWN", 0)
-    changed = sum(main_text(p) != b for p, b in zip(pages, before, strict=True))
-    assert changed > 0.8 * len(pages)
+    assert changed() > 0.5
+
+
+def test_class_names_shift_and_do_not_decide():
+    for name in ("social", "tags", "related", "legal", "side"):
+        assert main_text(f"<article><p>{PROSE}</p><div class={name}><p>{PROSE}</p><p>so</p></div><p>Short.</p></article>") == f"{PROSE}\n\n{PROSE}\n\nso\n\nShort."
+        assert main_text(f"<article><p>{PROSE}</p><div class={name}>Share this</div><p>Short.</p></article>") == f"{PROSE}\n\nShort."
+    assert main_text(f"<div class=related><article><p>{PROSE}</p><p>Short.</p></article></div>") == f"{PROSE}\n\nShort."
+    for name in ("ad", "comments", "sidebar", "cookie-notice"):
+        assert main_text(f"<article><p>{PROSE}</p><div class={name}><p>{PROSE}</p><p>so</p></div><p>Short.</p></article>") == f"{PROSE}\n\nShort."
+
+
+def test_an_article_can_be_rejected():
+    assert main_text(f"<article><p>{'Xyloph qantor brimful ' * 100}</p></article>") == ""
+    assert main_text("<article><p>Xylo qanto brimf</p></article>") == "Xylo qanto brimf"
+    assert main_text(f"<article><p>{'xylo | 17 | ' * 400}</p></article>").startswith("xylo | 17")
 
 
 RUSSIAN = "Это был день весной, когда все люди, которые были с нами, пришли в дом и сели говорить о том, что надо было сделать для города и как это сделать."
+CHINESE = "这是一个春天的日子，所有和我们在一起的人都来到了这个房子，坐下来谈论为了这个小镇要做的事情，以及怎么做这样的事。"
 FINNISH = "Kun he tulivat taloon ja he istuivat ja puhuivat siitä mitä on tehty ja mitä on tehtävä, niin he sanoivat ettei se ole niin, ja se oli niin, ja he jäivät."
 
 
 def test_other_languages():
-    for prose in (RUSSIAN, FINNISH):
+    for prose in (RUSSIAN, FINNISH, CHINESE * 2):
         page = f"<div class=menu><a href=a>x</a></div><div>{prose}</div><div>{prose} {prose}</div><p><a href=b>linked words that are many</a></p>"
         assert main_text(page) == f"{prose}\n\n{prose} {prose}"
 
