@@ -64,6 +64,20 @@ def around(x: Column, y: Column, centre: tuple[float, float], sigma: float, weig
     return F.atan2(dy, dx) + (0.0 if radial else math.pi / 2), weight * F.exp(-(dx * dx + dy * dy) / (2 * sigma**2))
 
 
+def field_terms(x: Column, y: Column, table: tuple[tuple, ...]) -> list[tuple[Column, Column]]:
+    """The terms (angle, weight) of a field from a table of rows: ("band", weight, degrees, axis, centre, width) holds a direction along a band across an axis ("x" or "y"), ("circle" or "rays", weight, x, y, width) turns about a place or points away from it."""
+    out = []
+    for kind, weight, *rest in table:
+        if kind == "band":
+            degrees, axis, centre, width = rest
+            out.append((F.lit(math.radians(degrees)), weight * bell(x if axis == "x" else y, centre, width)))
+        elif kind in ("circle", "rays"):
+            out.append(around(x, y, (rest[0], rest[1]), rest[2], weight, radial=kind == "rays"))
+        else:
+            raise ValueError(f"unknown kind of a field's term: {kind}")
+    return out
+
+
 def in_mask(x: Column, y: Column, outer: tuple[float, float, float, float], holes: list[tuple[float, float, float, float]]) -> Column:
     """Whether a point is in an ellipse (x, y and both radii; its edge included) and in none of the elliptic holes (their edges excluded)."""
     at = lambda e: ((x - e[0]) / e[2]) ** 2 + ((y - e[1]) / e[3]) ** 2

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from isoline.operators import fields as D
@@ -12,26 +10,20 @@ from isoline.plans.registry import query, rounded
 from isoline.plans.sequence import SAMPLES
 from isoline.sources.tables import points, read, samples
 
-EYES, MOUTH = ((0.33, 0.66), (0.67, 0.66)), (0.5, 0.3)
+#: The field of the query: three bands, two circles and one bundle of rays; and the ellipse of its mask with the holes in it.
+FIELD = (("band", 1.0, 0.0, "y", 0.2, 0.15), ("band", 0.8, 90.0, "x", 0.4, 0.25), ("band", 0.6, 30.0, "y", 0.75, 0.3), ("circle", 2.0, 0.25, 0.5, 0.1), ("circle", 1.5, 0.75, 0.5, 0.1), ("rays", 1.8, 0.5, 0.2, 0.12))
+OUTER, HOLES = (0.5, 0.5, 0.45, 0.48), [(0.25, 0.5, 0.1, 0.06), (0.75, 0.5, 0.1, 0.06), (0.5, 0.2, 0.12, 0.07)]
 
 
-@query(f"""WITH {NORM}, t AS (SELECT id, nx, ny, unnest([{{'a':0e0,'w':1.15*(exp(-pow((ny-0.11)/0.12,2))+exp(-pow((ny-0.89)/0.10,2)))}},{{'a':pi()/2,'w':1.7*exp(-pow((nx-0.5)/0.10,2))*CASE WHEN ny<0.62 THEN 0.9 ELSE 0.45 END}},{{'a':radians(CASE WHEN nx<0.5 THEN 48 ELSE 132 END),'w':2.5*exp(-pow((ny-0.56)/0.24,2))*(1-exp(-pow((nx-0.5)/0.14,2)))}},
- {{'a':atan2(ny-0.66,nx-0.33)+pi()/2,'w':2.6*exp(-(pow(nx-0.33,2)+pow(ny-0.66,2))/(2*0.09*0.09))}},{{'a':atan2(ny-0.66,nx-0.67)+pi()/2,'w':2.6*exp(-(pow(nx-0.67,2)+pow(ny-0.66,2))/(2*0.09*0.09))}},{{'a':atan2(ny-0.3,nx-0.5),'w':2*exp(-(pow(nx-0.5,2)+pow(ny-0.3,2))/(2*0.095*0.095))}}]) t FROM n),
+@query(f"""WITH {NORM}, t AS (SELECT id, nx, ny, unnest([{{'a':0e0,'w':exp(-pow((ny-0.2)/0.15,2))}},{{'a':pi()/2,'w':0.8*exp(-pow((nx-0.4)/0.25,2))}},{{'a':pi()/6,'w':0.6*exp(-pow((ny-0.75)/0.3,2))}},
+ {{'a':atan2(ny-0.5,nx-0.25)+pi()/2,'w':2*exp(-(pow(nx-0.25,2)+pow(ny-0.5,2))/0.02)}},{{'a':atan2(ny-0.5,nx-0.75)+pi()/2,'w':1.5*exp(-(pow(nx-0.75,2)+pow(ny-0.5,2))/0.02)}},{{'a':atan2(ny-0.2,nx-0.5),'w':1.8*exp(-(pow(nx-0.5,2)+pow(ny-0.2,2))/0.0288)}}]) t FROM n),
  s AS (SELECT id, any_value(nx) nx, any_value(ny) ny, sum(t.w*cos(2*t.a)) c, sum(t.w*sin(2*t.a)) s FROM t GROUP BY 1)
- SELECT id, round(c/sqrt(c*c+s*s),4)+0 cos2, round(s/sqrt(c*c+s*s),4)+0 sin2, pow((nx-0.5)/0.455,2)+pow((ny-0.49)/0.495,2)<=1 AND pow((nx-0.33)/0.085,2)+pow((ny-0.66)/0.052,2)>=1 AND pow((nx-0.67)/0.085,2)+pow((ny-0.66)/0.052,2)>=1 AND pow((nx-0.5)/0.105,2)+pow((ny-0.3)/0.058,2)>=1 inside FROM s""")
+ SELECT id, round(c/sqrt(c*c+s*s),4)+0 cos2, round(s/sqrt(c*c+s*s),4)+0 sin2, pow((nx-0.5)/0.45,2)+pow((ny-0.5)/0.48,2)<=1 AND pow((nx-0.25)/0.1,2)+pow((ny-0.5)/0.06,2)>=1 AND pow((nx-0.75)/0.1,2)+pow((ny-0.5)/0.06,2)>=1 AND pow((nx-0.5)/0.12,2)+pow((ny-0.2)/0.07,2)>=1 inside FROM s""")
 def direction_blend(spark, d):
-    """Directions blended of bands, slopes, circles and rays, as the double angle's cosine and sine, and whether the place is skin."""
+    """Directions blended of bands, circles and rays, as the double angle's cosine and sine, and whether the place is inside the mask."""
     x, y = F.col("nx"), F.col("ny")
-    terms = [
-        (F.lit(0.0), 1.15 * (D.bell(y, 0.11, 0.12) + D.bell(y, 0.89, 0.10))),
-        (F.lit(math.pi / 2), 1.7 * D.bell(x, 0.5, 0.10) * F.when(y < 0.62, 0.9).otherwise(0.45)),
-        (F.radians(F.when(x < 0.5, 48.0).otherwise(132.0)), 2.5 * D.bell(y, 0.56, 0.24) * (1 - D.bell(x, 0.5, 0.14))),
-        *(D.around(x, y, eye, 0.09, 2.6) for eye in EYES),
-        D.around(x, y, MOUTH, 0.095, 2.0, radial=True),
-    ]
-    a = D.blended_axis(terms)
-    inside = D.in_mask(x, y, (0.5, 0.49, 0.455, 0.495), [*((*eye, 0.085, 0.052) for eye in EYES), (*MOUTH, 0.105, 0.058)])
-    return rounded(_normalised(spark, d).select("id", F.cos(2 * a).alias("cos2"), F.sin(2 * a).alias("sin2"), inside.alias("inside")))
+    a = D.blended_axis(D.field_terms(x, y, FIELD))
+    return rounded(_normalised(spark, d).select("id", F.cos(2 * a).alias("cos2"), F.sin(2 * a).alias("sin2"), D.in_mask(x, y, OUTER, HOLES).alias("inside")))
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT n_nationkey subject, k, ((n_nationkey*7+k*3)%5-2)/10e0 c FROM nation, range(3) t(k) WHERE (n_nationkey+k)%4>0), d AS (SELECT subject, id, sum(c*[tx,ty,tz][k+1]) dx, sum(c*[ty,tz,tx][k+1]) dy, sum(c*[tz,tx,ty][k+1]) dz FROM c, p GROUP BY 1,2),

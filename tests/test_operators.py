@@ -1,5 +1,6 @@
 """Geometry and sequences against closed forms and numpy."""
 
+import math
 import os
 
 import duckdb
@@ -240,3 +241,36 @@ def test_scans_are_linear_and_skip_nulls(spark):
     df = spark.range(40_000).select(F.lit(1).alias("k"), F.col("id"), F.when(F.col("id") != 7, F.lit(1.0)).alias("x"))
     got = Q.ema(df, "k", "x", ["id"]).orderBy("id").collect()
     assert len(got) == 40_000 and got[7].ema is None and got[8].ema == pytest.approx(1 + 29 * 0.9**8)
+
+
+def test_order_statistics_by_narrowing(spark):
+    """Every place of groups with ties, heavy tails, infinities, NaN, nulls and null keys, in passes with few buckets and little to sort."""
+    import random
+
+    from isoline.operators import stats as S
+
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "even": [rng.random() for _ in range(400)],
+        "tail": [10.0 ** rng.uniform(-300, 300) * rng.choice((1, -1)) for _ in range(300)],
+        "same": [2.5] * 500 + [3.5],
+        "odd": [-inf] * 40 + [inf] * 30 + [nan] * 20 + [float(i % 7) for i in range(100)],
+        "ends": [1.7e308, -1.7e308] * 50 + [0.0],
+        None: [float(i) for i in range(150)],
+        "none": [],
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.1, 0.5, 0.9, 0.95, 1.0)
+    got = S.order_statistics(df, ["g"], "x", {f"p{i}": S._rank(p) for i, p in enumerate(shares)}, [], most=30, buckets=16).collect()
+    assert len(got) == len(groups)
+    for r in got:
+        vs = sorted(groups[r.g], key=lambda v: (math.isnan(v), v if not math.isnan(v) else 0.0))
+        want = [vs[max(0, math.ceil(len(vs) * p) - 1)] if vs else None for p in shares]
+        assert r.n == len(vs) and [str(r[f"p{i}"]) for i in range(len(shares))] == list(map(str, want)), r.g
+    plain = {r.g: r for r in S.interpolated(df.filter("g in ('even', 'same')"), ["g"], "x").collect()}
+    for g, r in plain.items():
+        assert [r.median, r.p90, r.p95] == pytest.approx([float(np.percentile(groups[g], p)) for p in (50, 90, 95)])
+    assert S.summary(df.limit(0), ["g"], "x").count() == 0
