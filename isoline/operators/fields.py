@@ -99,6 +99,46 @@ def hinged(p: list[Column], pivot: tuple[float, float, float], angle: Column, we
     return [a + weight * (b - a) for a, b in zip(p, turned, strict=True)]
 
 
+def posed(shape: DataFrame, joints: DataFrame, pose: DataFrame, skin: DataFrame, parents: tuple[int, ...], by: list[str]) -> DataFrame:
+    """Vertices (by, v, x..z) of each group's shape (by, v, x..z) in its pose.
+
+    Joints lie at weighted sums of vertices (joints: j, v, w) and hang in a tree:
+    parents names each one's parent, which comes before it, -1 for a root. pose (by,
+    j, rx, ry, rz) turns a joint about its place by a vector's length in radians; a
+    joint without a row stays as it is. A vertex follows its joints' rigid motions
+    by the weights of skin (v, j, w), which should add up to one; vertices without
+    weights are left out. Motions are composed in one row a group, of which there
+    are as many as subjects; vertices meet them in one join and one sum.
+    """
+    if any(not -1 <= p < i for i, p in enumerate(parents)):
+        raise ValueError("posed: a joint comes before its parent")
+    places = shape.join(joints.select("v", "j", "w"), "v").groupBy(*by).pivot("j", list(range(len(parents)))).agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in XYZ))
+    turns = pose.groupBy(*by).pivot("j", list(range(len(parents)))).agg(*(F.max(f"r{n}").alias(f"r{n}") for n in XYZ))
+    rows = places.join(turns, by, "left")
+    c = F.col
+
+    def turned(j: int) -> list[list[Column]]:
+        """The rotation about the vector (rx, ry, rz): cosine, cross product and outer product."""
+        r = [F.coalesce(c(f"{j}_r{n}"), F.lit(0.0)) for n in XYZ]
+        size = F.sqrt(r[0] ** 2 + r[1] ** 2 + r[2] ** 2)
+        a = [F.when(size > 0, v / size).otherwise(0.0) for v in r]
+        cross = ((F.lit(0.0), -a[2], a[1]), (a[2], F.lit(0.0), -a[0]), (-a[1], a[0], F.lit(0.0)))
+        return [[(F.cos(size) if i == k else F.lit(0.0)) + F.sin(size) * cross[i][k] + (1 - F.cos(size)) * a[i] * a[k] for k in range(3)] for i in range(3)]
+
+    for j, parent in enumerate(parents):  # a row's motions, each as nine numbers of a turn and three of a shift
+        own, at = turned(j), [c(f"{j}_{n}") for n in XYZ]
+        rows = rows.withColumns({f"m{j}_{i}{k}": own[i][k] for i in range(3) for k in range(3)})
+        shift = [at[i] - sum(c(f"m{j}_{i}{k}") * at[k] for k in range(3)) for i in range(3)]
+        rows = rows.withColumns({f"s{j}_{i}": shift[i] for i in range(3)})
+        if parent >= 0:
+            rows = rows.withColumns({f"g{j}_{i}{k}": sum(c(f"g{parent}_{i}{h}") * c(f"m{j}_{h}{k}") for h in range(3)) for i in range(3) for k in range(3)} | {f"h{j}_{i}": sum((c(f"g{parent}_{i}{h}") * c(f"s{j}_{h}") for h in range(3)), c(f"h{parent}_{i}")) for i in range(3)})
+        else:
+            rows = rows.withColumns({f"g{j}_{i}{k}": c(f"m{j}_{i}{k}") for i in range(3) for k in range(3)} | {f"h{j}_{i}": c(f"s{j}_{i}") for i in range(3)})
+    motions = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(j).alias("j"), *(c(f"g{j}_{i}{k}").alias(f"g{i}{k}") for i in range(3) for k in range(3)), *(c(f"h{j}_{i}").alias(f"h{i}") for i in range(3))) for j in range(len(parents))))).alias("m")).select(*by, "m.*")
+    met = shape.join(skin.select("v", "j", "w"), "v").join(motions, [*by, "j"])
+    return met.groupBy(*by, "v").agg(*(F.sum(c("w") * (c(f"g{i}0") * c("x") + c(f"g{i}1") * c("y") + c(f"g{i}2") * c("z") + c(f"h{i}"))).alias(n) for i, n in enumerate(XYZ)))
+
+
 def shape_fitted(landmarks: DataFrame, by: str, k: int, strength: float = 1e-4, rounds: int = 4) -> DataFrame:
     """Each group's k shape coefficients that bring a model's landmarks (x0..z0, and of k numbers each the arrays bx, by_ and bz of their basis) to observed ones (x..z), as (by, beta, rmse, n).
 

@@ -42,6 +42,39 @@ def shape_model(spark, d):
     return rounded(shape.select("subject", *(c.alias(n) for n, c in zip("xyz", p, strict=True))).groupBy("subject").agg(*(F.avg(n).alias(n) for n in "xyz"), F.count("*").alias("n")))
 
 
+#: SQL of a pose: joint 0 turns about z, joint 1 on it about x, joint 2 on that about y; a joint's motion is its parent's after its own.
+_TURN = (("cos(a0)*x-sin(a0)*y", "sin(a0)*x+cos(a0)*y", "z"), ("x", "cos(a1)*y-sin(a1)*z", "sin(a1)*y+cos(a1)*z"), ("cos(a2)*x+sin(a2)*z", "y", "-sin(a2)*x+cos(a2)*z"))
+
+
+def _about(j: int, p: str) -> str:
+    """A query of all points p (subject, v, x..z) turned about joint j's place."""
+    return "(SELECT subject, v, " + ", ".join(f"j{n}{j}+{f} {n}" for n, f in zip("xyz", _TURN[j], strict=True)) + f" FROM (SELECT q.subject, v, {', '.join(f'q.{n}-jo.j{n}{j} {n}' for n in 'xyz')}, COLUMNS('^(j[xyz][0-2]|a[0-2])$') FROM {p} q JOIN jo USING(subject)))"
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT n_nationkey subject, k, ((n_nationkey*5+k*3)%7-3)/10e0 c FROM nation, range(3) t(k)), d AS (SELECT subject, id, sum(c*[tx,ty,tz][k+1]) dx, sum(c*[ty,tz,tx][k+1]) dy, sum(c*[tz,tx,ty][k+1]) dz FROM c, p GROUP BY 1,2),
+ s AS (SELECT subject, id v, x+dx x, y+dy y, z+dz z FROM d JOIN p USING(id)), n AS (SELECT {", ".join(f"count(*) FILTER (WHERE id%3={j}) n{j}" for j in range(3))} FROM p),
+ jo AS (SELECT subject, {", ".join(f"sum({x}) FILTER (WHERE v%3={j})/any_value(n{j}) j{x}{j}" for j in range(3) for x in "xyz")}, {", ".join(f"(subject%{5 + j})/{8 + j}e0 a{j}" for j in range(3))} FROM s, n GROUP BY subject),
+ m0 AS {_about(0, "s")}, b1 AS {_about(1, "s")}, m1 AS {_about(0, "b1")}, c1 AS {_about(2, "s")}, c2 AS {_about(1, "c1")}, m2 AS {_about(0, "c2")}, w AS (SELECT v, (1+v%4)/10e0 w0, (1+v%2)/10e0 w1 FROM (SELECT DISTINCT id v FROM p))
+ SELECT subject, v%10 part, count(*) n, {", ".join(f"round(avg(w0*m0.{x}+w1*m1.{x}+(1-w0-w1)*m2.{x}),4)+0 {x}" for x in "xyz")} FROM m0 JOIN m1 USING(subject, v) JOIN m2 USING(subject, v) JOIN w USING(v) GROUP BY 1, 2""")
+def forward_model(spark, d):
+    """A model of three components and a chain of three joints over all points, shaped and posed for each subject: means of its vertices by ten parts."""
+    pts = points(spark, d).withColumnRenamed("id", "v")
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"t{'xyz'[(i + k) % 3]}").alias(n) for i, n in enumerate("xyz"))) for k in range(3)))
+    subjects = read(spark, d, "nation").select(F.col("n_nationkey").alias("subject"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    coefficients = subjects.select("subject", number.alias("k")).withColumn("c", ((F.col("subject") * 5 + F.col("k") * 3) % 7 - 3) / 10)
+    shape = D.shaped(pts.select("v", "x", "y", "z"), pts.select("v", F.explode(parts).alias("b")).select("v", "b.*"), coefficients, ["subject"])
+    j, v, s = F.col("j"), F.col("v"), F.col("subject")
+    held = pts.select("v", (v % 3).cast("int").alias("j"))
+    joints = held.join(held.groupBy("j").agg(F.count("*").alias("n")), "j").select("j", "v", (1 / F.col("n")).alias("w"))
+    w0, w1 = (1 + v % 4) / 10, (1 + v % 2) / 10
+    skin = pts.select("v", F.posexplode(F.array(w0, w1, 1 - w0 - w1)).alias("j", "w"))
+    turn = lambda k: F.when(j == k, (s % (5 + k)) / (8 + k)).otherwise(0.0)
+    pose = subjects.select("subject", number.alias("j")).select("subject", "j", turn(1).alias("rx"), turn(2).alias("ry"), turn(0).alias("rz"))
+    out = D.posed(shape, joints, pose, skin, (-1, 0, 1), ["subject"])
+    return rounded(out.groupBy("subject", (v % 10).alias("part")).agg(F.count("*").alias("n"), *(F.avg(n).alias(n) for n in "xyz")))
+
+
 @query()
 def shape_fit(spark, d):
     """Two shape coefficients of each label, fitted to its points in turns with an alignment."""

@@ -69,3 +69,31 @@ def test_plans_of_sessions_without_a_log(spark):
     assert {(r.s, r.status) for r in got} == {(1, "failed"), (2, "completed")} and len(got) == 16
     last = next(r for r in got if r.s == 1 and r.step == D.COMPARED)
     assert last.issues == ["missing any of: propose_direction_variants", "missing any of: compare_candidates", "comparison missing", "no candidates"]
+
+
+def test_poses_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    n, parents = 12, (-1, 0, 0, 2)
+    shape, at, skin, pose = rng.normal(size=(n, 3)), rng.random((4, n)), rng.random((n, 4)), rng.normal(size=(4, 3))
+    at, skin, pose[3] = at / at.sum(1, keepdims=True), skin / skin.sum(1, keepdims=True), 0.0
+
+    def motion(j):
+        size = np.linalg.norm(pose[j])
+        k = np.cross(np.eye(3), pose[j] / size if size else pose[j])
+        turn = np.eye(3) + np.sin(size) * k + (1 - np.cos(size)) * k @ k
+        place = at[j] @ shape
+        own = np.block([[turn, (place - turn @ place)[:, None]], [np.zeros((1, 3)), np.ones((1, 1))]])
+        return own if parents[j] < 0 else motion(parents[j]) @ own
+
+    whole = np.hstack([shape, np.ones((n, 1))])
+    want = sum(skin[:, j : j + 1] * (whole @ motion(j).T)[:, :3] for j in range(4))
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    shapes = frame([(g, v, *map(float, shape[v])) for g in ("a", "still") for v in range(n)], "g string, v long, x double, y double, z double")
+    joints = frame([(j, v, float(at[j, v])) for j in range(4) for v in range(n)], "j int, v long, w double")
+    poses = frame([("a", j, *map(float, pose[j])) for j in range(3)], "g string, j int, rx double, ry double, rz double")
+    skins = frame([(v, j, float(skin[v, j])) for v in range(n) for j in range(4)], "v long, j int, w double")
+    got = {(r.g, r.v): (r.x, r.y, r.z) for r in D.posed(shapes, joints, poses, skins, parents, ["g"]).collect()}
+    assert np.allclose([got["a", v] for v in range(n)], want) and np.allclose([got["still", v] for v in range(n)], shape)
+    assert D.posed(shapes.limit(0), joints, poses, skins, parents, ["g"]).isEmpty()
+    with pytest.raises(ValueError, match="before its parent"):
+        D.posed(shapes, joints, poses, skins, (1, -1), ["g"])
