@@ -130,6 +130,26 @@ def one_euro(df: DataFrame, key: str, value: str, t: str, order: str, min_cutoff
     return out.select(key, order, F.col(value).alias("raw"), "smooth")
 
 
+def anchored_one_euro(df: DataFrame, key: str, point: str, anchors: list[int], names: list[str], t: str, order: str, whole: tuple[float, float] = (1.25, 0.012), local: tuple[float, float] = (1.5, 0.05)) -> DataFrame:
+    """Each point's coordinates, steadied in two parts: (key, order, point, axis, raw, smooth).
+
+    The mean of a frame's anchors says how the whole moves and is filtered by
+    itself, a row a frame; what is left of each point is filtered along the point;
+    both are added up. A frame is a key's rows of one t and order. Frames without
+    anchors count as not moved (mean 0). Null coordinates are left out.
+    """
+    axes = F.explode(F.array(*(F.struct(F.lit(n).alias("axis"), F.col(n).cast("double").alias("raw")) for n in names)))
+    rows = df.select(key, point, t, order, axes.alias("a")).select(key, point, t, order, "a.*").filter("raw is not null")
+    track = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    mean = rows.groupBy(key, "axis", t, order).agg(F.coalesce(F.avg(F.when(F.col(point).isin(anchors), F.col("raw"))), F.lit(0.0)).alias("mean_")).withColumn("whole_", track(key, "axis"))
+    moved = one_euro(mean, "whole_", "mean_", t, order, *whole).select("whole_", order, F.col("smooth").alias("steady_"))
+    rest = rows.withColumn("whole_", track(key, "axis")).join(mean.select("whole_", t, order, "mean_"), ["whole_", t, order])
+    rest = rest.withColumns({"track_": track(key, point, "axis"), "left_": F.col("raw") - F.col("mean_")})
+    own = one_euro(rest, "track_", "left_", t, order, *local).select("track_", order, F.col("smooth").alias("own_"))
+    out = rest.join(own, ["track_", order]).join(moved, ["whole_", order])
+    return out.select(key, order, point, "axis", "raw", (F.col("steady_") + F.col("own_")).alias("smooth"))
+
+
 def presence(df: DataFrame, key: str, hit: str, order: list[str], up: float, down: float) -> DataFrame:
     """Presence that rises by up on a hit and falls by down on a miss, within 0 and 1."""
 

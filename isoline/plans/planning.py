@@ -100,6 +100,16 @@ def stabilized_one_euro(spark, d):
     return rounded(whole.join(local, ["user_id", "event_id"]).select("user_id", "event_id", (F.col("mean") + F.col("local")).alias("smooth")))
 
 
+@query()
+def anchored_one_euro(spark, d):
+    """The vectors of each label as frames of seven points, steadied about two of them."""
+    e = lambda i: F.get("embedding", i).cast("double")
+    rows = read(spark, d, "embeddings").select("label", "vec_id", (F.col("vec_id") * 0.04).alias("t"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("point"))
+    k = F.col("point") * 3
+    rows = rows.select("label", "vec_id", "t", F.col("point").cast("long").alias("point"), e(k).alias("x"), e(k + 1).alias("y"), e(k + 2).alias("z"))
+    return rounded(Q.anchored_one_euro(rows, "label", "point", [2, 5], ["x", "y", "z"], "t", "vec_id").select("label", "vec_id", "point", "axis", "smooth"))
+
+
 @query("SELECT DISTINCT o_custkey, first_value(o_orderkey) OVER w AS first_order FROM orders WHERE o_custkey BETWEEN 10 AND 100000 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 def unique_valid(spark, d):
     """Distinct valid keys with their first occurrence."""

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from isoline.operators import sequence as Q
 from isoline.plans import QUERIES
 from isoline.sources.tables import points, read
 
@@ -73,3 +74,30 @@ def test_stabilized_one_euro_against_a_loop(spark):
     got = {r.event_id: r.smooth for r in QUERIES["stabilized_one_euro"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+
+
+def test_anchored_one_euro_against_a_loop(spark):
+    labels = defaultdict(list)
+    for r in read(spark, SF, "embeddings").collect():
+        labels[r.label].append((r.vec_id, r.embedding))
+    want = {}
+    for label, frames in labels.items():
+        frames.sort()
+        for n, axis in enumerate("xyz"):
+            mean = [(i * 0.04, (float(e[6 + n]) + float(e[15 + n])) / 2) for i, e in frames]
+            steady = filtered(mean, 1.25, 0.012)
+            for p in range(7):
+                own = filtered([(t, float(e[3 * p + n]) - m) for (_, e), (t, m) in zip(frames, mean, strict=True)], 1.5, 0.05)
+                want |= {(label, i, p, axis): a + b for (i, _), a, b in zip(frames, steady, own, strict=True)}
+    got = {(r.label, r.vec_id, r.point, r.axis): r.smooth for r in QUERIES["anchored_one_euro"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_anchored_one_euro_of_odd_rows(spark):
+    rows = [(None, 0, 0.0, 1, 1.0), (None, 1, 0.1, 1, None), ("a", 0, 0.0, 9, 3.0), ("a", 1, 0.1, 9, 4.0)]
+    df = spark.createDataFrame(rows, "g string, i long, t double, p long, x double")
+    got = {(r.g, r.i): (r.raw, r.smooth) for r in Q.anchored_one_euro(df, "g", "p", [1], ["x"], "t", "i").collect()}
+    want = filtered([(0.0, 3.0), (0.1, 4.0)], 1.5, 0.05)
+    assert got == {(None, 0): (1.0, 1.0), ("a", 0): (3.0, pytest.approx(want[0])), ("a", 1): (4.0, pytest.approx(want[1]))}
+    assert Q.anchored_one_euro(df.limit(0), "g", "p", [1], ["x"], "t", "i").isEmpty()
