@@ -88,6 +88,23 @@ def distance_to_triangle(p: Sequence[Column], a: Sequence[Column], b: Sequence[C
     return F.when((u >= 0) & (v >= 0) & (w >= 0), distance(p, foot)).otherwise(edge)
 
 
+def weights_on_triangle(p: Sequence[Column], a: Sequence[Column], b: Sequence[Column], c: Sequence[Column]) -> Column:
+    """Weights (u, v, w) of a, b and c at the point of their triangle nearest p: at its foot where that lies inside, else on the nearest edge, the earlier of two as near."""
+    u, v, w = barycentric_coordinates(p, a, b, c)
+    zero = F.lit(0.0)
+
+    def edge(s: Sequence[Column], e: Sequence[Column], weights) -> Column:
+        along = sub(e, s)
+        size = dot(along, along)
+        t = F.when(size <= 1e-12, zero).otherwise(clamp(dot(sub(p, s), along) / F.greatest(size, F.lit(1e-12)), 0.0, 1.0))
+        return F.struct(distance(p, add(s, scale(along, t))).alias("d"), *(x.alias(n) for x, n in zip(weights(t), "uvw", strict=True)))
+
+    edges = (edge(a, b, lambda t: (1 - t, t, zero)), edge(b, c, lambda t: (zero, 1 - t, t)), edge(c, a, lambda t: (t, zero, 1 - t)))
+    near = F.reduce(F.array(*edges[1:]), edges[0], lambda best, e: F.when(e["d"] < best["d"], e).otherwise(best))
+    inside = (u >= 0) & (v >= 0) & (w >= 0)
+    return F.when(inside, F.struct(u.alias("u"), v.alias("v"), w.alias("w"))).otherwise(F.struct(*(near[n].alias(n) for n in "uvw")))
+
+
 def one_euro_alpha(cutoff: Column, dt: Column) -> Column:
     return 1 / (1 + 1 / (cutoff * (2 * math.pi)) / dt)
 

@@ -16,6 +16,14 @@ RAW_MEDIA_FLAGS = ("raw_image_sent", "raw_video_sent", "contains_face_image", "c
 CUE_FLAGS = {"used_for_geometry": "secondary_cue_used_for_geometry", "used_for_agent_prompt": "secondary_cue_sent_to_agent_prompt"}
 MEDIA_MAGIC = (b"GIF8", b"RIFF", b"DICM")
 
+# Fixed values of the check before a browser's export and of the acceptance evidence.
+EXPORT_PHONE = r"(^|[^\d])(?:\+?\d[\d .()\-]{8,}\d)(?!\d)"
+EXPORT_MEDIA = r"(?i)^data:(image|video|application/dicom)/"
+BASE64 = r"^[A-Za-z0-9+/]+={0,2}$"
+BASE64_STARTS = ("/9j/", "iVBORw0KGgo", "R0lGOD", "UklGR", "RElDTQ")
+EVIDENCE_FLAGS = (*RAW_MEDIA_FLAGS, "exported_raw_pixels", "exported_landmarks")
+EVIDENCE_STARTS = ("data:image/", "data:video/")
+
 
 def json_leaves(df: DataFrame, key: str, payload: str) -> DataFrame:
     """(key, path, kind, value) for each leaf of JSON texts: path is an array of names and list places, kind STRING, BOOLEAN, VOID or a number's. Texts that are no JSON have none. One round for each level of nesting, over what is nested that deep."""
@@ -57,3 +65,45 @@ def embedded_media(text: Column) -> Column:
     head = F.try_to_binary(F.substring(text, 1, 4096), F.lit("base64"))
     decoded = reduce(lambda a, m: a | (F.substring(head, 1, len(m)) == F.lit(m)), MEDIA_MAGIC, F.lit(False))
     return F.coalesce(begins | ((F.length(text) >= 256) & (F.length(text) % 4 == 0) & decoded), F.lit(False))
+
+
+def export_violations(leaves: DataFrame) -> DataFrame:
+    """Violations (code) of json_leaves() rows before an export: as payload_violations(), but cues are named after their flag, leaves ending in _at may look like a phone number or an address, and media are a data address in either case, or at least 256 characters of base 64 that begin as media do."""
+    low = F.transform("path", F.lower)
+    leaf = F.coalesce(F.try_element_at(low, F.lit(-1)), F.lit(""))
+    true = (F.col("kind") == "BOOLEAN") & (F.col("value") == "true")
+    text = F.when(F.col("kind") == "STRING", F.nullif(F.trim("value"), F.lit("")))
+    pattern = text.rlike(EMAIL) | text.rlike(EXPORT_PHONE)
+    coded = (F.length(text) >= 256) & (F.length(text) % 4 == 0) & text.rlike(BASE64) & reduce(lambda a, s: a | F.startswith(text, F.lit(s)), BASE64_STARTS, F.lit(False))
+    rules = (
+        ("raw_media_flag_true", leaf.isin(*RAW_MEDIA_FLAGS) & true),
+        *((f"secondary_cue_{flag}_true", F.array_contains(low, "secondary_cues") & (leaf == flag) & true) for flag in CUE_FLAGS),
+        ("secret_value_present", hinted(low, SECRET_KEYS) & ~F.endswith(leaf, F.lit("_present")) & text.isNotNull() & ~F.lower(text).isin(*REDACTED)),
+        ("pii_field_present", hinted(low, PII_KEYS) & text.isNotNull()),
+        ("pii_pattern_present", ~F.endswith(leaf, F.lit("_at")) & pattern),
+        ("embedded_media_payload", hinted(low, MEDIA_KEYS) & (text.rlike(EXPORT_MEDIA) | coded)),
+    )
+    return leaves.withColumn("code", F.explode(F.array_compact(F.array(*(F.when(holds, F.lit(code)) for code, holds in rules)))))
+
+
+def hinted(path: Column, hints: tuple[str, ...]) -> Column:
+    """Whether some name of a path holds one of the hints."""
+    return F.exists(path, lambda p: reduce(lambda a, h: a | F.contains(p, F.lit(h)), hints, F.lit(False)))
+
+
+def secret_leaks(leaves: DataFrame) -> DataFrame:
+    """Of json_leaves() rows those that leak a secret of a provider's settings: texts and numbers that aren't redacted, under a name that hints at one. The last name that isn't a place in a list may end in _present; booleans and nulls leak nothing."""
+    low = F.transform("path", F.lower)
+    name = F.try_element_at(F.filter(low, lambda p: ~p.rlike(r"^\d+$")), F.lit(-1))
+    held = F.lower(F.trim("value"))
+    return leaves.filter(~F.col("kind").isin("BOOLEAN", "VOID") & hinted(low, SECRET_KEYS) & ~F.endswith(name, F.lit("_present")) & ~held.isin(*REDACTED))
+
+
+def raw_media_paths(leaves: DataFrame, key: str) -> DataFrame:
+    """(key, path) of what json_leaves() rows hold of raw media, each once: flags that are anything but false or null, also a list or an object that isn't empty, and members that are data addresses of images or videos. Names count as they are written; a list's own texts don't."""
+    last = F.size("path") - 1
+    unset = (F.col("kind") == "VOID") | ((F.col("kind") == "BOOLEAN") & (F.col("value") == "false"))
+    ends = F.transform("path", lambda p, i: F.when(p.isin(*EVIDENCE_FLAGS) & ((i < last) | ~unset), i + 1))
+    is_address = (F.col("kind") == "STRING") & reduce(lambda a, s: a | F.startswith("value", F.lit(s)), EVIDENCE_STARTS, F.lit(False)) & ~F.try_element_at("path", F.lit(-1)).rlike(r"^\d+$")
+    found = F.array_compact(F.concat(ends, F.array(F.when(is_address, F.size("path")))))
+    return leaves.select(key, "path", F.explode(found).alias("n")).select(key, F.slice("path", F.lit(1), F.col("n")).alias("path")).distinct()

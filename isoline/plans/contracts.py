@@ -116,7 +116,9 @@ RECORD = f"""'{{"candidate":{{"type":"'||CASE WHEN k%2=0 THEN 'linear' ELSE 'fus
 
 
 def _sections(spark, d):
-    return C.sections(read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).withColumn("record", F.expr(RECORD)), "record")
+    """Sections of all records. Keys are dealt over the tasks first, as a record's paths cost far more than its row and one file is one task."""
+    keys = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism, "k")
+    return C.sections(keys.withColumn("record", F.expr(RECORD)), "record")
 
 
 @query("""WITH o AS (SELECT o_orderkey k FROM orders), m AS (SELECT 'direction_confidence' metric, (k%10)/10e0 v FROM o UNION ALL SELECT 'diameter_coverage_deficit_mm', k%6 FROM o WHERE k%2=0 UNION ALL SELECT 'length_to_width_ratio', 3+(k%9)/10e0 FROM o WHERE k%2=1 UNION ALL SELECT 'jitter_rms_px', k%50 FROM o WHERE k%15<>10 UNION ALL SELECT 'mapped_point_count', k%40 FROM o WHERE k%3=2

@@ -29,6 +29,35 @@ def payload_audit(spark, d):
     return out.select("event_id", F.array_join("path", ".").alias("path"), "code")
 
 
+#: SQL of an export of each event: cues, phone numbers, provider settings, raw media flags and media.
+EXPORT = """'{"used":{"secondary_cues":[{"used_for_geometry":'||CASE WHEN event_id%6=0 THEN 'true' ELSE 'false' END||'}]},"seen_at":"'||CASE WHEN event_id%4=0 THEN 'call 138-0013-8000 now' ELSE 'x' END||'","note":"'||CASE WHEN event_id%5=0 THEN 'call 138-0013-8000 now' ELSE event_type END||'","provider":{"api_key":'||CASE event_id%3 WHEN 0 THEN '12345' WHEN 1 THEN '"***"' ELSE '"sk'||event_id||'"' END||',"tokens":['||CASE WHEN event_id%2=0 THEN '7' ELSE 'null,"***"' END||'],"api_key_present":5},"contains_raw_media":'||CASE event_id%7 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' WHEN 2 THEN '{"a":[1,false]}' WHEN 3 THEN 'null' ELSE 'false' END
+||',"overlay":"'||CASE event_id%8 WHEN 0 THEN 'DATA:IMAGE/png;base64,AA' WHEN 1 THEN 'iVBORw0KGgo'||repeat('A',249) WHEN 2 THEN 'iVBORw0KGgo'||repeat('A',250) ELSE 'x' END||'","photo":'||CASE WHEN event_id%9=0 THEN '"data:image/png;base64,AA"' ELSE 'null' END||',"listed":["data:video/mp4;base64,AA"]}'"""
+
+
+def _export_leaves(spark, d):
+    rows = read(spark, d, "events").select("event_id", F.expr(EXPORT).alias("payload"))
+    return A.json_leaves(rows, "event_id", "payload")
+
+
+@query("""WITH c AS (SELECT event_id, unnest([CASE WHEN event_id%6=0 THEN {'p':'used.secondary_cues.0.used_for_geometry','c':'secondary_cue_used_for_geometry_true'} END, CASE WHEN event_id%5=0 THEN {'p':'note','c':'pii_pattern_present'} END, CASE WHEN event_id%3=2 THEN {'p':'provider.api_key','c':'secret_value_present'} END, CASE WHEN event_id%7=0 THEN {'p':'contains_raw_media','c':'raw_media_flag_true'} END, CASE WHEN event_id%8<2 THEN {'p':'overlay','c':'embedded_media_payload'} END, CASE WHEN event_id%9=0 THEN {'p':'photo','c':'embedded_media_payload'} END]) v FROM events)
+ SELECT event_id, v.p path, v.c code FROM c WHERE v IS NOT NULL""")
+def export_preflight(spark, d):
+    """What the leaves of each event's export violate."""
+    return A.export_violations(_export_leaves(spark, d)).select("event_id", F.array_join("path", ".").alias("path"), "code")
+
+
+@query("""SELECT event_id, 'provider.api_key' path FROM events WHERE event_id%3<>1 UNION ALL SELECT event_id, 'provider.tokens.0' FROM events WHERE event_id%2=0""")
+def secret_leaks(spark, d):
+    """Texts and numbers of each event's provider settings that leak."""
+    return A.secret_leaks(_export_leaves(spark, d)).select("event_id", F.array_join("path", ".").alias("path"))
+
+
+@query("""SELECT event_id, 'contains_raw_media' path FROM events WHERE event_id%7<3 UNION ALL SELECT event_id, 'photo' FROM events WHERE event_id%9=0""")
+def raw_media_paths(spark, d):
+    """Where each event's export holds raw media or says so."""
+    return A.raw_media_paths(_export_leaves(spark, d), "event_id").select("event_id", F.array_join("path", ".").alias("path"))
+
+
 @query(f"WITH {POINTS} SELECT id, CASE WHEN x<0 OR (abs(x)<1e-6 AND y<0) THEN -x ELSE x END dx, CASE WHEN x<0 OR (abs(x)<1e-6 AND y<0) THEN -y ELSE y END dy FROM (SELECT id, CASE WHEN id%5=0 THEN 0e0 ELSE round(x,4) END x, round(y,4)+0 y FROM p)")
 def axial_directions(spark, d):
     """Each direction as an axis: turned around where it points left, or straight down."""
