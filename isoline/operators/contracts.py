@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
+from isoline.operators.geometry import checkpointed
 from isoline.operators.review import decision
 from isoline.operators.stats import summary
 
@@ -274,13 +275,13 @@ def boolean_at(v: Column, path: str) -> Column:
 
 
 def rolled_up(parts: DataFrame) -> DataFrame:
-    """Number summaries of all metrics of sections() rows, one row a metric that any record has: the records are read once."""
+    """Number summaries of all metrics of sections() rows, one row a metric that any record has. The metrics are dealt anew and written to the shared folder, as summary() reads them more than once: the records' paths are read once."""
     own = [F.struct(F.lit(m).alias("metric"), numeric_at(F.col(s), p).alias("value")) for m, (s, p) in METRICS.items()]
     regions = F.filter(F.coalesce(F.try_variant_get("local_region", "$.regions", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.coalesce(F.try_variant_get(r, "$.action", "string"), F.lit("unknown")) != "normal")
     of_regions = lambda m: F.transform(regions, lambda r: F.struct(F.lit(f"region_{m}").alias("metric"), numeric_at(r, m).alias("value")))
     each = map(of_regions, REGION_METRICS)
     long = parts.select(F.explode(F.concat(F.array(*own), *each)).alias("m")).select("m.*").filter("value is not null")
-    return summary(long, ["metric"], "value")
+    return summary(checkpointed(long.repartition(long.sparkSession.sparkContext.defaultParallelism)), ["metric"], "value")
 
 
 def section_gates(parts: DataFrame) -> DataFrame:
