@@ -83,7 +83,9 @@ def compiled(records: DataFrame, triangles: DataFrame, by: list[str]) -> DataFra
     Without lists of codes those of the warnings count. A record that isn't ready,
     lacks a centre, or whose centre or polyline of two points or more has no sound
     references has no overlay; boundary points without coordinates are left out.
+    Records that are ready, and the mesh, are written once, as each is read again.
     """
+    triangles = checkpointed(triangles)
     ready = checkpointed(records.filter("live_overlay_ready and centre is not null and polyline is not null"))
     empty = F.array().cast("array<array<double>>")
     tagged = lambda kind, points: F.transform(points, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), *(F.get(p, F.lit(k)).cast("double").alias(n) for k, n in enumerate(XYZ))))
