@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -82,31 +81,21 @@ def normalised(v: Column, low: Column, high: Column) -> Column:
 def nearest_k(points: DataFrame, others: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k others nearest each point of the same by columns, with d and rank n; ties by other_id. points: id, x..z; others: other_id, ox..oz.
 
-    Points ask the grid cells around them; those that don't find k others within
-    the radius ask again with twice of it, and the few left when it spans the
-    cloud are joined with all of their group. Of others at the same place, the
-    k + 1 of least id are enough.
+    Others are met by blocks and come as one list a point, so that no pairs are
+    shuffled. Of others at the same place, the k + 1 of least id are enough.
     """
+    names = [c for c in others.columns if c not in by]
+    near = nearest_lists(points, others, by, k).select(*points.columns, F.posexplode("near").alias("n", "o"))
+    return near.select(*by, *(c for c in points.columns if c not in by), *(F.col(f"o.{c}").alias(c) for c in names), "o.d", (F.col("n") + 1).alias("n"))
+
+
+def nearest_lists(points: DataFrame, others: DataFrame, by: list[str], k: int) -> DataFrame:
+    """nearest_k() as one row a point, with the array near of structs (d, other_id, ...) in order."""
+    from isoline.operators.blocks import nearest
+
     same = W.partitionBy(*by, *cols("o")).orderBy("other_id")
-    others = checkpointed(others.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n"))
-    rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("d", "other_id"))
-    ranked = lambda pairs: pairs.filter("id <> other_id").withColumn("n", rank).filter(F.col("n") <= k)
-    spans = [F.max(f"o{n}") - F.min(f"o{n}") for n in XYZ]
-    groups = others.groupBy(*by).agg(F.count("*").alias("m"), F.greatest(*spans).alias("span"))
-    m, span = groups.agg(F.max("m"), F.max("span")).first()
-    left, out = checkpointed(points), []
-    radius = 0.5 * span * ((k + 1) / m) ** (1 / 3) if m and span else 0.0
-    while radius and radius < span:
-        near = checkpointed(ranked(_near(left, others, by, radius)))
-        done = near.filter(F.col("n") == k).select(*by, "id")
-        out.append(near.join(done, [*by, "id"], "left_semi"))
-        left = checkpointed(left.join(done, [*by, "id"], "left_anti"))
-        if left.isEmpty():
-            break
-        radius *= 2
-    out.append(ranked(left.join(others, by).withColumn("d", E.distance(cols(), cols("o")))))
-    names = out[-1].columns
-    return reduce(DataFrame.unionAll, (x.select(*names) for x in out))
+    others = others.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n")
+    return nearest(points, others, by, k)
 
 
 def direction_field(near: DataFrame, by: list[str], reach: Column) -> DataFrame:

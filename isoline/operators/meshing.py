@@ -231,26 +231,23 @@ def transferred(source: DataFrame, triangles: DataFrame, by: list[str], k: int =
         *(F.when(size > 1e-12, F.col(f"v{n}") / size).otherwise(1.0 if n == "x" else 0.0).alias(f"ot{n}") for n in XYZ), "confidence",
     )
     centres = triangles.select(*by, F.col("tri").alias("id"), *((sum((F.col(f"{n}{j}") for j in (1, 2)), F.col(f"{n}0")) / 3).alias(n) for n in XYZ))
-    near = G.nearest_k(centres, laid, by, k)
-    first = near.filter("n = 1").select(*by, "id", *(F.col(f"ot{n}").alias(f"f{n}") for n in XYZ))
-    rows = near.join(first, [*by, "id"])
-    sign = F.when(E.dot(cols("ot"), cols("f")) < 0, -1.0).otherwise(1.0)
-    plain, w = 1 / (F.col("d") + 1e-6), F.col("confidence") / (F.col("d") + 1e-6)
-    rows = rows.select(*by, "id", "n", "d", "other_id", "confidence", *((sign * F.col(f"ot{n}")).alias(f"g{n}") for n in XYZ), plain.alias("p"), w.alias("w"))
-    sums = rows.groupBy(*by, "id").agg(
-        F.sum("w").alias("w"), F.sum("p").alias("p"), *(F.sum(F.col(q) * F.col(f"g{n}")).alias(f"{q}{n}") for q in "wp" for n in XYZ), *(F.sum(F.col(q) * F.col("confidence")).alias(f"{q}c") for q in "wp"),
-        F.min(F.struct("n", "d", (-1 - F.col("other_id")).alias("id"))).alias("first"), F.count("*").alias("support"), F.collect_list(F.struct(*(F.col(f"g{n}").alias(n) for n in XYZ))).alias("all"),
-    )
-    weighed = F.col("w") > 1e-12
-    pick = lambda c: F.when(weighed, F.col(f"w{c}")).otherwise(F.col(f"p{c}"))
-    sums = sums.select(*by, "id", *(pick(n).alias(f"m{n}") for n in XYZ), (pick("c") / F.when(weighed, F.col("w")).otherwise(F.col("p"))).alias("own"), "first", "support", "all")
-    size = F.sqrt(E.dot(cols("m"), cols("m")))
-    sums = sums.withColumns({f"d{n}": F.when(size > 1e-12, F.col(f"m{n}") / size).otherwise(1.0 if n == "x" else 0.0) for n in XYZ})
+    # All that a triangle needs is in its row: pairs aren't shuffled.
+    near = G.nearest_lists(centres, laid, by, k).join(boxes.select(*by, "diagonal"), by).withColumn("first", F.get("near", F.lit(0)))
+    ot = lambda o: [o[f"ot{n}"] for n in XYZ]
+    sign = lambda o: F.when(E.dot(ot(o), [F.col(f"first.ot{n}") for n in XYZ]) < 0, -1.0).otherwise(1.0)
+    rows = near.withColumn("all", F.transform("near", lambda o: F.struct((1 / (o["d"] + 1e-6)).alias("p"), (o["confidence"] / (o["d"] + 1e-6)).alias("w"), o["confidence"].alias("confidence"), *((sign(o) * g).alias(n) for g, n in zip(ot(o), XYZ, strict=True)))))
+    weighed = F.aggregate("all", F.lit(0.0), lambda s, a: s + a["w"]) > 1e-12
+    rows = rows.withColumn("q", F.when(weighed, F.transform("all", lambda a: a["w"])).otherwise(F.transform("all", lambda a: a["p"])))
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("q", *XYZ, "c")))
+    add = lambda s, a: F.struct((s["q"] + a["q"]).alias("q"), *((s[n] + a["q"] * a["a"][n]).alias(n) for n in XYZ), (s["c"] + a["q"] * a["a"]["confidence"]).alias("c"))
+    rows = rows.withColumn("s", F.aggregate(F.arrays_zip(F.col("q"), F.col("all").alias("a")), zero, add))
+    size = F.sqrt(E.dot([F.col(f"s.{n}") for n in XYZ], [F.col(f"s.{n}") for n in XYZ]))
+    sums = rows.withColumns({f"d{n}": F.when(size > 1e-12, F.col(f"s.{n}") / size).otherwise(1.0 if n == "x" else 0.0) for n in XYZ} | {"own": F.col("s.c") / F.col("s.q")})
     away = F.transform("all", lambda a: F.degrees(F.acos(E.clamp(a["x"] * F.col("dx") + a["y"] * F.col("dy") + a["z"] * F.col("dz"), -1.0, 1.0))))
-    out = sums.withColumn("spread", F.when(F.size("all") > 1, F.array_max(away)).otherwise(0.0)).join(boxes.select(*by, "diagonal"), by)
+    out = sums.withColumn("spread", F.when(F.size("all") > 1, F.array_max(away)).otherwise(0.0))
     far = E.clamp(1 - F.col("first.d") / F.greatest(F.col("diagonal") * reach, F.lit(1e-9)), 0.0, 1.0)
     confidence = F.least("own", far) * F.when(F.col("spread") > wide, 0.75).otherwise(1.0)
-    return out.select(*by, F.col("id").alias("tri"), "dx", "dy", "dz", F.degrees(F.atan2("dy", "dx")).alias("angle"), confidence.alias("confidence"), F.col("first.id").alias("nearest"), F.col("first.d").alias("distance"), "support", "spread")
+    return out.select(*by, F.col("id").alias("tri"), "dx", "dy", "dz", F.degrees(F.atan2("dy", "dx")).alias("angle"), confidence.alias("confidence"), (-1 - F.col("first.other_id")).alias("nearest"), F.col("first.d").alias("distance"), F.size("near").cast("long").alias("support"), "spread")
 
 
 def coverage(transfer: DataFrame, by: list[str], low: float = 0.35) -> DataFrame:

@@ -90,3 +90,42 @@ def test_controls_stand_for_all_points(spark):
     assert len(n) == 2 and all(50 < r["count"] <= 64 for r in n)
     same = K.gridded_controls(df.filter("id < 2").crossJoin(df.select(F.lit(1).alias("k")).limit(9)).drop("k"), "g")
     assert same.count() == 2  # repeated points are one control
+
+
+def test_blocks_meet_a_wide_mesh_in_parts(spark, monkeypatch):
+    """Triangles as large as their mesh, in small blocks and several parts a block: the same answers as all pairs."""
+    from isoline.operators import blocks as B
+
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(B, "MOST", 150)
+    p = rng.normal(size=(900, 3)).round(2)
+    pts = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(p)] + [("a", 950, 9.0, 9.0, 9.0), ("a", 951, float("nan"), 0.0, 0.0), ("a", 952, float("inf"), 0.0, 0.0)], "g string, id long, x double, y double, z double")
+    tris = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(p.reshape(300, 9))] + [("a", 300 + i, *map(float, v)) for i, v in enumerate(p.reshape(300, 9))], f"g string, tri long, {CORNERS}")
+    sound = pts.filter("id < 951")
+    real, small = B.blocked, lambda df, by, at, low, high, size=64: real(df, by, at, low, high, 64)
+    monkeypatch.setattr(B, "blocked", small)
+    d = E.distance_to_triangle([F.col(n) for n in "xyz"], *([F.col(f"{n}{j}") for n in "xyz"] for j in range(3)))
+    want = {r.id: (r.b.tri, r.b.d) for r in sound.join(tris, "g").groupBy("id").agg(F.min(F.struct(F.round(d, 9).alias("d"), "tri")).alias("b")).collect()}
+    assert {r.id: (r.tri, r.distance) for r in B.closest(pts, tris, ["g"]).collect()} == want
+    u, v, w = E.barycentric_coordinates([F.col(n) for n in "xy"], *([F.col(f"{n}{j}") for n in "xy"] for j in range(3)))
+    inside = (u >= 0) & (v >= 0) & (w >= 0)
+    depth = F.when(inside, -F.round((F.col("z0") + F.col("z1") + F.col("z2")) / 3, 9)).otherwise(-F.round(F.least(u, v, w), 9))
+    best = F.min(F.struct((~inside).cast("int").alias("o"), depth.alias("d"), "tri")).alias("b")
+    want = {r.id: (r.b.tri, r.b.o == 0) for r in sound.join(tris, "g").groupBy("id").agg(best).collect()}
+    assert {r.id: (r.tri, r.inside) for r in B.located(pts, tris, ["g"]).collect()} == want and len(want) == 901
+    others = sound.select("g", F.col("id").alias("other_id"), *(F.col(n).alias(f"o{n}") for n in "xyz"))
+    gap = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    got = {r.id: [(o.other_id, o.d) for o in r.near] for r in B.nearest(pts, others, ["g"], 5).collect()}
+    assert set(got) == {*range(900), 950}
+    for i in range(900):
+        d = sorted((gap[i, j], j) for j in range(900) if j != i)[:5]
+        assert [j for j, _ in got[i]] == [j for _, j in d] and np.allclose([x for _, x in got[i]], [x for x, _ in d], atol=1e-12)
+
+
+def test_blocks_are_bounded_and_whole(spark):
+    from isoline.operators import blocks as B
+
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id", F.lit(1.0).alias("x"))
+    rows, boxes = B.blocked(df, ["g"], *[[F.col("x"), F.col("x")]] * 3, 64)
+    sizes = [r.n for r in boxes.collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 64 and rows.select("id").distinct().count() == 1000
