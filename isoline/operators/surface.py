@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
+from isoline.operators.blocks import located
 from isoline.operators.geometry import XYZ, cols
 
+__all__ = ["closest", "corner_bound", "located", "met"]
+
 CORNERS = (0, 1, 2)
 
 
@@ -53,25 +56,6 @@ def met(points: DataFrame, triangles: DataFrame, by: list[str], names: tuple[str
     return pairs.drop("level", "own", "ask", "radius", *(f"{p}_{n}" for p in "cpt" for n in names))
 
 
-def located(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame:
-    """For each point (id, x, y) the triangle (tri, x0..z2) of its by columns that holds it, seen along z, as (by, id, tri, inside): of several the one of greatest mean z, of none the one missed least. Ties go to the smaller tri.
-
-    Triangles that hold a point are found by cells; only points that none holds
-    are weighed against all triangles of their mesh. Points without coordinates or
-    of no mesh are left out.
-    """
-    u, v, w = E.barycentric_coordinates([F.col("x"), F.col("y")], *([F.col(f"{n}{j}") for n in "xy"] for j in CORNERS))
-    inside, least = (u >= 0) & (v >= 0) & (w >= 0), F.least(u, v, w)
-    points = points.select(*by, "id", "x", "y")
-    reach = F.greatest(F.abs("x"), F.abs("y")) * 1e-9 + 1e-12
-    over = met(points, triangles, by, ("x", "y"), reach).filter(inside)
-    height = F.round((F.col("z0") + F.col("z1") + F.col("z2")) / 3, 9)
-    found = over.groupBy(*by, "id").agg(F.min(F.struct((-height).alias("h"), "tri"))["tri"].alias("tri"), F.lit(True).alias("inside"))
-    rest = points.join(found, [*by, "id"], "left_anti").join(triangles, by).filter(least.isNotNull())
-    missed = rest.groupBy(*by, "id").agg(F.min(F.struct((-F.round(least, 9)).alias("m"), "tri"))["tri"].alias("tri"), F.lit(False).alias("inside"))
-    return found.unionByName(missed)
-
-
 def corner_bound(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame:
     """For each point (by, id, x..z) the distance to some corner near it (bound), which its closest triangle can't exceed.
 
