@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isoline.functions import exprs as E
-from isoline.operators.blocks import located
+from isoline.operators.blocks import closest, located
 from isoline.operators.geometry import XYZ, cols
 
 __all__ = ["closest", "corner_bound", "located", "met"]
@@ -78,13 +78,3 @@ def corner_bound(points: DataFrame, triangles: DataFrame, by: list[str]) -> Data
     stands = celled(corners, "o").groupBy(*cell).agg(F.min(F.struct(*cols("o"))).alias("o")).select(*cell, "o.*")
     near = celled(points, "").join(stands, cell).withColumn("d", E.distance(cols(), cols("o")))
     return near.groupBy(*by, "id").agg(F.min("d").alias("bound"))
-
-
-def closest(points: DataFrame, triangles: DataFrame, by: list[str]) -> DataFrame:
-    """For each point (id, x..z) the triangle (tri, x0..z2) of its by columns that is nearest, and its distance; ties to the smaller tri. The distance to a corner near by bounds how far to look, cells find what is within that bound, and only those are measured."""
-    points = points.select(*by, "id", *XYZ)
-    bound = corner_bound(points, triangles, by)
-    pairs = met(points.join(bound, [*by, "id"]), triangles, by, XYZ, F.col("bound") * (1 + 1e-9) + 1e-9)
-    distance = E.distance_to_triangle(cols(), *([F.col(f"{n}{j}") for n in XYZ] for j in CORNERS))
-    best = pairs.groupBy(*by, "id").agg(F.min(F.struct(F.round(distance, 9).alias("distance"), "tri")).alias("b"))
-    return best.select(*by, "id", "b.tri", "b.distance")
