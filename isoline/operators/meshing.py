@@ -22,9 +22,10 @@ def corner(j: int, names: tuple[str, ...] = XYZ) -> list[Column]:
 def gridded(triangles: DataFrame, by: list[str], names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The grid of each mesh, as (by, base, at_*, to_*, levels), and its triangles once for each cell that their box along names touches.
 
-    Cells double in width from level to level. A triangle lies on the one level
-    whose cells are as wide as itself, so in a few cells; those who look for it
-    walk the cells of each level that the mesh uses. Triangles with a missing or
+    Cells double in width from level to level, from at most the triangles' mean
+    width. A triangle lies on the one level whose cells are as wide as itself, so in
+    a few cells; those who look for it walk the cells of each level that the mesh
+    uses. Triangles with a missing or
     infinite coordinate are left out.
     """
     low = {n: F.least(*(F.col(f"{n}{j}") for j in CORNERS)) for n in names}
@@ -34,11 +35,14 @@ def gridded(triangles: DataFrame, by: list[str], names: tuple[str, ...]) -> tupl
         for j in CORNERS:
             finite = finite & F.coalesce(F.abs(f"{n}{j}") < float("inf"), F.lit(False))
     tris = triangles.filter(finite).withColumns({f"lo_{n}": low[n] for n in names} | {f"hi_{n}": high[n] for n in names})
-    mesh = tris.groupBy(*by).agg(F.count("*").alias("tris"), *(F.min(f"lo_{n}").alias(f"at_{n}") for n in names), *(F.max(f"hi_{n}").alias(f"to_{n}") for n in names))
-    span = F.greatest(*(F.col(f"to_{n}") - F.col(f"at_{n}") for n in names))
-    top = F.ceil(F.log2(F.greatest("tris", F.lit(1))) / len(names)).cast("int") + 1
-    mesh = mesh.withColumn("top", top).withColumn("base", F.when(span > 0, span / F.pow(F.lit(2.0), "top")).otherwise(1.0)).withColumn("slack", span * 1e-9 + 1e-12)
     wide = F.greatest(*(F.col(f"hi_{n}") - F.col(f"lo_{n}") for n in names))
+    mesh = tris.groupBy(*by).agg(F.count("*").alias("tris"), F.avg(wide).alias("wide"), *(F.min(f"lo_{n}").alias(f"at_{n}") for n in names), *(F.max(f"hi_{n}").alias(f"to_{n}") for n in names))
+    span = F.greatest(*(F.col(f"to_{n}") - F.col(f"at_{n}") for n in names))
+    bits = F.log2(F.greatest("tris", F.lit(1)))
+    # A long or flat mesh fills few of its cube's cells: its triangles' width tells how fine they must be.
+    fine = F.when((span > 0) & (F.col("wide") > 0), F.least(F.log2(span / F.col("wide")), bits))
+    top = F.ceil(F.greatest(bits / len(names), fine)).cast("int") + 1
+    mesh = mesh.withColumn("top", top).drop("wide").withColumn("base", F.when(span > 0, span / F.pow(F.lit(2.0), "top")).otherwise(1.0)).withColumn("slack", span * 1e-9 + 1e-12)
     own = F.least(F.greatest(F.coalesce(F.ceil(F.log2(wide / F.col("base"))).cast("int"), F.lit(0)), F.lit(0)), F.col("top"))
     cells = tris.join(mesh.drop("tris"), by).withColumn("level", own).withColumn("size", F.col("base") * F.pow(F.lit(2.0), "level"))
     for n in names:
@@ -179,7 +183,8 @@ def clipped(lines: DataFrame, triangles: DataFrame, by: list[str], least: float
     flat = ("x", "y")
     mesh, cells = gridded(triangles.select(*by, "tri", *(f"{n}{j}" for j in CORNERS for n in XYZ)), by, flat)
     segs = lines.select(*by, "line", "seg", F.col("ax").alias("ox"), F.col("ay").alias("oy"), (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by_") - F.col("ay")).alias("dy")).filter("dx <> 0 or dy <> 0")
-    pairs = walked(segs, mesh, by, flat, F.lit(0.0), F.lit(1.0)).join(cells, [*by, "level", "c_x", "c_y"]).drop("level", "c_x", "c_y").dropDuplicates([*by, "line", "seg", "tri"])
+    pairs = walked(segs, mesh, by, flat, F.lit(0.0), F.lit(1.0)).join(cells, [*by, "level", "c_x", "c_y"]).drop("level", "c_x", "c_y")
+    pairs = pairs.dropDuplicates([*by, "line", "seg", "tri"])
     (ax, ay), (bx, by_), (cx, cy) = (corner(j, flat) for j in CORNERS)
     area = (bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay)
     weight = lambda x, y: [((bx - x) * (cy - y) - (cx - x) * (by_ - y)) / area, ((cx - x) * (ay - y) - (ax - x) * (cy - y)) / area]

@@ -274,3 +274,13 @@ def test_a_spindle_holds_its_ring(spark):
         assert (r.s.short, r.s.long) == (target < 10, target > 21)
         held += r.s.long
     assert held
+
+
+def test_cells_of_a_long_mesh_stay_small(spark):
+    """A ribbon fills few of its cube's cells, yet a cell holds few of its triangles, in space and seen along z."""
+    f = lambda v: F.lit(float(v))
+    y = F.col("tri").cast("double")
+    ribbon = spark.range(4000).select(F.lit("a").alias("g"), F.col("id").alias("tri")).select("g", "tri", *(c.alias(f"{n}{j}") for j, p in enumerate(((f(0), y, f(0)), (f(1), y, f(0)), (f(0), y + 1, f(1)))) for n, c in zip("xyz", p, strict=True)))
+    for names in (("x", "y", "z"), ("x", "y")):
+        _, cells = T.gridded(ribbon, ["g"], names)
+        assert cells.groupBy("level", *(f"c_{n}" for n in names)).count().agg(F.max("count")).first()[0] <= 12
