@@ -184,6 +184,10 @@ def clipped(lines: DataFrame, triangles: DataFrame, by: list[str], least: float
     mesh, cells = gridded(triangles.select(*by, "tri", *(f"{n}{j}" for j in CORNERS for n in XYZ)), by, flat)
     segs = lines.select(*by, "line", "seg", F.col("ax").alias("ox"), F.col("ay").alias("oy"), (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by_") - F.col("ay")).alias("dy")).filter("dx <> 0 or dy <> 0")
     pairs = walked(segs, mesh, by, flat, F.lit(0.0), F.lit(1.0)).join(cells, [*by, "level", "c_x", "c_y"]).drop("level", "c_x", "c_y")
+    # Only pairs whose boxes meet are shuffled, to count once those that share several cells.
+    for n in flat:
+        o, e, ends = F.col(f"o{n}"), F.col(f"o{n}") + F.col(f"d{n}"), [F.col(f"{n}{j}") for j in CORNERS]
+        pairs = pairs.filter((F.least(o, e) <= F.greatest(*ends) + 1e-6) & (F.greatest(o, e) >= F.least(*ends) - 1e-6))
     pairs = pairs.dropDuplicates([*by, "line", "seg", "tri"])
     (ax, ay), (bx, by_), (cx, cy) = (corner(j, flat) for j in CORNERS)
     area = (bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay)
