@@ -242,18 +242,18 @@ def outline_quality(upper: Column, lower: Column, boundary: Column) -> Column:
 def sections(records: DataFrame, record: str) -> DataFrame:
     """records with a VARIANT column for each section of their JSON record: of the places that it may be at the first that isn't empty, if that is an object of the section's schema; else null."""
     held = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant")
-    filled = lambda v: F.when(~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", "{}", "[]", '""'), v)
-
-    def gated(found: Column, schemas: tuple[str, ...]) -> Column:
-        return F.when(F.try_variant_get(found, "$.schema_version", "string").isin(*schemas), found)
+    # What names a schema isn't empty; only other values are written out to see.
+    named = lambda v: F.try_variant_get(v, "$.schema_version", "string")
+    filled = lambda v: named(v).isNotNull() | ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", "{}", "[]", '""')
+    first = lambda v, places: F.get(F.filter(F.array(*(held(v, p) for p in places)), lambda x: x.isNotNull() & filled(x)), F.lit(0))
+    gated = lambda found, schemas: F.when(named(found).isin(*schemas), found)
 
     out = records.withColumn("v", F.try_parse_json(record))
-    out = out.withColumns({s: gated(F.coalesce(*(filled(held(F.col("v"), p)) for p in places)), schemas) for s, (places, schemas) in SECTIONS.items() if s not in IN_RUNTIME})
+    out = out.withColumns({s: first(F.col("v"), places) for s, (places, _) in SECTIONS.items()})
+    out = out.withColumns({s: gated(F.col(s), schemas) for s, (_, schemas) in SECTIONS.items() if s not in IN_RUNTIME})
     for s, key in IN_RUNTIME.items():
-        places, schemas = SECTIONS[s]
-        found = F.coalesce(*(filled(held(F.col("v"), p)) for p in places))
-        is_object = F.startswith(F.schema_of_variant(found), F.lit("OBJECT"))
-        out = out.withColumn(s, gated(F.when(is_object, found).otherwise(held(F.col("runtime"), key)), schemas))
+        is_object = F.startswith(F.schema_of_variant(s), F.lit("OBJECT"))
+        out = out.withColumn(s, gated(F.when(is_object, F.col(s)).otherwise(held(F.col("runtime"), key)), SECTIONS[s][1]))
     inner = held(F.col("view_3d"), "viewer")
     out = out.withColumn("viewer", F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner).otherwise(F.col("view_3d")))
     kind = F.try_variant_get("v", "$.candidate.type", "string")
@@ -264,8 +264,7 @@ def sections(records: DataFrame, record: str) -> DataFrame:
 
 def numeric_at(v: Column, path: str) -> Column:
     """A finite number in a VARIANT, or a text that is one; a boolean is none."""
-    found = F.try_variant_get(v, f"$.{path}", "variant")
-    return F.when(F.schema_of_variant(found) != "BOOLEAN", E.numeric(found.try_cast("string")))
+    return E.numeric(F.try_variant_get(v, f"$.{path}", "string"))
 
 
 def boolean_at(v: Column, path: str) -> Column:
@@ -275,13 +274,16 @@ def boolean_at(v: Column, path: str) -> Column:
 
 
 def rolled_up(parts: DataFrame) -> DataFrame:
-    """Number summaries of all metrics of sections() rows, one row a metric that any record has. The metrics are dealt anew and written to the shared folder, as summary() reads them more than once: the records' paths are read once."""
-    own = [F.struct(F.lit(m).alias("metric"), numeric_at(F.col(s), p).alias("value")) for m, (s, p) in METRICS.items()]
+    """Number summaries of all metrics of sections() rows, one row a metric that any record has. The records' paths are read once; equal numbers of a metric are counted before they are shuffled, and their counts written to the shared folder, as summary() reads them more than once."""
     regions = F.filter(F.coalesce(F.try_variant_get("local_region", "$.regions", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.coalesce(F.try_variant_get(r, "$.action", "string"), F.lit("unknown")) != "normal")
-    of_regions = lambda m: F.transform(regions, lambda r: F.struct(F.lit(f"region_{m}").alias("metric"), numeric_at(r, m).alias("value")))
-    each = map(of_regions, REGION_METRICS)
-    long = parts.select(F.explode(F.concat(F.array(*own), *each)).alias("m")).select("m.*").filter("value is not null")
-    return summary(checkpointed(long.repartition(long.sparkSession.sparkContext.defaultParallelism)), ["metric"], "value")
+    of_regions = lambda m: F.transform(regions, lambda r: numeric_at(r, m))
+    found = parts.select(*(numeric_at(F.col(s), p).alias(m) for m, (s, p) in METRICS.items()), *(of_regions(m).alias(m) for m in REGION_METRICS))
+    pair = lambda name, v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("metric"), v.alias("value")))
+    own = F.array(*(pair(m, F.col(m)) for m in METRICS))
+    each = map(lambda m: F.transform(m, lambda v: pair(f"region_{m}", v)), REGION_METRICS)
+    long = found.select(F.explode(F.array_compact(F.concat(own, *each))).alias("m")).select("m.*")
+    counted = long.groupBy("metric", "value").agg(F.count("*").alias("times"))
+    return summary(checkpointed(counted), ["metric"], "value", "times")
 
 
 def section_gates(parts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def nearest_rank(c: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {c})")
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str, Column], aggregates: list[Column], most: int = 1_000_000, buckets: int = 1024) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str, Column], aggregates: list[Column], most: int = 1_000_000, buckets: int = 1024, times: str | None = None) -> DataFrame:
     """Each group's aggregates of value's numbers, their count n, and as further columns its exact order statistics.
 
     places names them and tells each one's place (from 0) from n. The count, least
@@ -32,14 +32,17 @@ def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str,
     is left is sorted, so no task holds more than most numbers or buckets of a
     group. The driver sees one count a pass. Nulls take no part, a group of
     nothing else has n 0 and nulls; infinities and NaN have buckets of their own,
-    NaN the last. Groups may be null.
+    NaN the last. Groups may be null. A row counts times times, if that is given:
+    as w_ it is there for aggregates, and places go by it.
     """
     v, same = F.col("v_"), lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in by), F.lit(True))
-    rows = df.select(*by, F.col(value).cast("double").alias("v_"))
-    groups = rows.groupBy(*by).agg(F.count("v_").alias("n"), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), *aggregates)
+    rows = df.select(*by, F.col(value).cast("double").alias("v_"), *([F.col(times).cast("long").alias("w_")] if times else []))
+    weight = ["w_"] if times else []
+    n = F.coalesce(F.sum(F.when(v.isNotNull(), F.col("w_"))), F.lit(0)) if times else F.count("v_")
+    groups = rows.groupBy(*by).agg(n.alias("n"), *([F.count("v_").alias("rows_")] if times else []), F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), *aggregates)
     groups = checkpointed(groups)
     each = F.explode(F.array(*(F.struct(F.lit(name).alias("place_"), at.cast("long").alias("left_")) for name, at in places.items())))
-    wanted = groups.filter("n > 0").select(*by, each.alias("e_"), "lo_", "hi_", F.col("n").alias("size_")).select(*by, "e_.*", "lo_", "hi_", "size_")
+    wanted = groups.filter("n > 0").select(*by, each.alias("e_"), "lo_", "hi_", F.col("rows_" if times else "n").alias("size_")).select(*by, "e_.*", "lo_", "hi_", "size_")
     ends = [*by, "lo_", "hi_"]
     #: A table of ranges is broadcast only once its rows are counted.
     small = groups.count() * len(places) <= RANGES
@@ -49,7 +52,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str,
         r = ranges.filter("lo_ < hi_").select(*ends).distinct().alias("r")
         own = rows.filter(v.isNotNull()).alias("own")
         met = own.join(sent(r), reduce(lambda x, y: x & y, (F.col(f"own.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by), (v >= F.col("r.lo_")) & (v <= F.col("r.hi_"))))
-        return met.select(*(F.col(f"own.{c}").alias(c) for c in by), "lo_", "hi_", "v_")
+        return met.select(*(F.col(f"own.{c}").alias(c) for c in by), "lo_", "hi_", "v_", *weight)
 
     def narrowed(ranges: DataFrame, by_size: bool) -> DataFrame:
         low, high = (F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).otherwise(F.lit(e)) for c, e in (("lo_", -LARGEST), ("hi_", LARGEST)))
@@ -58,28 +61,33 @@ def order_statistics(df: DataFrame, by: list[str], value: str, places: dict[str,
             size = lambda c: F.signum(c) * F.coalesce(F.ln(F.abs(c)) + 746, F.lit(0.0))
             part = F.when(size(high) - size(low) > 24, (size(v) - size(low)) / (size(high) - size(low))).otherwise(part)
         bucket = F.when(F.isnan(v), buckets + 1).when(v == float("inf"), buckets).when(v == float("-inf"), -1).otherwise(F.least(F.floor(part * buckets), F.lit(buckets - 1)))
-        counted = between(ranges).groupBy(*ends, bucket.alias("bucket_")).agg(F.count("*").alias("n_"), F.min("v_").alias("least_"), F.max("v_").alias("most_"))
+        counted = between(ranges).groupBy(*ends, bucket.alias("bucket_")).agg(F.sum("w_" if times else F.lit(1)).alias("n_"), F.count("*").alias("rows_"), F.min("v_").alias("least_"), F.max("v_").alias("most_"))
         before = F.sum("n_").over(W.partitionBy(*ends).orderBy("bucket_")) - F.col("n_")
         counted = counted.withColumn("before_", before)
         ranges = sent(ranges)
         at = counted.alias("c").join(ranges.alias("w"), reduce(lambda x, y: x & y, (F.col(f"w.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ends), F.lit(True)), "right")
         at = at.filter(F.col("c.n_").isNull() | (F.col("w.left_") >= F.col("c.before_")) & (F.col("w.left_") < F.col("c.before_") + F.col("c.n_")))
         pick = lambda new, old: F.when(F.col("c.n_").isNull(), F.col(old)).otherwise(F.col(new))
-        return at.select(*(F.col(f"w.{c}").alias(c) for c in by), "place_", pick("least_", "w.lo_").alias("lo_"), pick("most_", "w.hi_").alias("hi_"), pick("n_", "size_").alias("size_"), (F.col("left_") - F.coalesce("before_", F.lit(0))).alias("left_"))
+        return at.select(*(F.col(f"w.{c}").alias(c) for c in by), "place_", pick("least_", "w.lo_").alias("lo_"), pick("most_", "w.hi_").alias("hi_"), pick("c.rows_", "size_").alias("size_"), (F.col("left_") - F.coalesce("before_", F.lit(0))).alias("left_"))
 
     by_size = False
     while (wanted.filter("lo_ < hi_").agg(F.max("size_")).first()[0] or 0) > most:
         wanted, by_size = checkpointed(narrowed(wanted, by_size)), not by_size
-    place = F.row_number().over(W.partitionBy(*ends).orderBy("v_")) - 1
+    sorted_ = W.partitionBy(*ends).orderBy("v_")
+    place = F.row_number().over(sorted_) - 1
+    if times:  # the first of a row's places
+        place = F.sum("w_").over(sorted_.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w_")
     spots = wanted.filter("lo_ < hi_").groupBy(*ends).agg(F.collect_set("left_").alias("lefts_"))
     own = between(wanted).withColumn("k_", place.cast("long")).alias("o")
-    found = own.join(sent(spots).alias("s"), reduce(lambda x, y: x & y, (F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ends), F.array_contains("lefts_", F.col("k_"))))
-    found = found.select(*(F.col(f"o.{c}").alias(c) for c in ends), "k_", "v_").alias("f")
+    here = F.filter("lefts_", lambda at: (at >= F.col("k_")) & (at < F.col("k_") + F.col("w_"))) if times else F.filter("lefts_", lambda at: at == F.col("k_"))
+    met = F.exists("lefts_", lambda at: (at >= F.col("k_")) & (at < F.col("k_") + F.col("w_"))) if times else F.array_contains("lefts_", F.col("k_"))
+    found = own.join(sent(spots).alias("s"), reduce(lambda x, y: x & y, (F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ends), met))
+    found = found.select(*(F.col(f"o.{c}").alias(c) for c in ends), F.explode(here).alias("k_"), "v_").alias("f")
     w = wanted.alias("w")
     known = w.join(found, reduce(lambda x, y: x & y, (F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ends), F.col("left_") == F.col("k_")), "left")
     known = known.select(*(F.col(f"w.{c}").alias(c) for c in by), "place_", F.coalesce("v_", "w.lo_").alias("v_"))
     wide = known.groupBy(*by).agg(*(F.max(F.when(F.col("place_") == name, v)).alias(name) for name in places))
-    names = [c for c in groups.columns if c not in (*by, "lo_", "hi_")]
+    names = [c for c in groups.columns if c not in (*by, "lo_", "hi_", "rows_")]
     out = groups.join(wide, same(groups, wide), "left")
     return out.select(*(groups[c] for c in (*by, *names)), *(wide[c] for c in places))
 
@@ -96,10 +104,11 @@ def _rank(p: float) -> Column:
     return F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0))
 
 
-def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, median, nearest-rank p90, min and max of value's non-null numbers; by order_statistics()."""
+def summary(df: DataFrame, by: list[str], value: str, times: str | None = None) -> DataFrame:
+    """count, mean, median, nearest-rank p90, min and max of value's non-null numbers, each counting times times if that is given; by order_statistics()."""
     places, median = _between(0.5, "median")
-    got = order_statistics(df, by, value, places | {"p90": _rank(0.9)}, [F.avg("v_").alias("mean"), F.min("v_").alias("least"), F.max("v_").alias("most")])
+    mean = F.sum(F.col("v_") * F.col("w_")) / F.sum(F.when(F.col("v_").isNotNull(), F.col("w_"))) if times else F.avg("v_")
+    got = order_statistics(df, by, value, places | {"p90": _rank(0.9)}, [mean.alias("mean"), F.min("v_").alias("least"), F.max("v_").alias("most")], times=times)
     return got.select(*by, "n", "mean", median.alias("median"), "p90", "least", "most")
 
 

@@ -76,3 +76,25 @@ def test_section_aliases_and_schemas(spark):
     metrics = {r.metric: (r.n, r.mean) for r in C.rolled_up(parts).collect()}
     assert metrics == {"jitter_rms_px": (1, 2.5), "view_candidate_point_count": (1, 4.0), "region_motion_norm": (2, 2.0)}
     assert C.rolled_up(C.sections(df.limit(0), "r")).isEmpty()
+
+
+def test_counted_numbers_have_the_summary_of_the_single_ones(spark):
+    from isoline.operators.stats import order_statistics, summary
+
+    rows = [("a", float(i * i % 23), i % 4) for i in range(60)] + [("a", None, 3), ("b", 5.0, 2), ("c", None, 9)]
+    counted = spark.createDataFrame(rows, "g string, v double, w long").filter("w > 0")
+    single = counted.select("g", "v", F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int"))))
+    text = lambda df: sorted(tuple(f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    assert text(summary(counted, ["g"], "v", "w")) == text(summary(single, ["g"], "v"))
+    places = {f"p{i}": F.least(F.lit(i * 9), F.col("n") - 1) for i in range(11)}
+    narrow = lambda df, times: order_statistics(df, ["g"], "v", places, [], most=4, buckets=3, times=times)
+    assert text(narrow(counted, "w")) == text(narrow(single, None))
+
+
+def test_numbers_of_a_record_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "checkpointed", lambda df: seen.append(df) or df)
+    record = lambda i: json.dumps({"candidate": {"direction_confidence": i % 3}, "incision_overlay_stability": {}, "overlay_stability": {"schema_version": "incision-overlay-stability/v0.1", "overall": {"rms_px": "2.5"}}})
+    got = C.rolled_up(C.sections(spark.createDataFrame([(record(i),) for i in range(300)], "r string"), "r"))
+    assert {r.metric: (r.n, r.mean, r.p90) for r in got.collect()} == {"direction_confidence": (300, 1.0, 2.0), "jitter_rms_px": (300, 2.5, 2.5)}
+    assert seen[0].count() == 4
