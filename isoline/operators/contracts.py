@@ -216,27 +216,39 @@ def valid_ref(tri: Column, u: Column, v: Column, w: Column, distance: Column) ->
     return F.coalesce(ok & (distance.isNull() | finite(distance)), F.lit(False))
 
 
-def half_width_at(x: Column, profile: Column) -> Column:
-    """The half width at x of a profile (array of (x, y) by x), between its points on the straight line; beyond its ends minus the distance to them."""
-    first, last = F.get(profile, F.lit(0)), F.element_at(profile, -1)
-    spans = F.zip_with(F.slice(profile, F.lit(1), F.size(profile) - 1), F.slice(profile, F.lit(2), F.size(profile) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    on = F.get(F.filter(spans, lambda s: x.between(s["a"]["x"], s["b"]["x"])), F.lit(0))
-    width = on["b"]["x"] - on["a"]["x"]
-    part = F.when(F.abs(width) > 1e-12, (x - on["a"]["x"]) / width).otherwise(0.0)
-    between = F.abs(on["a"]["y"]) + (F.abs(on["b"]["y"]) - F.abs(on["a"]["y"])) * part
-    return F.when(x < first["x"], x - first["x"]).when(x > last["x"], last["x"] - x).otherwise(F.coalesce(between, F.lit(0.0)))
+def _bound(value: Column, use) -> Column:
+    """What use makes of a value that it names more than once: computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def profile_spans(profile: Column) -> Column:
+    """The stretches between neighbouring points of a profile (array of (x, y) by x), as (ax, bx, ay, by) with half widths for y."""
+    count = F.greatest(F.size(profile) - 1, F.lit(0))
+    span = lambda a, b: F.struct(a["x"].alias("ax"), b["x"].alias("bx"), F.abs(a["y"]).alias("ay"), F.abs(b["y"]).alias("by"))
+    return F.zip_with(F.slice(profile, F.lit(1), count), F.slice(profile, F.lit(2), count), span)
+
+
+def half_width_at(x: Column, profile: Column, spans: Column) -> Column:
+    """The half width at x of a profile (array of (x, y) by x) with its profile_spans(), between its points on the straight line; beyond its ends minus the distance to them."""
+    first, last = F.get(profile, F.lit(0)), F.try_element_at(profile, F.lit(-1))
+
+    def between(s: Column) -> Column:
+        width = s["bx"] - s["ax"]
+        return s["ay"] + (s["by"] - s["ay"]) * F.when(F.abs(width) > 1e-12, (x - s["ax"]) / width).otherwise(0.0)
+
+    on = F.slice(F.filter(spans, lambda s: x.between(s["ax"], s["bx"])), 1, 1)
+    return F.when(x < first["x"], x - first["x"]).when(x > last["x"], last["x"] - x).otherwise(F.coalesce(F.get(F.transform(on, between), F.lit(0)), F.lit(0.0)))
 
 
 def outline_quality(upper: Column, lower: Column, boundary: Column) -> Column:
     """Quality of an outline's sides, arrays of (x, y) along its axis: whether half widths grow to the middle and shrink from it, the largest difference from symmetry, and the least margin of boundary points within it and how many lie outside (null and 0 for fewer than three)."""
-    widths = F.transform(upper, lambda p: F.abs(p["y"]))
-    mid = F.floor(F.size(widths) / 2)
-    steps = F.zip_with(F.slice(widths, F.lit(1), F.greatest(F.size(widths) - 1, F.lit(0))), F.slice(widths, F.lit(2), F.size(widths)), lambda a, b: b - a)
+    mid = F.floor(F.size(upper) / 2)
+    steps = F.transform(profile_spans(upper), lambda s: s["by"] - s["ay"])
     monotone = F.forall(F.transform(steps, lambda s, i: F.when(i < mid, s >= -1e-7).otherwise(s <= 1e-7)), lambda ok: ok)
     apart = F.array_max(F.zip_with(upper, lower, lambda a, b: F.hypot(a["x"] - b["x"], a["y"] + b["y"])))
-    margins = F.when(F.size(boundary) >= 3, F.transform(boundary, lambda p: half_width_at(p["x"], upper) - F.abs(p["y"])))
-    outside = F.coalesce(F.size(F.filter(margins, lambda m: m < -1e-6)), F.lit(0))
-    return F.struct(monotone.alias("monotone"), F.coalesce(apart, F.lit(0.0)).alias("symmetry_error"), F.array_min(margins).alias("least_margin"), outside.alias("outside"))
+    margins = F.when(F.size(boundary) >= 3, _bound(profile_spans(upper), lambda spans: F.transform(boundary, lambda p: half_width_at(p["x"], upper, spans) - F.abs(p["y"]))))
+    outside = lambda m: F.coalesce(F.size(F.filter(m, lambda x: x < -1e-6)), F.lit(0))
+    return _bound(margins, lambda m: F.struct(monotone.alias("monotone"), F.coalesce(apart, F.lit(0.0)).alias("symmetry_error"), F.array_min(m).alias("least_margin"), outside(m).alias("outside")))
 
 
 def sections(records: DataFrame, record: str) -> DataFrame:

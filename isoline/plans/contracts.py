@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from isoline.operators import contracts as C
 from isoline.plans.geometry import POINTS
 from isoline.plans.registry import query, rounded
-from isoline.sources.tables import points, read
+from isoline.sources.tables import dealt, points, read
 
 
 def _picked(words, k):
@@ -99,7 +99,9 @@ def outline_quality(spark, d):
     at = F.sequence(F.lit(0), F.lit(8))
     y = lambda i: F.least(i, 8 - i) * (1 + s % 3) - F.when((k % 5 == 0) & (i == 2), 2).otherwise(0)
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-    sides = read(spark, d, "part").select(
+    # Dealt over the tasks first: a part's outlines cost far more than its row, and one file of parts is one task.
+    parts = dealt(read(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    sides = parts.select(
         "p_partkey", F.transform(at, lambda i: point(i, y(i))).alias("upper"), F.transform(at, lambda i: point(i, -y(i) + k % 4 * 0.25)).alias("lower"),
         F.slice(F.array(*(point((k + j * 3) % 11 - 0.5, (j - 1.5) * (s % 4)) for j in range(4))), F.lit(1), F.when(k % 7 == 0, 2).otherwise(4)).alias("boundary"),
     )
@@ -117,7 +119,7 @@ RECORD = f"""'{{"candidate":{{"type":"'||CASE WHEN k%2=0 THEN 'linear' ELSE 'fus
 
 def _sections(spark, d):
     """Sections of all records. Keys are dealt over the tasks first, as a record's paths cost far more than its row and one file is one task."""
-    keys = read(spark, d, "orders").select(F.col("o_orderkey").alias("k")).repartition(4 * spark.sparkContext.defaultParallelism, "k")
+    keys = dealt(read(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k")
     return C.sections(keys.withColumn("record", F.expr(RECORD)), "record")
 
 

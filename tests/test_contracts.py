@@ -98,3 +98,16 @@ def test_numbers_of_a_record_are_counted_before_they_are_shuffled(spark, monkeyp
     got = C.rolled_up(C.sections(spark.createDataFrame([(record(i),) for i in range(300)], "r string"), "r"))
     assert {r.metric: (r.n, r.mean, r.p90) for r in got.collect()} == {"direction_confidence": (300, 1.0, 2.0), "jitter_rms_px": (300, 2.5, 2.5)}
     assert seen[0].count() == 4
+
+
+def test_outlines_are_dealt_over_tasks_and_measured_at_their_ends(spark):
+    import os
+
+    from isoline.plans import QUERIES
+
+    assert QUERIES["outline_quality"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).rdd.getNumPartitions() > 1
+    side = lambda *ys: [(float(i), float(y)) for i, y in enumerate(ys)]
+    rows = [(side(0, 2, 0), side(0, -2, 0), [(0.5, 0.5), (-1.0, 0.0), (3.0, 1.0)]), (side(1), side(), [(0.0, 0.0)] * 3), (side(), side(), [(0.0, 0.0)] * 2), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u array<struct<x:double,y:double>>, l array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    got = {r.i: tuple(r.q) for r in df.select("i", C.outline_quality(F.col("u"), F.col("l"), F.col("b")).alias("q")).collect()}
+    assert got == {0: (True, 0.0, -2.0, 2), 1: (True, 0.0, 0.0, 0), 2: (True, 0.0, None, 0), 3: (None, 0.0, None, 0)}
