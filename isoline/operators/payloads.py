@@ -25,38 +25,82 @@ EVIDENCE_FLAGS = (*RAW_MEDIA_FLAGS, "exported_raw_pixels", "exported_landmarks")
 EVIDENCE_STARTS = ("data:image/", "data:video/")
 
 
-def json_leaves(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, path, kind, value) for each leaf of JSON texts: path is an array of names and list places, kind STRING, BOOLEAN, VOID or a number's. Texts that are no JSON have none. One round for each level of nesting, over what is nested that deep."""
-    level = df.select(key, F.array().cast("array<string>").alias("path"), F.try_parse_json(payload).alias("v")).filter("v is not null")
+def nesting(text: Column) -> Column:
+    """How deep a JSON text nests: 0 for a plain value. Of the text only the brackets outside of strings are left, and counted."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(plain, r'"[^"]*"|[^"{}\[\]]+', "")
+    step = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    deeper = lambda s, c: F.struct((s["now"] + step(c)).alias("now"), F.greatest(s["most"], s["now"] + step(c)).alias("most"))
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper)["most"]
+
+
+def json_leaves(df: DataFrame, key: str, payload: str, most: int = 16) -> DataFrame:
+    """(key, path, kind, value) for each leaf of JSON texts: path is an array of names and list places, kind STRING, BOOLEAN, VOID or a number's. Texts that are no JSON have none.
+
+    A first pass over the texts tells how deep they nest, so they are taken apart in
+    one plan, without a shuffle or a write. Those that nest over most deep go a
+    level a round, over what is nested that deep.
+    """
+    rows = df.select(key, F.col(payload).alias("v"))
+    deep = nesting(F.col("v"))
+    # The driver sees two numbers.
+    depth, beyond = rows.select(deep.alias("deep")).agg(F.max(F.when(F.col("deep") <= most, F.col("deep"))), F.count_if(F.col("deep") > most)).first()
+    level = (rows.filter(deep <= most) if beyond else rows).select(key, F.array().cast("array<string>").alias("path"), F.try_parse_json("v").alias("v")).filter("v is not null")
+    for _ in range(depth or 0):
+        inside = level.withColumnRenamed("v", "held").lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("held").outer()))
+        name = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+        level = inside.select(level[key], F.when(F.col("pos").isNull(), F.col("path")).otherwise(F.array_append("path", name)).alias("path"), F.when(F.col("pos").isNull(), F.col("held")).otherwise(F.col("value")).alias("v"))
+    # What is still nested here is empty.
+    leaves = level.withColumn("kind", F.schema_of_variant("v")).filter(~(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))).select(key, "path", "kind", F.col("v").cast("string").alias("value"))
+    return leaves.unionAll(_leaves_by_rounds(rows.filter(deep > most), key)) if beyond else leaves
+
+
+def _leaves_by_rounds(rows: DataFrame, key: str) -> DataFrame:
+    """json_leaves() of texts v, one round for each level of nesting."""
+    level = rows.select(key, F.array().cast("array<string>").alias("path"), F.try_parse_json("v").alias("v")).filter("v is not null")
     found = []
     while True:
         level = level.withColumn("kind", F.schema_of_variant("v"))
         nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
         found.append(level.filter(~nested).select(key, "path", "kind", F.col("v").cast("string").alias("value")))
         deeper = level.filter(nested).drop("kind")
-        inside = deeper.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        inside = deeper.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
         level = checkpointed(inside.select(key, F.array_append("path", F.coalesce(F.col("key"), F.col("pos").cast("string"))).alias("path"), F.col("value").alias("v")))
         if level.isEmpty():
             return reduce(DataFrame.unionAll, found)
 
 
+def _read_once(leaves: DataFrame) -> DataFrame:
+    """json_leaves() rows with what the rules ask for: low_, all names in small letters, one a line; leaf_, the last of them; text_, a STRING's text unless blank."""
+    return leaves.withColumns({
+        "low_": F.lower(F.array_join("path", "\n")), "leaf_": F.lower(F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(""))),
+        "text_": F.when(F.col("kind") == "STRING", F.nullif(F.trim("value"), F.lit(""))),
+    })
+
+
+def _cue(flag: str, true: Column) -> Column:
+    """Whether a leaf is a flag that is set within secondary cues."""
+    return (F.col("leaf_") == flag) & true & F.exists("path", lambda p: F.lower(p) == "secondary_cues")
+
+
+def _email(text: Column) -> Column:
+    """Whether a text holds an address; texts without an @ are not searched."""
+    return F.contains(text, F.lit("@")) & text.rlike(EMAIL)
+
+
 def payload_violations(leaves: DataFrame) -> DataFrame:
     """Violations (code) of json_leaves() rows: raw media flags, secondary cues that drive geometry or prompts, secrets, personal fields and patterns, embedded media. Numbers and booleans are no text; leaves ending in _present hold no secret."""
-    low = F.transform("path", F.lower)
-    leaf = F.coalesce(F.try_element_at(low, F.lit(-1)), F.lit(""))
+    low, leaf, text = F.col("low_"), F.col("leaf_"), F.col("text_")
     true = (F.col("kind") == "BOOLEAN") & (F.col("value") == "true")
-    text = F.when(F.col("kind") == "STRING", F.nullif(F.trim("value"), F.lit("")))
-    any_key = lambda hints: F.exists(low, lambda p: reduce(lambda a, h: a | F.contains(p, F.lit(h)), hints, F.lit(False)))
-    redacted = text.isNull() | F.lower(text).isin(*REDACTED)
     codes = F.array(
         F.when(leaf.isin(*RAW_MEDIA_FLAGS) & true, F.lit("raw_media_flag_true")),
-        *(F.when(F.array_contains(low, "secondary_cues") & (leaf == flag) & true, F.lit(code)) for flag, code in CUE_FLAGS.items()),
-        F.when(any_key(SECRET_KEYS) & ~F.endswith(leaf, F.lit("_present")) & ~redacted, F.lit("secret_value_present")),
-        F.when(any_key(PII_KEYS) & text.isNotNull(), F.lit("pii_field_present")),
-        F.when(text.rlike(EMAIL) | text.rlike(PHONE), F.lit("pii_pattern_present")),
-        F.when(any_key(MEDIA_KEYS) & embedded_media(text), F.lit("embedded_media_payload")),
+        *(F.when(_cue(flag, true), F.lit(code)) for flag, code in CUE_FLAGS.items()),
+        F.when(text.isNotNull() & hinted(low, SECRET_KEYS) & ~F.endswith(leaf, F.lit("_present")) & ~F.lower(text).isin(*REDACTED), F.lit("secret_value_present")),
+        F.when(text.isNotNull() & hinted(low, PII_KEYS), F.lit("pii_field_present")),
+        F.when(_email(text) | text.rlike(PHONE), F.lit("pii_pattern_present")),
+        F.when(hinted(low, MEDIA_KEYS) & embedded_media(text), F.lit("embedded_media_payload")),
     )
-    return leaves.withColumn("code", F.explode(F.array_compact(codes)))
+    return _read_once(leaves).withColumn("code", F.explode(F.array_compact(codes))).drop("low_", "leaf_", "text_")
 
 
 def embedded_media(text: Column) -> Column:
@@ -69,26 +113,24 @@ def embedded_media(text: Column) -> Column:
 
 def export_violations(leaves: DataFrame) -> DataFrame:
     """Violations (code) of json_leaves() rows before an export: as payload_violations(), but cues are named after their flag, leaves ending in _at may look like a phone number or an address, and media are a data address in either case, or at least 256 characters of base 64 that begin as media do."""
-    low = F.transform("path", F.lower)
-    leaf = F.coalesce(F.try_element_at(low, F.lit(-1)), F.lit(""))
+    low, leaf, text = F.col("low_"), F.col("leaf_"), F.col("text_")
     true = (F.col("kind") == "BOOLEAN") & (F.col("value") == "true")
-    text = F.when(F.col("kind") == "STRING", F.nullif(F.trim("value"), F.lit("")))
-    pattern = text.rlike(EMAIL) | text.rlike(EXPORT_PHONE)
-    coded = (F.length(text) >= 256) & (F.length(text) % 4 == 0) & text.rlike(BASE64) & reduce(lambda a, s: a | F.startswith(text, F.lit(s)), BASE64_STARTS, F.lit(False))
+    pattern = _email(text) | text.rlike(EXPORT_PHONE)
+    coded = (F.length(text) >= 256) & (F.length(text) % 4 == 0) & reduce(lambda a, s: a | F.startswith(text, F.lit(s)), BASE64_STARTS, F.lit(False)) & text.rlike(BASE64)
     rules = (
         ("raw_media_flag_true", leaf.isin(*RAW_MEDIA_FLAGS) & true),
-        *((f"secondary_cue_{flag}_true", F.array_contains(low, "secondary_cues") & (leaf == flag) & true) for flag in CUE_FLAGS),
-        ("secret_value_present", hinted(low, SECRET_KEYS) & ~F.endswith(leaf, F.lit("_present")) & text.isNotNull() & ~F.lower(text).isin(*REDACTED)),
-        ("pii_field_present", hinted(low, PII_KEYS) & text.isNotNull()),
+        *((f"secondary_cue_{flag}_true", _cue(flag, true)) for flag in CUE_FLAGS),
+        ("secret_value_present", text.isNotNull() & hinted(low, SECRET_KEYS) & ~F.endswith(leaf, F.lit("_present")) & ~F.lower(text).isin(*REDACTED)),
+        ("pii_field_present", text.isNotNull() & hinted(low, PII_KEYS)),
         ("pii_pattern_present", ~F.endswith(leaf, F.lit("_at")) & pattern),
         ("embedded_media_payload", hinted(low, MEDIA_KEYS) & (text.rlike(EXPORT_MEDIA) | coded)),
     )
-    return leaves.withColumn("code", F.explode(F.array_compact(F.array(*(F.when(holds, F.lit(code)) for code, holds in rules)))))
+    return _read_once(leaves).withColumn("code", F.explode(F.array_compact(F.array(*(F.when(holds, F.lit(code)) for code, holds in rules))))).drop("low_", "leaf_", "text_")
 
 
-def hinted(path: Column, hints: tuple[str, ...]) -> Column:
-    """Whether some name of a path holds one of the hints."""
-    return F.exists(path, lambda p: reduce(lambda a, h: a | F.contains(p, F.lit(h)), hints, F.lit(False)))
+def hinted(names: Column, hints: tuple[str, ...]) -> Column:
+    """Whether some name of a path, joined by lines in small letters, holds one of the hints."""
+    return reduce(lambda a, h: a | F.contains(names, F.lit(h)), hints, F.lit(False))
 
 
 def secret_leaks(leaves: DataFrame) -> DataFrame:
@@ -96,7 +138,7 @@ def secret_leaks(leaves: DataFrame) -> DataFrame:
     low = F.transform("path", F.lower)
     name = F.try_element_at(F.filter(low, lambda p: ~p.rlike(r"^\d+$")), F.lit(-1))
     held = F.lower(F.trim("value"))
-    return leaves.filter(~F.col("kind").isin("BOOLEAN", "VOID") & hinted(low, SECRET_KEYS) & ~F.endswith(name, F.lit("_present")) & ~held.isin(*REDACTED))
+    return leaves.filter(~F.col("kind").isin("BOOLEAN", "VOID") & hinted(F.lower(F.array_join("path", "\n")), SECRET_KEYS) & ~F.endswith(name, F.lit("_present")) & ~held.isin(*REDACTED))
 
 
 def raw_media_paths(leaves: DataFrame, key: str) -> DataFrame:

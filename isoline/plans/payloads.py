@@ -10,7 +10,7 @@ from isoline.plans.geometry import POINTS
 from isoline.plans.registry import query, rounded
 from isoline.plans.sequence import SAMPLES
 from isoline.sources import meshes as M
-from isoline.sources.tables import points, read, samples
+from isoline.sources.tables import dealt, points, read, samples
 
 #: SQL of a payload of each event, with a leaf for each rule.
 PAYLOAD = """'{"record":{"raw_image_sent":'||CASE WHEN event_id%4=0 THEN 'true' ELSE 'false' END||',"notes":"'||CASE WHEN event_id%5=0 THEN 'u'||user_id||'@example.com' ELSE event_type END||'","secondary_cues":{"used_for_geometry":'||CASE WHEN event_id%6=0 THEN 'true' ELSE 'false' END
@@ -35,7 +35,7 @@ EXPORT = """'{"used":{"secondary_cues":[{"used_for_geometry":'||CASE WHEN event_
 
 
 def _export_leaves(spark, d):
-    rows = read(spark, d, "events").select("event_id", F.expr(EXPORT).alias("payload"))
+    rows = dealt(read(spark, d, "events").select("event_id", "event_type"), "event_id").select("event_id", F.expr(EXPORT).alias("payload"))
     return A.json_leaves(rows, "event_id", "payload")
 
 

@@ -1,5 +1,6 @@
 """Geometry and sequences against closed forms and numpy."""
 
+import json
 import math
 import os
 
@@ -274,3 +275,20 @@ def test_order_statistics_by_narrowing(spark):
     for g, r in plain.items():
         assert [r.median, r.p90, r.p95] == pytest.approx([float(np.percentile(groups[g], p)) for p in (50, 90, 95)])
     assert S.summary(df.limit(0), ["g"], "x").count() == 0
+
+
+def test_leaves_at_any_bound_of_depth_and_without_a_write(spark, monkeypatch):
+    texts = ['{"a":{"b":[1,[],{},{"c":null}],"d":"]]}}\\\\"},"e\\"{":[[[["deep"]]]],"key":7,"pos":{"v":"x"}}', "[]", "{}", "3", '"[[["', "null", "no [json {{", "", None, "[" * 40 + "1" + "]" * 40, "[" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, js string")
+    plain = lambda v, at=(): [(at, v)] if not isinstance(v, dict | list) else [x for k, w in (v.items() if isinstance(v, dict) else enumerate(v)) for x in plain(w, (*at, str(k)))]
+    want = []
+    for i, t in enumerate(texts):
+        try:
+            want += [(i, p, None if v is None else str(v)) for p, v in plain(json.loads(t))]
+        except (TypeError, ValueError):
+            pass
+    assert [r[0] for r in df.select(A.nesting(F.col("js"))).collect()][:6] == [5, 1, 1, 0, 0, 0]
+    for most in (0, 2, 16, 64):
+        assert sorted((r.id, tuple(r.path), None if r.kind == "VOID" else r.value) for r in A.json_leaves(df, "id", "js", most).collect()) == sorted(want, key=lambda r: r[:2])
+    monkeypatch.setattr(A, "checkpointed", None)
+    assert A.json_leaves(df.filter("id < 9"), "id", "js").count() == len([w for w in want if w[0] < 9])
