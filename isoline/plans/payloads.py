@@ -24,7 +24,7 @@ PAYLOAD = """'{"record":{"raw_image_sent":'||CASE WHEN event_id%4=0 THEN 'true'
  SELECT event_id, path, code FROM c WHERE code IS NOT NULL""")
 def payload_audit(spark, d):
     """What the leaves of each event's nested payload violate, walked to any depth."""
-    rows = read(spark, d, "events").select("event_id", F.expr(PAYLOAD).alias("payload"))
+    rows = dealt(read(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id").select("event_id", F.expr(PAYLOAD).alias("payload"))
     out = A.payload_violations(A.json_leaves(rows, "event_id", "payload"))
     return out.select("event_id", F.array_join("path", ".").alias("path"), "code")
 

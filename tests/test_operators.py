@@ -292,3 +292,9 @@ def test_leaves_at_any_bound_of_depth_and_without_a_write(spark, monkeypatch):
         assert sorted((r.id, tuple(r.path), None if r.kind == "VOID" else r.value) for r in A.json_leaves(df, "id", "js", most).collect()) == sorted(want, key=lambda r: r[:2])
     monkeypatch.setattr(A, "checkpointed", None)
     assert A.json_leaves(df.filter("id < 9"), "id", "js").count() == len([w for w in want if w[0] < 9])
+
+
+def test_payloads_of_one_file_are_audited_by_many_tasks(spark):
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for name in ("payload_audit", "export_preflight"):
+        assert QUERIES[name](spark, sf).rdd.getNumPartitions() > 7
