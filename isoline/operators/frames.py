@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -194,20 +193,48 @@ def centreline(df: DataFrame, by: str, step: float) -> DataFrame:
 
 
 def least_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(v, label): the least vertex that each vertex of edges (a, b) reaches. Labels spread along edges and jump to their label's label until none changes; lineage is cut each round. Where a bound of rounds is given and isn't enough, an error says so."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    for i in count():
-        if i == rounds:
+    """(v, label): the least vertex that each vertex of edges (a, b) reaches; a null stays by itself. Where a bound of rounds is given and isn't enough, an error says so.
+
+    Vertices stand in a random order, by their hashes, of which no two are equal.
+    Each round hooks a vertex to its first neighbour if that comes earlier, goes up
+    to three hooks to one that hooks to none, and replaces the ends of the edges by
+    those. So a round leaves a fraction of the edges, of long paths as well, and all
+    rounds together shuffle about as much as the first few. Lineage is cut each round.
+    """
+    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    vertices = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    h = F.xxhash64  # one to one on single numbers
+    links = checkpointed(_later_first(pairs.filter("a <> b").select(h("a").alias("a"), h("b").alias("b"))))
+    hooked = []
+    while not links.isEmpty():
+        if len(hooked) == rounds:
             raise RuntimeError(f"least_labels: labels still change after {rounds} rounds")
-        near = labels.join(both, labels["v"] == both["b"]).select(F.col("a").alias("v"), "label")
-        jump = labels.alias("l").join(labels.alias("m"), F.col("l.label") == F.col("m.v")).select(F.col("l.v").alias("v"), F.col("m.label").alias("label"))
-        new = labels.withColumn("old", F.col("label")).unionByName(near.withColumn("old", F.lit(None).cast("long"))).unionByName(jump.withColumn("old", F.lit(None).cast("long")))
-        new = checkpointed(new.groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("v", "label")
-        if not changed:
-            return labels
+        # Only the first vertices of a neighbourhood have no row here.
+        up = links.groupBy("a").agg(F.min("b").alias("t"))
+        next_ = up.select(F.col("a").alias("t"), F.col("t").alias("t2"))
+        twice = up.join(next_, "t", "left").select("a", F.coalesce("t2", "t").alias("t"), F.col("t2").isNull().alias("ends"))
+        then = twice.select(F.col("a").alias("t"), F.col("t").alias("t2"), F.col("ends").alias("ends2"))
+        tops = twice.join(then, "t", "left").select("a", F.when(F.col("ends"), F.col("t")).otherwise(F.coalesce("t2", "t")).alias("t"), (F.col("ends") | F.coalesce("ends2", F.lit(True))).alias("ends"))
+        tops = checkpointed(tops.filter("ends").select("a", "t"))
+        hooked.append(tops)
+        of = lambda end, tops=tops: tops.select(F.col("a").alias(end), F.col("t").alias(f"{end}_"))
+        moved = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        links = checkpointed(_later_first(moved.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")).filter("a <> b")))
+    # Vertices hook to such as hook in later rounds, if at all.
+    top = None
+    for tops in reversed(hooked):
+        ends = top.select(F.col("a").alias("t"), F.col("t").alias("t2")) if top is not None else None
+        top = checkpointed(tops.join(ends, "t", "left").select("a", F.coalesce("t2", "t").alias("t")).unionAll(top)) if top is not None else tops
+    if top is None:
+        return vertices.select("v", F.col("v").alias("label"))
+    own = vertices.withColumn("a", F.when(F.col("v").isNotNull(), h("v")))
+    own = checkpointed(own.join(top, "a", "left").select("v", F.coalesce("t", "a").alias("t")))
+    return own.join(own.groupBy("t").agg(F.min("v").alias("label")), "t", "left").select("v", "label")
+
+
+def _later_first(links: DataFrame) -> DataFrame:
+    """Links (a, b) once each, with the greater end as a."""
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def respaced(df: DataFrame, key: str, spacing: float) -> DataFrame:

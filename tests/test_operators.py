@@ -298,3 +298,15 @@ def test_payloads_of_one_file_are_audited_by_many_tasks(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     for name in ("payload_audit", "export_preflight"):
         assert QUERIES[name](spark, sf).rdd.getNumPartitions() > 7
+
+
+def test_components_write_a_few_times_the_path(spark, monkeypatch):
+    written = []
+    kept = K.checkpointed
+    monkeypatch.setattr(K, "checkpointed", lambda df: written.append(kept(df)) or written[-1])
+    n = 4000
+    path = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    odd = spark.createDataFrame([(-5, -5), (None, -7), (None, None), (-9, -8), (-8, -9), (-20, -21), (-20, -22), (-20, -23)], "a long, b long")
+    got = {r.v: r.label for r in K.least_labels(path.unionAll(odd)).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {-5: -5, -7: -7, None: None, -9: -9, -8: -9} | {v: -23 for v in (-20, -21, -22, -23)}
+    assert sum(df.count() for df in written) < 7 * n
