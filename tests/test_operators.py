@@ -310,3 +310,17 @@ def test_components_write_a_few_times_the_path(spark, monkeypatch):
     got = {r.v: r.label for r in K.least_labels(path.unionAll(odd)).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {-5: -5, -7: -7, None: None, -9: -9, -8: -9} | {v: -23 for v in (-20, -21, -22, -23)}
     assert sum(df.count() for df in written) < 7 * n
+
+
+def test_components_shuffle_links_that_are_left(spark):
+    """connected_components and its _whole are one query, whose links go as its rounds go."""
+    assert QUERIES["connected_components"] is QUERIES["connected_components_whole"]
+    left = []
+    later = K._later_first
+    try:
+        K._later_first = lambda links: left.append(later(links)) or left[-1]
+        K.least_labels(spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).count()
+    finally:
+        K._later_first = later
+    sizes = [df.count() for df in left]
+    assert sizes[-1] == 0 and all(b <= a * 0.7 for a, b in zip(sizes, sizes[1:], strict=False))
