@@ -111,3 +111,9 @@ def test_outlines_are_dealt_over_tasks_and_measured_at_their_ends(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, u array<struct<x:double,y:double>>, l array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
     got = {r.i: tuple(r.q) for r in df.select("i", C.outline_quality(F.col("u"), F.col("l"), F.col("b")).alias("q")).collect()}
     assert got == {0: (True, 0.0, -2.0, 2), 1: (True, 0.0, 0.0, 0), 2: (True, 0.0, None, 0), 3: (None, 0.0, None, 0)}
+
+
+def test_each_place_of_a_record_is_read_once(spark):
+    plan = C.section_gates(C.sections(spark.createDataFrame([("{}",)], "r string"), "r"))._jdf.queryExecution().optimizedPlan().toString()
+    for place in C.SECTIONS["stability"][0] + C.SECTIONS["view_3d"][0]:
+        assert plan.count(f", $.{place}, ") == 1
