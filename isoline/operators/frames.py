@@ -200,11 +200,14 @@ def least_labels(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     to three hooks to one that hooks to none, and replaces the ends of the edges by
     those. So a round leaves a fraction of the edges, of long paths as well, and all
     rounds together shuffle about as much as the first few. Lineage is cut each round.
+    Edges are read once, and repeated ones leave before anything else is made of them.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    vertices = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    a, b = (F.col(c).cast("long") for c in "ab")
     h = F.xxhash64  # one to one on single numbers
-    links = checkpointed(_later_first(pairs.filter("a <> b").select(h("a").alias("a"), h("b").alias("b"))))
+    later = h(a) > h(b)
+    pairs = checkpointed(edges.select(F.when(later, a).otherwise(b).alias("a"), F.when(later, b).otherwise(a).alias("b")).distinct())
+    vertices = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    links = pairs.filter("a <> b").select(h("a").alias("a"), h("b").alias("b"))
     hooked = []
     while not links.isEmpty():
         if len(hooked) == rounds:

@@ -324,3 +324,16 @@ def test_components_shuffle_links_that_are_left(spark):
         K._later_first = later
     sizes = [df.count() for df in left]
     assert sizes[-1] == 0 and all(b <= a * 0.7 for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_components_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(e):
+        read.add(1)
+        return e
+
+    rows = [(1, 2), (2, 1), (1, 2), (2, 3), (None, 3), (7, 7), (7, 7)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "a long, b long")
+    assert {r.v: r.label for r in K.least_labels(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, None: None}
+    assert read.value == len(rows)
