@@ -251,45 +251,63 @@ def outline_quality(upper: Column, lower: Column, boundary: Column) -> Column:
     return _bound(margins, lambda m: F.struct(monotone.alias("monotone"), F.coalesce(apart, F.lit(0.0)).alias("symmetry_error"), F.array_min(m).alias("least_margin"), outside(m).alias("outside")))
 
 
+def _shape(paths, leaf: str) -> str:
+    """The type of a struct that has fields of the type leaf at some dotted paths."""
+    inner: dict[str, list[str]] = {}
+    for p in paths:
+        head, _, rest = p.partition(".")
+        inner.setdefault(head, []).append(rest)
+    return f"struct<{','.join(f'{h}:{_shape(rests, leaf) if all(rests) else leaf}' for h, rests in inner.items())}>"
+
+
+def fields_at(v: Column, paths, leaf: str = "variant") -> Column:
+    """A VARIANT object as a struct of what it has at some dotted paths, null where it has nothing of that type; null if it is no object. All are found in one walk over its fields: try_variant_get leaves a path that isn't there by an exception, which costs far more than one that is."""
+    return F.try_variant_get(v, "$", _shape(paths, leaf))
+
+
 def sections(records: DataFrame, record: str) -> DataFrame:
     """records with a VARIANT column for each section of their JSON record: of the places that it may be at the first that isn't empty, if that is an object of the section's schema; else null."""
-    held = lambda v, path: F.try_variant_get(v, f"$.{path}", "variant")
-    # What names a schema isn't empty; only other values are written out to see.
-    named = lambda v: F.try_variant_get(v, "$.schema_version", "string")
-    filled = lambda v: named(v).isNotNull() | ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", "{}", "[]", '""')
-    first = lambda v, places: F.get(F.filter(F.array(*(held(v, p) for p in places)), lambda x: x.isNotNull() & filled(x)), F.lit(0))
-    gated = lambda found, schemas: F.when(named(found).isin(*schemas), found)
+    v, keyed = F.col("v"), "map<string,boolean>"
+    outer = {p: p.rpartition(".")[0] for places, _ in SECTIONS.values() for p in places}
+    keys_of = {o: f"keys_{o.replace('.', '_')}" for o in outer.values()}
+    # Only the keys of these maps are used: a place is looked up where they have it, as a lookup in vain is dear.
+    held = lambda p: F.when(F.array_contains(keys_of[outer[p]], p.rpartition(".")[2]), F.try_variant_get(v, f"$.{p}", "variant"))
+    is_object = lambda v: fields_at(v, ["schema_version"], "string").isNotNull()
+    named = lambda v: fields_at(v, ["schema_version"], "string")["schema_version"]
+    # What has a schema's name isn't empty; only other values are written out to see.
+    filled = lambda v: fields_at(v, ["schema_version"])["schema_version"].isNotNull() | ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", "{}", "[]", '""')
+    first = lambda places: F.get(F.filter(F.array(*map(held, places)), lambda x: x.isNotNull() & filled(x)), F.lit(0))
+    gated = lambda s: F.when(named(F.col(s)).isin(*SECTIONS[s][1]), F.col(s))
 
     out = records.withColumn("v", F.try_parse_json(record))
-    out = out.withColumns({s: first(F.col("v"), places) for s, (places, _) in SECTIONS.items()})
-    out = out.withColumns({s: gated(F.col(s), schemas) for s, (_, schemas) in SECTIONS.items() if s not in IN_RUNTIME})
-    for s, key in IN_RUNTIME.items():
-        is_object = F.startswith(F.schema_of_variant(s), F.lit("OBJECT"))
-        out = out.withColumn(s, gated(F.when(is_object, F.col(s)).otherwise(held(F.col("runtime"), key)), SECTIONS[s][1]))
-    inner = held(F.col("view_3d"), "viewer")
-    out = out.withColumn("viewer", F.when(F.startswith(F.schema_of_variant(inner), F.lit("OBJECT")), inner).otherwise(F.col("view_3d")))
-    kind = F.try_variant_get("v", "$.candidate.type", "string")
-    candidate, cues = held(F.col("v"), "candidate"), held(F.col("v"), "secondary_cues")
-    present = F.coalesce(boolean_at(cues, "present"), F.lit(False))
-    return out.withColumns({"candidate": candidate, "linear": F.when(kind == "linear", candidate), "fusiform": F.when(kind == "fusiform", candidate), "cues": F.when(present, cues)}).drop("v")
-
-
-def numeric_at(v: Column, path: str) -> Column:
-    """A finite number in a VARIANT, or a text that is one; a boolean is none."""
-    return E.numeric(F.try_variant_get(v, f"$.{path}", "string"))
-
-
-def boolean_at(v: Column, path: str) -> Column:
-    """A boolean in a VARIANT; a text or number is none."""
-    found = F.try_variant_get(v, f"$.{path}", "variant")
+    out = out.withColumns({"own_": F.try_variant_get(v, "$", keyed), "inner_": fields_at(v, [o for o in keys_of if o], keyed)})
+    out = out.withColumns({name: F.map_keys(f"inner_.{o}" if o else "own_") for o, name in keys_of.items()})
+    out = out.withColumns({s: first(places) for s, (places, _) in SECTIONS.items()} | {s: F.try_variant_get(v, f"$.{p}", "variant") for s, p in (("candidate", "candidate"), ("cues", "secondary_cues"))})
+    out = out.drop("v", "own_", "inner_", *keys_of.values())
+    out = out.withColumns({s: gated(s) for s in SECTIONS if s not in IN_RUNTIME})
+    inner = {"viewer_": fields_at(F.col("view_3d"), ["viewer"])["viewer"], "runtime_": fields_at(F.col("runtime"), IN_RUNTIME.values())}
+    out = out.withColumns(inner | {"type_": fields_at(F.col("candidate"), ["type"], "string")["type"], "shown_": boolean_at(F.col("cues"), "present")})
+    or_else = lambda v, other: F.when(is_object(v), v).otherwise(other)
+    out = out.withColumns({s: or_else(F.col(s), F.col(f"runtime_.{key}")) for s, key in IN_RUNTIME.items()} | {"viewer": or_else(F.col("viewer_"), F.col("view_3d"))})
+    of_type = {t: F.when(F.col("type_") == t, F.col("candidate")) for t in ("linear", "fusiform")}
+    return out.withColumns({s: gated(s) for s in IN_RUNTIME} | of_type | {"cues": F.when(F.col("shown_"), F.col("cues"))}).drop("viewer_", "runtime_", "type_", "shown_")
+
+
+def boolean_at(v: Column, field: str) -> Column:
+    """A boolean that a VARIANT object has as a field; a text or number is none."""
+    found = fields_at(v, [field])[field]
     return F.when(F.schema_of_variant(found) == "BOOLEAN", found.try_cast("boolean"))
 
 
 def rolled_up(parts: DataFrame) -> DataFrame:
     """Number summaries of all metrics of sections() rows, one row a metric that any record has. The records' paths are read once; equal numbers of a metric are counted before they are shuffled, and their counts written to the shared folder, as summary() reads them more than once."""
-    regions = F.filter(F.coalesce(F.try_variant_get("local_region", "$.regions", "array<variant>"), F.array().cast("array<variant>")), lambda r: F.coalesce(F.try_variant_get(r, "$.action", "string"), F.lit("unknown")) != "normal")
-    of_regions = lambda m: F.transform(regions, lambda r: numeric_at(r, m))
-    found = parts.select(*(numeric_at(F.col(s), p).alias(m) for m, (s, p) in METRICS.items()), *(of_regions(m).alias(m) for m in REGION_METRICS))
+    # Numbers and texts that are numbers are taken as texts; a boolean is none.
+    of_part = {s: [p for part, p in METRICS.values() if part == s] for s, _ in METRICS.values()}
+    region = fields_at(F.col("local_region"), ["regions"], f"array<{_shape(['action', *REGION_METRICS], 'string')}>")["regions"]
+    walked = parts.select(*(fields_at(F.col(s), paths, "string").alias(s) for s, paths in of_part.items()), F.coalesce(region, F.array()).alias("regions"))
+    regions = F.filter("regions", lambda r: F.coalesce(r["action"], F.lit("unknown")) != "normal")
+    of_regions = lambda m: F.transform(regions, lambda r: E.numeric(r[m]))
+    found = walked.select(*(E.numeric(F.col(f"{s}.{p}")).alias(m) for m, (s, p) in METRICS.items()), *(of_regions(m).alias(m) for m in REGION_METRICS))
     pair = lambda name, v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("metric"), v.alias("value")))
     own = F.array(*(pair(m, F.col(m)) for m in METRICS))
     each = map(lambda m: F.transform(m, lambda v: pair(f"region_{m}", v)), REGION_METRICS)
@@ -299,11 +317,14 @@ def rolled_up(parts: DataFrame) -> DataFrame:
 
 
 def section_gates(parts: DataFrame) -> DataFrame:
-    """For each gated section how many records have it, pass and fail it (neither where its field is no boolean)."""
-    field = lambda s, f: boolean_at(F.col("viewer" if s == "view_3d" else s), f)
-    rows = F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).isNotNull().alias("here"), field(s, f).alias("ok")) for s, f in PASSED.items()))
-    long = parts.select(F.explode(rows).alias("r")).select("r.*")
-    return long.groupBy("section").agg(F.count_if("here").alias("present"), F.count_if(F.col("here") & F.col("ok")).alias("passed"), F.count_if(F.col("here") & ~F.col("ok")).alias("failed"))
+    """For each gated section how many records have it, pass and fail it (neither where its field is no boolean). Records alike in all sections are counted first, and only their counts are told apart by section."""
+    ok = lambda s, f: boolean_at(F.col("viewer" if s == "view_3d" else s), f).alias(f"{s}_ok")
+    alike = parts.select(*(F.col(s).isNotNull().alias(s) for s in PASSED), *(ok(s, f) for s, f in PASSED.items()))
+    counted = alike.groupBy(*alike.columns).agg(F.count("*").alias("n"))
+    rows = F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("here"), F.col(f"{s}_ok").alias("ok")) for s in PASSED))
+    long = counted.select("n", F.explode(rows).alias("r")).select("n", "r.*")
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return long.groupBy("section").agg(count(F.col("here")).alias("present"), count(F.col("here") & F.col("ok")).alias("passed"), count(F.col("here") & ~F.col("ok")).alias("failed"))
 
 
 def acceptance(entries: DataFrame, by: list[str]) -> DataFrame:

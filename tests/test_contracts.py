@@ -117,3 +117,18 @@ def test_each_place_of_a_record_is_read_once(spark):
     plan = C.section_gates(C.sections(spark.createDataFrame([("{}",)], "r string"), "r"))._jdf.queryExecution().optimizedPlan().toString()
     for place in C.SECTIONS["stability"][0] + C.SECTIONS["view_3d"][0]:
         assert plan.count(f", $.{place}, ") == 1
+
+
+def test_places_that_a_record_lacks_are_not_looked_up_and_like_records_are_counted_first(spark):
+    import re
+
+    s = lambda v, **k: {"schema_version": v, **k}
+    stability = s("incision-overlay-stability/v0.1", passed=True)
+    records = [{"overlay_stability": stability}] * 3 + [{"overlay_stability": {}, "incision_overlay": {"stability": stability}}, {"incision_overlay": [stability], "diagnostics": "text"}, {"overlay_stability": "false", "incision_overlay": {"stability": stability}}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "r string")
+    gates = C.section_gates(C.sections(df, "r"))
+    assert {tuple(r) for r in gates.collect()} == {("stability", 4, 4, 0), *((other, 0, 0, 0) for other in C.PASSED if other != "stability")}
+    plan = gates._jdf.queryExecution().optimizedPlan().toString()
+    for place in C.SECTIONS["stability"][0] + C.SECTIONS["view_3d"][0]:
+        assert re.search(rf"array_contains\(keys_\w*#\d+, {place.split('.')[-1]}\) THEN try_variant_get\(v#\d+, \$\.{place}, ", plan)
+    assert plan.index("Generate explode") < plan.rindex("Aggregate [")
